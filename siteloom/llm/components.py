@@ -1,0 +1,58 @@
+"""Connected components of an edge table, by alternating large and small stars.
+
+In the large-star step each node links its larger neighbours to its smallest neighbour, in
+the small-star step its smaller neighbours and itself. Both keep the components and end
+with every node linked to the smallest node of its component after a few rounds. A round
+is two joins of edges with one minimum per node; hubs are only ever reduced to a minimum.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siteloom.llm import common
+
+
+def _minimum(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """``edges`` holds (u, v) with u > v."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = _minimum(both).select("u", F.least("m", "u").alias("m"))
+    large = (
+        both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    )
+    low = _minimum(large)
+    near = large.join(low, "u")
+    return (
+        near.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        .filter("u > v")
+        .unionByName(low.select("u", F.col("m").alias("v")))
+        .distinct()
+    )
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root) for every node that occurs in a link; root is the smallest node.
+
+    Links to oneself and links that hold a null are left out, repeated links count once.
+    """
+    edges = (
+        links.filter(f"{a} <> {b}")
+        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+        .distinct()
+    )
+    edges = common.materialize(edges, "components")
+    sign = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    seen = edges.agg(sign).first()
+    while True:
+        edges = common.materialize(_round(edges), "components")
+        now = edges.agg(sign).first()
+        if now == seen:
+            break
+        seen = now
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

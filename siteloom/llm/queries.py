@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import common, sharding
+from siteloom.llm import common, exact_dedup, sharding, simhash
 
 
 def op6_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,8 +37,35 @@ def op6_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(common.read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.read_table(spark, sf_dir, "documents"), words=3)
+    return found.select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_interleaved_shards": op6_interleaved_shards,
+    "op7_exact_duplicates": op7_exact_duplicates,
+    "op9_simhash_components": op9_simhash_components,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_exact_duplicates": r"""
+        WITH t AS (
+            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+            FROM documents)
+        SELECT doc_id,
+               min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
+               count(*) OVER (PARTITION BY text_sha256) AS group_size,
+               doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY text_sha256) AS kept,
+               text_sha256
+        FROM t""",
+}
