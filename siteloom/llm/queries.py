@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import common, exact_dedup, sharding, simhash
+from siteloom.llm import common, exact_dedup, secrets, sharding, simhash
 
 
 def op6_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +51,24 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda kind: F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        of_kind("assign").alias("n_assign"),
+        of_kind("access").alias("n_access"),
+        of_kind("hex").alias("n_hex"),
+        F.sha2(secrets.spans_text("base_spans"), 256).alias("base_sha256"),
+        secrets.spans_text("spans").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_interleaved_shards": op6_interleaved_shards,
     "op7_exact_duplicates": op7_exact_duplicates,
     "op9_simhash_components": op9_simhash_components,
+    "op10_secret_spans": op10_secret_spans,
 }
 
 ORACLES: dict[str, str] = {
