@@ -8,10 +8,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import common, exact_dedup, secrets, sharding, simhash
+from siteloom.llm import bpe, common, exact_dedup, packing, secrets, sharding, simhash
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        "ids",
+    )
+    return bpe.decode(encoded, RANKS).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256")
+    )
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Packed pieces of ``docs``, without the ids."""
+    pieces = common.materialize(
+        packing.token_pieces(docs, TOKENIZER, RANKS, public_tokenizers.PATTERN, ids=False), "packing-pieces"
+    )
+    groups = packing.groups_for(docs.count())
+    packed = packing.harmonic_pack(pieces, groups, spread=("id", "start", "ids_crc32"))
+    return packed.select(
+        F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(common.read_table(spark, sf_dir, "documents"))
 
 
 def op6_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +98,8 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_harmonic_packing": op5_harmonic_packing,
     "op6_interleaved_shards": op6_interleaved_shards,
     "op7_exact_duplicates": op7_exact_duplicates,
     "op9_simhash_components": op9_simhash_components,
