@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import bpe, common, exact_dedup, packing, secrets, sharding, simhash
+from siteloom.llm import bpe, common, exact_dedup, language_id, packing, secrets, sharding, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,6 +75,19 @@ def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def language_model(docs: DataFrame) -> language_id.Model:
+    """Fitted on the documents that the contract leaves for learning."""
+    learns = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
+    return language_id.fit(docs.filter(learns))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.read_table(spark, sf_dir, "documents"), words=3)
     return found.select(
@@ -102,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_interleaved_shards": op6_interleaved_shards,
     "op7_exact_duplicates": op7_exact_duplicates,
+    "op8_language": op8_language,
     "op9_simhash_components": op9_simhash_components,
     "op10_secret_spans": op10_secret_spans,
 }
