@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import bpe, common, exact_dedup, language_id, packing, secrets, sharding, simhash
+from siteloom.llm import archive, bpe, common, exact_dedup, language_id, packing, secrets, sharding, simhash, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.shared_path(spark, "op3-archive")
+    archive.write_archive(archive.archive_records(common.read_table(spark, sf_dir, "pages")), path)
+    records = archive.read_archive(spark, path).filter(F.col("warc_type").isin("response", "revisit"))
+    told = F.substring_index("payload_digest", ":", -1)
+    return records.select(
+        archive.page_number(F.col("record_id")).alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        # Of a response, the digest of what was read; a revisit has its header only.
+        F.when(F.col("payload").isNull(), told).otherwise(warc.base32_sha1(F.col("payload"))).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        archive.page_number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Packed pieces of ``docs``, without the ids."""
     pieces = common.materialize(
@@ -112,6 +127,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_warc_round_trip": op3_warc_round_trip,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_interleaved_shards": op6_interleaved_shards,
     "op7_exact_duplicates": op7_exact_duplicates,
@@ -121,6 +137,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc_round_trip": """
+        WITH d AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+        SELECT page_id,
+               strlen(payload)::BIGINT AS payload_bytes,
+               translate(concat(to_base(('0x' || substr(h, 1, 10))::BIGINT, 32, 8),
+                                to_base(('0x' || substr(h, 11, 10))::BIGINT, 32, 8),
+                                to_base(('0x' || substr(h, 21, 10))::BIGINT, 32, 8),
+                                to_base(('0x' || substr(h, 31, 10))::BIGINT, 32, 8)),
+                         '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f""",
     "op7_exact_duplicates": r"""
         WITH t AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
