@@ -12,12 +12,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import archive, bpe, common, exact_dedup, language_id, packing, secrets, sharding, simhash, warc
+from siteloom.llm import archive, bpe, common, exact_dedup, language_id, packing, page_text, secrets, sharding, simhash, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_text.extract_texts(common.read_table(spark, sf_dir, "pages"))
+    n_chars = F.char_length("text").cast("long").alias("n_chars")
+    return found.select("page_id", "url", "text", n_chars, "n_lines", "n_shared", "pair_id")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).select(
@@ -126,6 +132,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_page_text": op1_page_text,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op5_harmonic_packing": op5_harmonic_packing,
