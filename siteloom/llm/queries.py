@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import archive, bpe, common, exact_dedup, language_id, packing, page_text, secrets, sharding, simhash, warc
+from siteloom.llm import archive, bpe, common, exact_dedup, language_id, nearest, packing, page_text, secrets, sharding, simhash, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,12 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_rotated_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = nearest.search(nearest.build_index(vectors), vectors.filter("vec_id % 100 = 0"), k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """Packed pieces of ``docs``, without the ids."""
     pieces = common.materialize(
@@ -135,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_text": op1_page_text,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_warc_round_trip": op3_warc_round_trip,
+    "op4_rotated_bit_search": op4_rotated_bit_search,
     "op5_harmonic_packing": op5_harmonic_packing,
     "op6_interleaved_shards": op6_interleaved_shards,
     "op7_exact_duplicates": op7_exact_duplicates,
