@@ -222,6 +222,8 @@ def _counts(order: int):
 def _estimate(grams: list[tuple[str, str, int]], languages: list[str], order: int) -> Model:
     """Interpolated Kneser-Ney from (lang, gram, count)."""
     model = Model(languages, order, [np.empty(0, np.uint64)], [None], [None])
+    if not languages:
+        return model
     counts: list[dict[str, dict[str, int]]] = [{} for _ in range(order + 1)]
     for lang, gram, c in grams:
         counts[len(gram)].setdefault(lang, {})[gram] = c
