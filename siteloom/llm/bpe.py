@@ -33,6 +33,8 @@ CHUNK = 1 << 15
 OVERLAP = 1 << 9
 #: Ids that one record batch holds at most, but for a single text with more.
 BATCH_IDS = 1 << 20
+#: Rows that are decoded to one record batch.
+DECODE_ROWS = 500
 
 
 @lru_cache(maxsize=4)
@@ -58,11 +60,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def _encode(ranks_path: str, pattern: str, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks_path, pattern).encode_ordinary
+        tokens = encoding(ranks_path, pattern)
         for batch in batches:
             first, held, done = 0, [], 0
             for row, text in enumerate(batch["text"]):
-                held.append(np.array(encode(text.as_py() or ""), np.int32))
+                held.append(tokens.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype(np.int32))
                 done += len(held[-1])
                 if done >= BATCH_IDS or row == batch.num_rows - 1:
                     own = batch.slice(first, len(held))
@@ -169,10 +171,15 @@ def encode(
 def _decode(ranks_path: str, ids: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(ranks_path)
-        for batch in batches:
-            texts = [None if x is None else b"".join([table[y] for y in x]) for x in batch[ids].to_pylist()]
-            columns = {x: batch[x] for x in batch.schema.names if x != ids}
-            yield pa.record_batch(columns | {out: pa.array(texts, pa.binary())})
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODE_ROWS):
+                batch = whole.slice(at, DECODE_ROWS)
+                texts = []
+                for x in batch[ids]:
+                    own = x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else None
+                    texts.append(None if own is None else b"".join(map(table.__getitem__, own)))
+                columns = {x: batch[x] for x in batch.schema.names if x != ids}
+                yield pa.record_batch(columns | {out: pa.array(texts, pa.binary())})
 
     return run
 

@@ -64,7 +64,7 @@ def token_ids(text: str, tokenizer_path: str, ranks_path: str, pattern: str) ->
     file of the same vocabulary, which gives the same ids sooner."""
     if any(x in text for x in _special(tokenizer_path)):
         return np.array(_tokenizer(tokenizer_path).encode(text, add_special_tokens=False).ids, np.uint32)
-    return np.array(bpe.encoding(ranks_path, pattern).encode_ordinary(text), np.uint32)
+    return bpe.encoding(ranks_path, pattern).encode_to_numpy(text, disallowed_special=())
 
 
 def _pieces(tokenizer_path: str, ranks_path: str, pattern: str, end_id: int, capacity: int, max_waste: float, ids: bool):
