@@ -1,10 +1,35 @@
-"""Named queries of the crawl-graph operators, and their DuckDB SQL."""
+"""Named queries: a dictionary for the driver, and a dispatcher with parameters."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from siteloom.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "query", "with_user_text"]
+
+
+def query(spark: SparkSession, sf_dir: str, name: str, **params) -> DataFrame:
+    """Run a query by name; unknown and private names are errors."""
+    if name.startswith("_") or name not in QUERIES:
+        raise KeyError(f"no query {name!r}; there are: {', '.join(sorted(QUERIES))}")
+    return QUERIES[name](spark, sf_dir, **params)
+
+
+def with_user_text(prompts: DataFrame, prompt: str, fallback: str, write: Callable[[str], str]) -> DataFrame:
+    """Prompt rows with ``text`` by the caller's function; a row where it fails gets ``fallback``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(row):
+            try:
+                return write(row[prompt])
+            except Exception:
+                return row[fallback]
+
+        for rows in batches:
+            yield rows.assign(text=[one(x) for _, x in rows.iterrows()])
+
+    return prompts.mapInPandas(run, prompts.withColumn("text", prompts[fallback].cast("string")).schema)
