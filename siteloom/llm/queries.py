@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import archive, bpe, common, exact_dedup, language_id, nearest, packing, page_text, secrets, sharding, simhash, warc
+from siteloom.llm import archive, bpe, common, exact_dedup, language_id, nearest, oracles, packing, page_text, secrets, sharding, simhash, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -174,4 +174,4 @@ ORACLES: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY text_sha256) AS kept,
                text_sha256
         FROM t""",
-}
+} | oracles.SQL
