@@ -31,14 +31,16 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start: str, max_hops: int = 6) -> DataFrame:
     """Vertices reached in 1 to ``max_hops`` (1 to 10) steps, the start included if on a cycle."""
-    e = simple_edges(edges).persist()
-    frontier = e.filter(F.col("src") == start).select(F.col("dst").alias("id")).distinct()
+    e = materialize(simple_edges(edges), "edges")
+    frontier = materialize(e.filter(F.col("src") == start).select(F.col("dst").alias("id")).distinct(), "frontier")
     found = frontier
     for _ in range(min(10, max(1, max_hops)) - 1):
-        frontier = e.join(frontier, e.src == frontier.id, "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = frontier.join(found, "id", "left_anti")
+        step = e.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        frontier = materialize(step.join(found, "id", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
         found = found.unionByName(frontier)
-    return found.distinct()
+    return found
 
 
 def click_depth(edges: DataFrame, root: str, max_rounds: int = 1000) -> DataFrame:
@@ -71,8 +73,8 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
             "id", "out", F.col("rank").alias("old"),
             ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"),
         )
+        fresh = materialize(fresh, "ranks")  # the state is read three times a round
         if i % every == 0:
-            fresh = materialize(fresh, "ranks")
             if tolerance is not None and fresh.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
                 state = fresh
                 break
@@ -127,16 +129,20 @@ def nearest_region(chains: DataFrame, landmarks: DataFrame) -> DataFrame:
 def simple_cycles(edges: DataFrame, longest: int = 8, most: int = 50) -> DataFrame:
     """Cycles of the simple digraph as arrays from their smallest vertex, the first ``most`` in
     order. Vertices without a way in or out are removed first."""
-    e = simple_edges(edges)
+    e = materialize(simple_edges(edges), "cyclic")
+    n = e.count()
     for _ in range(longest):
-        e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    e = materialize(e, "cyclic")
+        entered = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = e.select(F.col("src").alias("dst")).distinct()
+        e, before = materialize(entered.join(left, "dst", "left_semi").select("src", "dst"), "cyclic"), n
+        n = e.count()
+        if n == before:
+            break
     paths = e.filter("src <= dst").select(F.array("src", "dst").alias("path"))
     found = paths.filter("path[0] = path[1]").select(F.slice("path", 1, 1).alias("cycle"))
     paths = paths.filter("path[0] < path[1]")
     step = e.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    for _ in range(longest - 1):
+    for _ in range(longest - 1 if n else 0):
         grown = materialize(paths.withColumn("at", F.element_at("path", -1)).join(step, "at").filter("next >= path[0]"), "paths")
         found = found.unionByName(grown.filter("next = path[0]").select(F.col("path").alias("cycle")))
         paths = grown.filter((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteloom.functions import colors, labels
+from siteloom.plans.shared import materialize
 
 
 def _distinct(column: str, name: str | None = None):
@@ -58,11 +59,14 @@ def contract_fields(shapes: DataFrame, by: list[str], depth: int = 5) -> DataFra
     level = shapes.filter("shape is not null and shape <> ''").select(*by, F.lit("$").alias("at"), "shape")
     found = None
     for _ in range(depth):
+        level = materialize(level, "shapes")
+        if found is not None and level.isEmpty():
+            break
         listed = level.filter(F.col("shape").startswith("[")).select(*by, F.concat("at", F.lit("[]")).alias("at"), F.explode(F.from_json("shape", "array<string>")).alias("shape"))
         objects = level.filter(F.col("shape").startswith("{")).unionByName(listed.filter(F.col("shape").startswith("{")))
         n = objects.groupBy(*by, "at").agg(F.count("*").alias("_n"))
         keys = objects.select(*by, "at", F.explode(F.from_json("shape", "map<string,string>")).alias("key", "shape"))
-        keys = keys.withColumn("json_path", F.concat("at", F.lit("."), "key"))
+        keys = materialize(keys.withColumn("json_path", F.concat("at", F.lit("."), "key")), "shape-keys")
         kind = F.when(F.col("shape").startswith("{"), "object").when(F.col("shape").startswith("["), "array").otherwise(F.col("shape"))
         rows = keys.groupBy(*by, "at", "json_path").agg(F.min(kind).alias("type"), F.count("*").alias("_k")).join(n, [*by, "at"])
         rows = rows.select(*by, "json_path", "type", (F.col("_k") == F.col("_n")).alias("required"))
