@@ -28,6 +28,8 @@ UNKNOWN = "und"
 ORDER = 4
 MAX_DOCS = 1200
 MAX_CHARS = 2_000_000
+#: A model has a column per language; more labels than this are an error.
+MAX_LANGUAGES = 1000
 #: A document is rejected if its cross-entropy lies so many deviations above what its
 #: language's held-back documents have.
 REJECT_DEVIATIONS = 10.0
@@ -330,7 +332,11 @@ def fit(
             F.lit(1.0), F.lit(max_docs) / F.count("*"), F.lit(max_chars) / F.greatest(F.sum(F.char_length("text")), F.lit(1))
         ).alias("rate")
     )
-    sample = rows.join(rates, "lang").filter(_unit(F.col("key"), "draw") < F.col("rate")).select("key", "lang", "text").persist()
+    rates = rates.persist()
+    if rates.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # One short row a language, so the texts stay where they are.
+    sample = rows.join(F.broadcast(rates), "lang").filter(_unit(F.col("key"), "draw") < F.col("rate")).select("key", "lang", "text").persist()
     try:
         held_back = _unit(F.col("key"), "calibrate") < 0.25
         counted = (
@@ -349,6 +355,7 @@ def fit(
         _calibrate(model, [(a, b) for a, b in pairs if a in languages])
     finally:
         sample.unpersist()
+        rates.unpersist()
     return model
 
 
