@@ -77,26 +77,33 @@ def live_frontier(candidates: DataFrame, visited: Callable[[], DataFrame], base:
 TRACE = "visit_id string, steps array<string>, length long, complete boolean"
 
 
-def _assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Collects the steps of one visit; closed when its page is finished, or by timeout."""
-    steps = list(state.get[0]) if state.exists else []
-    done = state.hasTimedOut
-    if not done:
-        for rows in batches:
-            for x in rows.itertuples():
-                done |= bool(x.finished)
-                steps.append(f"{int(x.step_seq):012d} {x.action} {x.page_url}")
-    if done:
-        state.remove()
-        yield pd.DataFrame({"visit_id": [key[0]], "steps": [sorted(steps)], "length": [len(steps)], "complete": [not state.hasTimedOut]})
-    else:
-        state.update((steps,))
-        state.setTimeoutDuration(30 * 60 * 1000)
-
-
-def visit_traces(steps: DataFrame) -> DataFrame:
-    """One row per visit once it is closed."""
-    return steps.groupBy("visit_id").applyInPandasWithState(_assemble, TRACE, "steps array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def _assemble(timeout_minutes: int | None):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        steps = list(state.get[0]) if state.exists else []
+        done = state.hasTimedOut
+        if not done:
+            for rows in batches:
+                for x in rows.itertuples():
+                    done |= bool(x.finished)
+                    steps.append(f"{int(x.step_seq):012d} {x.action} {x.page_url}")
+        if done:
+            complete = not state.hasTimedOut
+            state.remove()
+            yield pd.DataFrame({"visit_id": [key[0]], "steps": [sorted(steps)], "length": [len(steps)], "complete": [complete]})
+        else:
+            state.update((steps,))
+            if timeout_minutes:
+                state.setTimeoutDuration(timeout_minutes * 60_000)
+
+    return run
+
+
+def visit_traces(steps: DataFrame, timeout_minutes: int | None = None) -> DataFrame:
+    """One row per visit once its page is finished, or after a timeout without steps. A timeout is
+    for queries that keep running: one that ends with the available files would wait for it."""
+    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_minutes else GroupStateTimeout.NoTimeout
+    run = _assemble(timeout_minutes)
+    return steps.groupBy("visit_id").applyInPandasWithState(run, TRACE, "steps array<string>", "append", kind)
 
 
 SLOWDOWN = "crawl_id string, seq long, ratio double, wait double, broken boolean"
