@@ -212,17 +212,17 @@ def graph_components(spark, sf_dir):
 
 @query()
 def articulation_points(spark, sf_dir):
-    return graph.articulation_points(_sparse(spark, sf_dir))
+    return graph.articulation_points(d.simple_edges(spark, sf_dir))
 
 
 @query()
 def betweenness(spark, sf_dir):
-    return graph.betweenness(_sparse(spark, sf_dir))
+    return graph.betweenness(d.simple_edges(spark, sf_dir))
 
 
 @query()
 def graph_modules(spark, sf_dir):
-    return graph.modules(_sparse(spark, sf_dir))
+    return graph.modules(d.simple_edges(spark, sf_dir))
 
 
 @query(f"""WITH {HUBS}, x AS (SELECT dst AS id, count(*) AS n FROM h GROUP BY 1)

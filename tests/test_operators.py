@@ -363,3 +363,52 @@ def test_registry(spark, sf_dir):
     rows = spark.createDataFrame([("a", "x"), ("b", "y")], "prompt string, plain string")
     write = lambda p: p.upper() if p == "a" else 1 / 0
     assert sorted(x.text for x in registry.with_user_text(rows, "prompt", "plain", write).collect()) == ["A", "y"]
+
+
+def _brute_betweenness(pairs):
+    nodes = sorted({x for p in pairs for x in p})
+    out = {v: [b for a, b in pairs if a == v and b != v] for v in nodes}
+    total = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        order, before, ways, depth = [s], {v: [] for v in nodes}, {s: 1.0}, {s: 0}
+        for v in order:
+            for w in out[v]:
+                if w not in depth:
+                    depth[w], ways[w] = depth[v] + 1, 0.0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    ways[w] += ways[v]
+                    before[w].append(v)
+        share = dict.fromkeys(nodes, 0.0)
+        for w in reversed(order):
+            for v in before[w]:
+                share[v] += ways[v] / ways[w] * (1 + share[w])
+            if w != s:
+                total[w] += share[w]
+    n = len(nodes)
+    return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
+def _is_cut(pairs, gone):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    reached = todo = {min(near[gone])}
+    while todo:
+        todo = {y for x in todo for y in near[x]} - reached - {gone}
+        reached = reached | todo
+    return not near[gone] <= reached
+
+
+def test_graph_queries_without_sql_use_every_edge(spark, sf_dir):
+    from siteloom.plans import derived
+    from siteloom.plans.queries import QUERIES
+
+    pairs = {(x.src, x.dst) for x in derived.simple_edges(spark, sf_dir).collect()}
+    want = _brute_betweenness(pairs)
+    got = {x.id: x.betweenness for x in QUERIES["betweenness"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    cut = {x.id for x in QUERIES["articulation_points"](spark, sf_dir).collect()}
+    assert cut == {v for v in want if _is_cut(pairs, v)}
+    assert {x.id for x in QUERIES["graph_modules"](spark, sf_dir).collect()} == want.keys()
