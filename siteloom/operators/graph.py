@@ -6,6 +6,8 @@ stay short and a lost executor costs one round at most.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,12 +45,12 @@ def reachable(edges: DataFrame, start: str, max_hops: int = 6) -> DataFrame:
     return found
 
 
-def click_depth(edges: DataFrame, root: str, max_rounds: int = 1000) -> DataFrame:
+def click_depth(edges: DataFrame, root: str) -> DataFrame:
     """(id, depth): shortest number of steps from the root, null where there is none."""
     e = materialize(simple_edges(edges), "edges")
     known = materialize(vertices(e).filter(F.col("id") == root).withColumn("depth", F.lit(0)), "depths")
     frontier = known
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         step = e.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         frontier = materialize(step.join(known, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
@@ -149,7 +151,7 @@ def simple_cycles(edges: DataFrame, longest: int = 8, most: int = 50) -> DataFra
     return found.orderBy("cycle").limit(most)
 
 
-def betweenness(edges: DataFrame, batch: int = 256, max_rounds: int = 1000) -> DataFrame:
+def betweenness(edges: DataFrame, batch: int = 256) -> DataFrame:
     """(id, betweenness), directed and normalised, by Brandes' two sweeps. Sources go in batches,
     which bounds the (source, vertex) rows of a sweep."""
     e = materialize(simple_edges(edges).filter("src <> dst"), "edges")
@@ -162,7 +164,7 @@ def betweenness(edges: DataFrame, batch: int = 256, max_rounds: int = 1000) -> D
         level = dealt.filter(F.col("_b") == k).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma"))
         level = materialize(level, "sweep")
         levels, seen = [level], level.select("s", "v")
-        for _ in range(max_rounds):
+        while True:
             step = level.join(e, level.v == e.src).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
             level = materialize(step.join(seen, ["s", "v"], "left_anti"), "sweep")
             if level.isEmpty():
@@ -192,7 +194,7 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return e.distinct()
 
 
-def articulation_points(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def articulation_points(edges: DataFrame) -> DataFrame:
     """Vertices whose removal splits their component (Tarjan and Vishkin).
 
     A breadth-first forest is numbered in pre-order from subtree sizes, low and high are the extreme
@@ -206,7 +208,7 @@ def articulation_points(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     roots = components(both).select(F.col("root").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).distinct()
     level = materialize(roots, "level")
     levels, seen = [level], level.select("id")
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         step = both.join(level.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         level = materialize(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
         if level.isEmpty():

@@ -412,3 +412,11 @@ def test_graph_queries_without_sql_use_every_edge(spark, sf_dir):
     cut = {x.id for x in QUERIES["articulation_points"](spark, sf_dir).collect()}
     assert cut == {v for v in want if _is_cut(pairs, v)}
     assert {x.id for x in QUERIES["graph_modules"](spark, sf_dir).collect()} == want.keys()
+
+
+def test_breadth_first_loops_have_no_bound():
+    import inspect
+
+    for run in (graph.click_depth, graph.betweenness, graph.articulation_points):
+        assert "max_rounds" not in inspect.signature(run).parameters
+        assert "max_rounds" not in inspect.getsource(run)
