@@ -2,45 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHARED_DIR = "spark.checkpoint.dir"
+from siteloom.plans.shared import materialize, shared_dir, shared_path
+
+__all__ = [
+    "broadcast_if_small", "free_name", "materialize", "read_table", "shared_dir", "shared_path", "shuffle_partitions", "spread_hot", "text_or_empty",
+]
+
+#: Rows of a few numbers each that are sent to every worker at most, about 100 MB there.
+BROADCAST_ROWS = 2_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
+def broadcast_if_small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of short rows, to be sent to all workers if it has ``rows`` at most.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder is made and put into the session.
+    Where it has more, joins with it shuffle both sides.
     """
-    found = spark.conf.get(SHARED_DIR, None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set(SHARED_DIR, found)
-    return found.rstrip("/")
+    return F.broadcast(stored) if stored.count() <= rows else stored
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own for one table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def spread_hot(stored: DataFrame, keys: list[str], rows: int, salt: str) -> DataFrame:
+    """A stored table with the int column ``salt``: 0, or where more than ``rows`` rows agree in
+    ``keys``, a number by which those are dealt to parts of about ``rows`` rows.
 
-    This cuts the lineage with a copy that outlives any executor.
+    Rows are told apart by their place in the table. It is stored, so a row that is read again after
+    an executor was lost has the same place. ``keys`` hold no nulls.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    counts = stored.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias(f"{salt}_n"))
+    hot = materialize(counts.filter(F.col(f"{salt}_n") > 1), "hot-keys")
+    placed = stored.withColumn(f"{salt}_p", F.monotonically_increasing_id())
+    part = F.pmod(F.xxhash64(f"{salt}_p"), F.coalesce(F.col(f"{salt}_n"), F.lit(1))).cast("int")
+    return placed.join(hot, keys, "left").withColumn(salt, part).drop(f"{salt}_n", f"{salt}_p")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

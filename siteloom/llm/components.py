@@ -2,57 +2,100 @@
 
 In the large-star step each node links its larger neighbours to its smallest neighbour, in
 the small-star step its smaller neighbours and itself. Both keep the components and end
-with every node linked to the smallest node of its component after a few rounds. A round
-is two joins of edges with one minimum per node; hubs are only ever reduced to a minimum.
+with every node linked to the smallest node of its component after a few rounds. Before each
+round every task reduces the edges that it holds to stars, so that a few tasks need few rounds.
+
+A step joins edges with one minimum per node. The minima are written and read back, so both
+sides of the join are plain shuffles and Spark can split a hub's edges among tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm import common
 
+#: Links that a task holds before it reduces them to stars.
+HELD_LINKS = 1 << 20
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components, from each node to the smallest of its component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        if (label[x] == low).all() and (label[y] == low).all():
+            break
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        label = label[label]
+    while (label[label] != label).any():
+        label = label[label]
+    rest = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[rest], nodes[label[rest]]
+
+
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads links (u, v); yields stars of what it holds at a time."""
+    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        a = np.concatenate((a, batch["u"].to_numpy()))
+        b = np.concatenate((b, batch["v"].to_numpy()))
+        if len(a) > HELD_LINKS:
+            a, b = stars(a, b)
+            if len(a) > HELD_LINKS // 2:
+                yield pa.record_batch({"u": pa.array(a), "v": pa.array(b)})
+                a, b = a[:0], b[:0]
+    a, b = stars(a, b)
+    for at in range(0, len(a), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        yield pa.record_batch({"u": pa.array(a[part]), "v": pa.array(b[part])})
+
+
+def _stored(edges: DataFrame) -> DataFrame:
+    return common.materialize(edges.mapInArrow(_reduced, "u long, v long").distinct(), "components")
+
 
 def _minimum(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return common.materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "component-minima")
 
 
 def _round(edges: DataFrame) -> DataFrame:
     """``edges`` holds (u, v) with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = _minimum(both).select("u", F.least("m", "u").alias("m"))
-    large = (
-        both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-    )
+    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    large = common.materialize(large, "component-stars")
     low = _minimum(large)
-    near = large.join(low, "u")
-    return (
-        near.select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .filter("u > v")
-        .unionByName(low.select("u", F.col("m").alias("v")))
-        .distinct()
-    )
+    near = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+    return near.unionByName(low.select("u", F.col("m").alias("v")))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour or only larger ones."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("under"), F.lit(0).alias("over"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("under"), F.lit(1).alias("over")))
+    counts = ends.groupBy("n").agg(F.sum("under").alias("under"), F.max("over").alias("over"))
+    return counts.filter("under > 1 or under = 1 and over = 1").isEmpty()
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node that occurs in a link; root is the smallest node.
+    """(node, root) for every node that occurs in a link of whole numbers; root is the smallest node.
 
     Links to oneself and links that hold a null are left out, repeated links count once.
     """
-    edges = (
-        links.filter(f"{a} <> {b}")
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
-    )
-    edges = common.materialize(edges, "components")
-    sign = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-    seen = edges.agg(sign).first()
-    while True:
-        edges = common.materialize(_round(edges), "components")
-        now = edges.agg(sign).first()
-        if now == seen:
-            break
-        seen = now
+    ends = F.col(a).cast("long"), F.col(b).cast("long")
+    edges = links.filter(f"{a} <> {b}").select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v"))
+    edges = _stored(edges)
+    while not _are_stars(edges):
+        edges = _stored(_round(edges))
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return common.materialize(nodes.unionByName(roots), "component-roots")

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm import common
-from siteloom.llm.components import connected_components
+from siteloom.llm.components import HELD_LINKS, connected_components, stars
 
 RADIUS = 3
 BANDS = ((0, 22), (22, 43), (43, 64))
 #: Buckets of up to so many members are compared pair by pair.
 SMALL_BUCKET = 1024
-#: Verified links that a task holds before it reduces them to stars.
-HELD_LINKS = 1 << 20
+#: Variants that a task makes.
+TASK_VARIANTS = 1 << 21
 
 ONE = np.uint64(1)
 
@@ -104,24 +104,6 @@ def _variants(fp: str):
     return F.concat(*balls)
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links with the same components, from each node to the smallest of its component."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        if (label[x] == low).all() and (label[y] == low).all():
-            break
-        np.minimum.at(label, label[x], low)
-        np.minimum.at(label, label[y], low)
-        label = label[label]
-    while (label[label] != label).any():
-        label = label[label]
-    rest = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[rest], nodes[label[rest]]
-
-
 def _small_bucket(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i, j = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= RADIUS, 1))
     return fp[i], fp[j]
@@ -189,7 +171,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held_b.append(b)
             held += len(a)
             if held > HELD_LINKS:
-                a, b = _stars(np.concatenate(held_a), np.concatenate(held_b))
+                a, b = stars(np.concatenate(held_a), np.concatenate(held_b))
                 held_a, held_b, held = [a], [b], 0
 
     def bucket_ends(last: bool):
@@ -209,7 +191,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
             own = fp[a:b]
             links = _small_bucket(own) if b - a <= SMALL_BUCKET else _large_bucket(key[a], own)
-            hold(*_stars(*_verified(*links)))
+            hold(*stars(*_verified(*links)))
         key, fp = key[cut:], fp[cut:]
 
     for batch in batches:
@@ -217,7 +199,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fp = np.concatenate((fp, batch["fp"].to_numpy().view(np.uint64)))
         bucket_ends(False)
     bucket_ends(True)
-    a, b = _stars(np.concatenate(held_a), np.concatenate(held_b))
+    a, b = stars(np.concatenate(held_a), np.concatenate(held_b))
     for at in range(0, len(a), 1 << 16):
         part = slice(at, at + (1 << 16))
         yield pa.record_batch({"a": pa.array(a[part].view(np.int64)), "b": pa.array(b[part].view(np.int64))})
@@ -226,9 +208,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
     """(a, b): links between distinct fingerprints whose components are those of all pairs
     that differ in at most 3 bits. A link may come more than once."""
-    distinct = fingerprints.select(F.col(fp).alias("fp")).distinct()
+    distinct = common.materialize(fingerprints.select(F.col(fp).alias("fp")).distinct(), "simhash-distinct")
+    n_variants = sum(1 + 64 - (high - low) for low, high in BANDS)
+    # Few bytes become many rows, so tasks are counted by what they make.
+    tasks = max(1, -(-distinct.count() * n_variants // TASK_VARIANTS))
     return (
-        distinct.select(F.explode(_variants("fp")).alias("key"), "fp")
+        distinct.repartition(tasks, "fp")
+        .select(F.explode(_variants("fp")).alias("key"), "fp")
         .repartition("key")
         .sortWithinPartitions("key")
         .mapInArrow(_links, "a long, b long")
@@ -252,6 +238,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
         .select("fp", "low", F.coalesce("root", "fp").alias("root")),
         "simhash-nodes",
     )
-    lows = nodes.groupBy("root").agg(F.min("low").alias("component"))
-    found = nodes.join(lows, "root").select("fp", "component")
+    # Stored, so that Spark can split the rows of a component or fingerprint that many rows share.
+    lows = common.materialize(nodes.groupBy("root").agg(F.min("low").alias("component")), "simhash-lows")
+    found = common.materialize(nodes.join(lows, "root").select("fp", "component"), "simhash-found")
     return rows.join(found, "fp").select(F.col("id").alias(id), "fp", "component")
