@@ -7,8 +7,10 @@
    whether the sender itself holds it twice.
 3. An owner decodes what all senders sent it, finds the hashes that occur twice, and
    answers each sender with a bitmap.
-4. A sender marks its suspects by the bitmaps. Only rows that may have a twin go on: their
-   texts are shuffled and grouped by the text itself, which compares all bytes.
+4. A sender marks its suspects by the bitmaps. Only rows whose fingerprint is a suspect go on: where
+   there are no more suspects than can be sent to every worker, the texts are filtered where
+   they lie, else by a shuffle. The suspects' texts are shuffled and grouped by the
+   text itself, which compares all bytes.
 
 A hash that a third of all rows share costs one entry per sender, and the grouping of
 suspects is combined before its shuffle.
@@ -19,7 +21,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteloom.llm import common
@@ -27,6 +28,8 @@ from siteloom.llm import common
 HASH_BITS = 48
 #: Most rows of one sender.
 SENDER_ROWS = 1 << 20
+#: Rows that an owner should hear of, which sets the number of owners.
+OWNER_ROWS = 1 << 22
 
 
 def normalized(text: Column) -> Column:
@@ -120,11 +123,40 @@ def _suspects(owners: int):
         for x in answers.to_pylist():
             a, b = cuts[x["owner"]], cuts[x["owner"] + 1]
             again[a:b] = np.unpackbits(np.frombuffer(x["again"], np.uint8))[: b - a]
-        return rows.select(["id"]).filter(pa.array(again[np.searchsorted(hashes, fp)]))
+        return pa.table({"fp": pa.array(hashes[again])})
 
     return run
 
 
+def _fingerprint(norm: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(norm), 64 - HASH_BITS)
+
+
+def _hashed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, sha, fp, src) of every row, stored."""
+    place = F.monotonically_increasing_id()
+    block = F.shiftright(place.bitwiseAND(F.lit((1 << 33) - 1)), SENDER_ROWS.bit_length() - 1)
+    rows = docs.select(F.col(id).alias("id"), normalized(F.col(text)).alias("norm")).select(
+        "id",
+        F.unhex(F.sha2("norm", 256)).alias("sha"),
+        _fingerprint("norm").alias("fp"),
+        (F.spark_partition_id().cast("long") * (1 << 13) + block).alias("src"),
+    )
+    return common.materialize(rows, "exact-dedup-hashes")
+
+
+def suspect_fingerprints(rows: DataFrame, owners: int | None = None) -> DataFrame:
+    """The fingerprints ``fp`` that occur twice or more in ``rows`` (src, fp), by the exchange; stored.
+
+    ``src`` tells the sender of a row, which holds about SENDER_ROWS of them at most.
+    """
+    owners = owners or max(1, -(-rows.count() // OWNER_ROWS), common.shuffle_partitions(rows.sparkSession))
+    sent = rows.select("src", "fp").groupBy("src").applyInArrow(_send(owners), SENT)
+    answers = sent.groupBy("owner").applyInArrow(_answer(owners), ANSWER)
+    found = rows.select("src", "fp").groupBy("src").cogroup(answers.groupBy("src")).applyInArrow(_suspects(owners), "fp long")
+    return common.materialize(found.distinct(), "exact-dedup-suspects")
+
+
 def exact_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", owners: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size (long), kept, text_sha256.
 
@@ -134,42 +166,43 @@ def exact_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     count as well; such a row is kept only if no row of its group has an id. An empty table
     gives an empty result, and other columns of ``docs`` are not touched.
     """
-    spark = docs.sparkSession
-    owners = owners or common.shuffle_partitions(spark)
-    texts = docs.select(F.col(id).alias("id"), normalized(F.col(text)).alias("norm"))
-    hashed = texts.select(
-        "id",
-        F.unhex(F.sha2("norm", 256)).alias("sha"),
-        F.shiftrightunsigned(F.xxhash64("norm"), 64 - HASH_BITS).alias("fp"),
-    )
-    repeats = W.partitionBy("id", "sha").orderBy("fp")
-    place = F.monotonically_increasing_id()
-    block = F.shiftright(place.bitwiseAND(F.lit((1 << 33) - 1)), SENDER_ROWS.bit_length() - 1)
-    rows = common.materialize(
-        hashed.withColumn("nth", F.row_number().over(repeats)).withColumn(
-            "src", F.spark_partition_id().cast("long") * (1 << 13) + block
-        ),
-        "exact-dedup-hashes",
-    )
-    sent = rows.select("src", "fp").groupBy("src").applyInArrow(_send(owners), SENT)
-    answers = sent.groupBy("owner").applyInArrow(_answer(owners), ANSWER)
-    suspects = (
-        rows.select("src", "fp", "id")
-        .groupBy("src")
-        .cogroup(answers.groupBy("src"))
-        .applyInArrow(_suspects(owners), rows.select("id").schema)
-    )
+    rows = _hashed(docs, id, text)
+    suspects = common.broadcast_if_small(suspect_fingerprints(rows, owners))
+    texts = docs.select(F.col(id).alias("id"), normalized(F.col(text)).alias("norm")).withColumn("fp", _fingerprint("norm"))
     groups = (
-        texts.join(suspects.withColumnRenamed("id", "sid"), F.col("id").eqNullSafe(F.col("sid")), "left_semi")
+        texts.join(suspects, "fp", "left_semi")
         .groupBy("norm")
         .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
         .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     )
-    keep_id = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    return rows.join(groups, "sha", "left").select(
+    groups = common.materialize(groups, "exact-dedup-groups")
+    # Which of the repeated rows of the smallest id stays is told by their place in the stored table.
+    placed = rows.select("id", "sha", "fp", F.monotonically_increasing_id().alias("place"))
+    first = F.min_by("place", F.struct(F.col("id").isNull(), "id", "place")).alias("first")
+    firsts = placed.join(suspects, "fp", "left_semi").groupBy("sha").agg(first)
+    groups = common.materialize(groups.join(firsts, "sha"), "exact-dedup-kept")
+    alone = F.col("group_size").isNull()
+    return placed.join(groups, "sha", "left").select(
         F.col("id").alias(id),
-        keep_id.alias("keep_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("id").eqNullSafe(keep_id) & (F.col("nth") == 1)).alias("kept"),
+        (alone | (F.col("place") == F.col("first"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def without_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", owners: int | None = None) -> DataFrame:
+    """The rows of ``docs`` with all their columns, one of each group of equal texts.
+
+    It is a row of the smallest id; rows without one come last. Rows that are no suspects stay where they
+    are, the others are grouped by their normalised text. Columns may have any names.
+    """
+    norm, fp, row = (common.free_name(docs, x) for x in ("norm", "fp", "row"))
+    suspects = common.broadcast_if_small(suspect_fingerprints(_hashed(docs, id, text), owners).withColumnRenamed("fp", fp))
+    whole = docs.withColumn(norm, normalized(F.col(f"`{text}`"))).withColumn(fp, _fingerprint(f"`{norm}`"))
+    single = whole.join(suspects, fp, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.xxhash64(f"`{text}`")))
+    order = F.struct(F.col(f"`{id}`").isNull(), F.col(f"`{id}`"), F.xxhash64(rest))
+    best = whole.join(suspects, fp, "left_semi").groupBy(F.col(f"`{norm}`")).agg(F.min_by(F.struct(*columns), order).alias(row))
+    return single.unionByName(best.select(f"`{row}`.*"))
