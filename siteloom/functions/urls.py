@@ -109,6 +109,14 @@ def endpoint_id(method: Column, host: Column, pattern: Column) -> Column:
     return F.concat(method, F.lit(" "), host, pattern)
 
 
+def component_id(page_url: Column, path: Column) -> Column:
+    return F.concat_ws("|", page_url, path)
+
+
+def state_style_id(page_url: Column, path: Column, state: Column, prop: Column) -> Column:
+    return F.concat_ws("|", page_url, path, state, prop)
+
+
 def request_host(url: Column) -> Column:
     return F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
 

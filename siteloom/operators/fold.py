@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteloom.functions import urls
+from siteloom.functions import labels, urls
 
 PENDING, FINISHED, FAILED, EXTERNAL = "Pending", "Finished", "Failed", "External"
 
@@ -88,6 +88,14 @@ def interaction_targets(interactions: DataFrame) -> DataFrame:
     return interactions.withColumn("target", F.when(led, urls.route_shape(F.col("resulting_url"))).otherwise(F.col("page_url")))
 
 
+def parsed_options(events: DataFrame) -> DataFrame:
+    """Events with ``options`` (raw JSON in any of three shapes) as an array of rows, and their ``group_name``;
+    none where the shape isn't known."""
+    told = events.withColumn("_o", labels.option_rows(F.col("options")))
+    none = F.array().cast("array<struct<path:string,text:string,selected:boolean>>")
+    return told.withColumn("options", F.coalesce("_o.rows", none)).withColumn("group_name", F.coalesce("_o.group_name", F.lit(""))).drop("_o")
+
+
 def current_options(events: DataFrame, site: tuple[str, ...] = ()) -> DataFrame:
     """Options of each component, all replaced by its last event (column options: array)."""
     keys = [*site, "page_url", "path"]
@@ -117,6 +125,12 @@ def current_state_styles(events: DataFrame, site: tuple[str, ...] = ()) -> DataF
     return flat.groupBy(*keys, "state", "property").agg(_last("value").alias("value"))
 
 
+def load_requests(requests: DataFrame, site: tuple[str, ...] = ()) -> DataFrame:
+    """First-party requests that a page's own load fired (no path), with ``loaded_page``."""
+    own = requests.filter("is_first_party and path is null and page_url is not null")
+    return own.withColumnRenamed("page_url", "loaded_page").drop("path", "visit_id", "step_seq")
+
+
 def triggered_requests(requests: DataFrame, interactions: DataFrame, site: tuple[str, ...] = ()) -> DataFrame:
     """First-party requests with the interaction of the same page, path, visit and step."""
     keys = [*site, "page_url", "path", "visit_id", "step_seq"]
@@ -141,6 +155,12 @@ def payloads(bodies: DataFrame) -> DataFrame:
     return bodies.groupBy("hash").agg(first, F.count("*").alias("uses")).select("hash", "f.*", "uses")
 
 
+def payload_edges(requests: DataFrame) -> DataFrame:
+    """(event_seq, direction, hash) of the bodies that requests have (request_body_hash, response_body_hash)."""
+    sides = F.array(*(F.struct(F.lit(x).alias("direction"), F.col(f"{x}_body_hash").alias("hash")) for x in ("request", "response")))
+    return requests.select("event_seq", F.inline(sides)).filter("coalesce(hash, '') <> ''")
+
+
 def replace_partitions(df: DataFrame, path: str, by: str = "site") -> None:
     """Full rebuild of the partitions that ``df`` holds; the others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
@@ -184,12 +204,17 @@ def stamp_first_party(requests: DataFrame, base: Column) -> DataFrame:
 
 def component_rows(discovered: DataFrame) -> DataFrame:
     """Descriptive columns of raw discovered elements, with defaults for what is missing."""
-    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    text = lambda c, name=None: F.coalesce(F.col(c), F.lit("")).alias(name or c)
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     box = [F.col(f"rect.{c}").cast("double").alias(c) for c in ("x", "y", "width", "height")]
+    named = (("class", "css_class"), ("id", "element_id"), ("href", "href"))
+    attributes = [F.coalesce(F.try_element_at("attributes", F.lit(k)), F.lit("")).alias(v) for k, v in named]
     return discovered.select(
-        "page_url", "path", *map(text, ("tag", "role", "text", "input_type", "name", "form")), *map(flag, ("visible", "selected")), *box
-    )
+        "page_url", "path", *map(text, ("tag", "role", "text", "input_type")), *map(flag, ("visible", "selected")), *box,
+        # The fifteen facts.
+        *attributes, *map(text, ("placeholder", "label", "name", "form")), *map(flag, ("disabled", "required")),
+        *(text(f"style.{c}", c) for c in ("color", "background_color", "font_size", "font_weight", "display", "position")),
+    )
 
 
 def navigation_edges(interactions: DataFrame) -> DataFrame:

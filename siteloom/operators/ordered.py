@@ -6,7 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siteloom.functions import labels
+from siteloom.plans.shared import materialize
+
 BEFORE = (W.unboundedPreceding, 0)
+BINS = "_bin"
+
+
+def running(rows: DataFrame, by: list[str], order: list, sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with running sums and minima, from the first row of the group to this one, in a total order.
+
+    Rows are sorted by ranges, so that a group may lie in many tasks: each range adds what the ranges before it
+    hold of the group, from one row per group and range.
+    """
+    totals = {k: (F.sum, F.lit(0), c) for k, c in (sums or {}).items()} | {k: (F.min, None, c) for k, c in (least or {}).items()}
+    keys = [F.col(c) for c in by]
+    placed = rows.select("*", *(c.alias(f"_of_{k}") for k, (_, _, c) in totals.items()))
+    placed = materialize(placed.repartitionByRange(*keys, *order).withColumn(BINS, F.spark_partition_id()), "ranges")
+    inner = W.partitionBy(*by, BINS).orderBy(*order).rowsBetween(*BEFORE)
+    earlier = W.partitionBy(*by).orderBy(BINS).rowsBetween(W.unboundedPreceding, -1)
+    ends = placed.groupBy(*by, BINS).agg(*(f(f"_of_{k}").alias(f"_in_{k}") for k, (f, _, _) in totals.items()))
+    ends = ends.select(*by, BINS, *(f(f"_in_{k}").over(earlier).alias(f"_before_{k}") for k, (f, _, _) in totals.items()))
+    ends = materialize(ends, "range-ends")
+    same = [placed[c].eqNullSafe(ends[c]) for c in (*by, BINS)]
+    found = placed.join(ends, same, "left").drop(*(ends[c] for c in (*by, BINS)))
+    for k, (f, zero, _) in totals.items():
+        own = f(f"_of_{k}").over(inner)
+        before = F.col(f"_before_{k}")
+        found = found.withColumn(k, own + F.coalesce(before, zero) if zero is not None else F.least(own, before))
+    return found.drop(BINS, *(f"_{x}_{k}" for k in totals for x in ("of", "before")))
+
+
+def numbered(rows: DataFrame, by: list[str], order: list, name: str = "n") -> DataFrame:
+    """``rows`` with their number, from 1, in the order of their group."""
+    return running(rows, by, order, sums={name: F.lit(1).cast("long")})
 
 
 def traces(steps: DataFrame) -> DataFrame:
@@ -47,21 +80,21 @@ def trace_assertions(found: DataFrame, requests: DataFrame) -> DataFrame:
 def budget_cut(visits: DataFrame, pages: int | None = None, nodes: int | None = None, minutes: float | None = None) -> DataFrame:
     """Per run the first visit (run_id, seq, elapsed_minutes, found, interrupted) at which a cap is
     met, with the reason. Pages come before nodes before minutes; only completed visits are pages."""
-    so_far = W.partitionBy("run_id").orderBy("seq").rowsBetween(*BEFORE)
-    done = F.sum(F.when(F.col("interrupted"), 0).otherwise(1)).over(so_far)
-    seen = F.sum("found").over(so_far)
+    counts = {"_done": F.when(F.col("interrupted"), 0).otherwise(1), "_seen": F.col("found")}
+    so_far = running(visits, ["run_id"], [F.col("seq")], sums=counts)
     reason = F.lit(None).cast("string")
-    for name, value, cap in (("minutes", F.col("elapsed_minutes"), minutes), ("nodes", seen, nodes), ("pages", done, pages)):
+    for name, value, cap in (("minutes", "elapsed_minutes", minutes), ("nodes", "_seen", nodes), ("pages", "_done", pages)):
         if cap is not None:
-            reason = F.when(value >= cap, name).otherwise(reason)
-    cut = visits.withColumn("reason", reason).filter("reason is not null")
+            reason = F.when(F.col(value) >= cap, name).otherwise(reason)
+    cut = so_far.withColumn("reason", reason).filter("reason is not null")
     return cut.groupBy("run_id").agg(F.min("seq").alias("seq"), F.min_by("reason", "seq").alias("reason"))
 
 
 def slowdown_ratio(navigations: DataFrame) -> DataFrame:
     """Elapsed time over the fastest so far of the crawl."""
-    fastest = F.min("elapsed_seconds").over(W.partitionBy("crawl_id").orderBy("seq").rowsBetween(*BEFORE))
-    return navigations.withColumn("ratio", F.when(fastest > 0, F.col("elapsed_seconds") / fastest).otherwise(1.0))
+    found = running(navigations, ["crawl_id"], [F.col("seq")], least={"_fastest": F.col("elapsed_seconds")})
+    fastest = F.col("_fastest")
+    return found.withColumn("ratio", F.when(fastest > 0, F.col("elapsed_seconds") / fastest).otherwise(1.0)).drop("_fastest")
 
 
 def backoff_step(acc: Column, x: Column, ceiling: float | None, slow: float, stop: float) -> Column:
@@ -106,10 +139,36 @@ def capped_rows(rows: DataFrame, by: list[str], order: list, cap: int) -> DataFr
     return found.filter(F.col("_n") <= cap).drop("_n")
 
 
+def page_facts(components: DataFrame, cap: int = 60) -> DataFrame:
+    """(page_url, type, text, current_value, choices, interacted, truncated): the controls of each page by path,
+    a stepper once by its container and a choice group once by its name, ``cap`` of them at most.
+
+    components: page_url, path, text, component_type, interacted, options (rows of path, text, selected), group_name.
+    """
+    told = components.withColumn("_o", labels.described_options(F.col("options"), F.coalesce("group_name", F.lit(""))))
+    kind, none = F.col("_o.kind"), F.lit(None)
+    single = F.when(kind == labels.STEPPER, F.concat(F.lit("s"), F.coalesce(F.nullif(F.col("_o.container"), F.lit("")), "path")))
+    single = single.when(kind == "choice_group", F.concat(F.lit("g"), "_o.name"))
+    first = F.row_number().over(W.partitionBy("page_url", F.coalesce(single, F.concat(F.lit("p"), "path"))).orderBy("path"))
+    kept = told.withColumn("_first", first).filter("_first = 1")
+    kept = capped_rows(kept, ["page_url"], ["path"], cap)
+    text = F.nullif(F.coalesce("text", F.lit("")), F.lit(""))
+    choices = F.filter(F.transform("_o.choices", lambda x: x["text"]), lambda x: F.coalesce(x, F.lit("")) != "")
+    return kept.select(
+        "page_url", "path",
+        F.when(kind == labels.STEPPER, "stepper control (increment/decrement)").when(kind == "choice_group", "choice group (dropdown/menu/radio/checkbox)")
+        .otherwise(F.coalesce("component_type", F.lit("element"))).alias("type"),
+        F.when(kind == labels.STEPPER, F.coalesce(text, F.lit("quantity control"))).when(kind == "choice_group", F.format_string("group '%s'", "_o.name"))
+        .otherwise(F.coalesce(text, F.lit("(no accessible label found on this element)"))).alias("text"),
+        F.when(kind == labels.STEPPER, F.col("_o.current_value")).otherwise(none).alias("current_value"),
+        F.when(kind == "choice_group", choices).alias("choices"), "interacted", "truncated",
+    )
+
+
 def chunked(rows: DataFrame, by: str, order: list, size: int = 5) -> DataFrame:
     """Rows with ``chunk``: consecutive runs of ``size`` rows within a section."""
-    n = F.row_number().over(W.partitionBy(by).orderBy(*order))
-    return rows.withColumn("chunk", F.floor((n - 1) / size).cast("int"))
+    found = numbered(rows, [by], [F.col(c) if isinstance(c, str) else c for c in order], "_n")
+    return found.withColumn("chunk", F.floor((F.col("_n") - 1) / size).cast("int")).drop("_n")
 
 
 def first_texts(rows: DataFrame, by: str, text: str, pos: str, cap: int = 20) -> DataFrame:

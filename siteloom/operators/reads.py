@@ -19,6 +19,43 @@ def pending(pages: DataFrame, limit: int | None = None) -> DataFrame:
     return found if limit is None else found.limit(limit)
 
 
+def edges_in_order(edges: DataFrame) -> DataFrame:
+    """Navigations as they were first seen."""
+    return edges.orderBy("created_at", "from", "component", "action", "to")
+
+
+def component_states(components: DataFrame, page_url: str) -> DataFrame:
+    """The components of one page."""
+    return components.filter(F.col("page_url") == page_url).drop("page_url")
+
+
+def text_ledger(pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts of the pages that are known, by page and path."""
+    return texts.join(pages.select(F.col("url").alias("page_url")), "page_url", "left_semi").orderBy("page_url", "path")
+
+
+def state_styles_in_order(styles: DataFrame) -> DataFrame:
+    return styles.select("page_url", "path", "state", "property", "value").orderBy("page_url", "path", "state", "property")
+
+
+METRICS = ("module_id", "module_label", "click_depth", "in_degree", "out_degree", "betweenness", "pagerank", "is_articulation_point")
+
+
+def page_metrics(pages: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Every page with all eight measures by url; a page outside of the graph has nulls and an empty label."""
+    found = pages.select("url").join(metrics.select("url", *METRICS), "url", "left").fillna("", ["module_label"])
+    return found.orderBy("url")
+
+
+def unfinished_urls(pages: DataFrame) -> DataFrame:
+    """What the coverage lists as unfinished: every page that isn't Finished, External ones too."""
+    return pages.filter("status <> 'Finished'").select("url").orderBy("url")
+
+
+def unexplored(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    return pending(pages, limit)
+
+
 def progress_table(pages: DataFrame) -> DataFrame:
     return pages.orderBy((F.col("status") != "Finished").desc(), "url")
 
@@ -86,6 +123,31 @@ def component_ledger(components: DataFrame, interactions: DataFrame, requests: D
     return components
 
 
+def flat_component_ledger(ledger: DataFrame) -> DataFrame:
+    """The ledger as one list, by page and path."""
+    return ledger.orderBy("page_url", "path")
+
+
+def contract_sources(requests: DataFrame, endpoints: DataFrame, loads: DataFrame, interactions: DataFrame, components: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Requests of first-party endpoints with the page that loaded them, the control that triggered them, its page,
+    and both bodies; all but the endpoint are optional.
+
+    requests: event_seq, endpoint_id, request_body_hash, response_body_hash, interaction_seq and facts. loads: event_seq,
+    loaded_page. interactions: interaction_seq, page_url, path. payloads: hash, content.
+    """
+    own = requests.join(endpoints.filter("first_party").select("endpoint_id"), "endpoint_id")
+    found = own.join(loads.select("event_seq", "loaded_page"), "event_seq", "left")
+    found = found.join(interactions.select("interaction_seq", F.col("page_url").alias("_page"), F.col("path").alias("_path")), "interaction_seq", "left")
+    known = components.select(F.col("page_url").alias("_page"), F.col("path").alias("_path"), F.lit(True).alias("_known")).distinct()
+    found = found.join(known, ["_page", "_path"], "left")
+    for side in ("request", "response"):
+        body = payloads.select(F.col("hash").alias(f"{side}_body_hash"), F.col("content").alias(f"{side}_body"))
+        found = found.join(body, f"{side}_body_hash", "left")
+    path = F.when(F.col("_known"), F.col("_path"))
+    page = F.coalesce(F.when(F.col("_known"), F.col("_page")), F.col("loaded_page"))
+    return found.withColumn("path", path).withColumn("page_url", page).drop("_page", "_path", "_known", "loaded_page", "interaction_seq")
+
+
 def callers_of(calls: DataFrame, endpoint: str | None = None) -> DataFrame:
     """Distinct (endpoint_id, page_url, path) whose interaction called it."""
     found = calls if endpoint is None else calls.filter(F.col("endpoint_id") == endpoint)

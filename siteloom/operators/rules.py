@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteloom.functions import colors, labels
+from siteloom.operators.ordered import numbered
 from siteloom.plans.shared import materialize
 
 
@@ -19,21 +20,35 @@ def _distinct(column: str, name: str | None = None):
 
 
 def inferred_requests(requests: DataFrame, by: tuple[str, ...] = ("endpoint_id",)) -> DataFrame:
-    """Per first-party endpoint the sorted distinct facts, all latencies, and the shortest bodies;
-    a response example comes from a 2xx answer only."""
+    """Per first-party endpoint the sorted distinct facts, the span and number of latencies, and the shortest
+    bodies; a response example comes from a 2xx answer only. All latencies are in ``endpoint_latencies``."""
     good = F.col("status").between(200, 299)
     shortest = lambda c, where=None: F.min_by(c, F.when((F.coalesce(F.col(c), F.lit("")) != "") & (F.lit(True) if where is None else where), F.struct(F.char_length(c), F.col(c))))
-    return requests.filter("is_first_party").groupBy(*by).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("query_params")))).alias("query_params"),
+    own = requests.filter("is_first_party")
+    names = own.select(*by, F.explode("query_params").alias("_q")).distinct().groupBy(*by).agg(F.array_sort(F.collect_list("_q")).alias("query_params"))
+    found = own.groupBy(*by).agg(
         _distinct("status", "status_codes"),
         _distinct("auth_scheme", "auth_schemes"),
         _distinct("media_type", "media_types"),
-        F.array_sort(F.collect_list("latency_ms")).alias("latencies_ms"),
+        F.min("latency_ms").alias("least_ms"), F.max("latency_ms").alias("most_ms"), F.count("latency_ms").alias("n_latencies"),
         F.array_sort(F.collect_set(F.when(F.col("path").isNotNull(), F.struct("page_url", "path")))).alias("triggered_by"),
         F.array_sort(F.collect_set(F.when(F.col("path").isNull(), F.col("page_url")))).alias("loaded_by"),
         shortest("request_body").alias("request_example"),
         shortest("response_body", good).alias("response_example"),
-    )
+    )
+    none = F.array().cast("array<string>")
+    return found.join(names, list(by), "left").withColumn("query_params", F.coalesce("query_params", none))
+
+
+def endpoint_latencies(requests: DataFrame, by: tuple[str, ...] = ("endpoint_id",)) -> DataFrame:
+    """(by, latency_ms, calls): every latency of the first-party endpoints and how often it occurred."""
+    return requests.filter("is_first_party and latency_ms is not null").groupBy(*by, "latency_ms").agg(F.count("*").alias("calls"))
+
+
+def observed_from(inferred: DataFrame, most: int = 5) -> DataFrame:
+    """Where an endpoint was seen from: its first callers and loading pages, and the span of its latencies."""
+    span = F.when(F.col("n_latencies") > 0, F.concat_ws("-", "least_ms", "most_ms"))
+    return inferred.select("endpoint_id", F.slice("triggered_by", 1, most).alias("callers"), F.slice("loaded_by", 1, most).alias("pages"), span.alias("latency"))
 
 
 def endpoint_contract(endpoints: DataFrame, requests: DataFrame, endpoint: str) -> DataFrame:
@@ -53,26 +68,26 @@ def merge_shapes(shapes: DataFrame, by: list[str]) -> DataFrame:
     return keys.join(n, by).select(*by, "key", "type", (F.col("_k") == F.col("_n")).alias("required"))
 
 
-def contract_fields(shapes: DataFrame, by: list[str], depth: int = 5) -> DataFrame:
-    """(by, json_path, type, required) of nested shapes, level by level to ``depth``; list items are
-    ``[]``. A key is required if every object at its place has it."""
+def contract_fields(shapes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, json_path, type, required) of nested shapes, level by level until none is left; list items are
+    ``[]``. A key is required if every object at its place has it, items if every list at their place has some."""
     level = shapes.filter("shape is not null and shape <> ''").select(*by, F.lit("$").alias("at"), "shape")
+    is_list, is_object = F.col("shape").startswith("["), F.col("shape").startswith("{")
     found = None
-    for _ in range(depth):
-        level = materialize(level, "shapes")
+    while True:
+        level = materialize(level.filter(is_list | is_object).withColumn("listed", is_list), "shapes")
         if found is not None and level.isEmpty():
-            break
-        listed = level.filter(F.col("shape").startswith("[")).select(*by, F.concat("at", F.lit("[]")).alias("at"), F.explode(F.from_json("shape", "array<string>")).alias("shape"))
-        objects = level.filter(F.col("shape").startswith("{")).unionByName(listed.filter(F.col("shape").startswith("{")))
-        n = objects.groupBy(*by, "at").agg(F.count("*").alias("_n"))
-        keys = objects.select(*by, "at", F.explode(F.from_json("shape", "map<string,string>")).alias("key", "shape"))
-        keys = materialize(keys.withColumn("json_path", F.concat("at", F.lit("."), "key")), "shape-keys")
-        kind = F.when(F.col("shape").startswith("{"), "object").when(F.col("shape").startswith("["), "array").otherwise(F.col("shape"))
-        rows = keys.groupBy(*by, "at", "json_path").agg(F.min(kind).alias("type"), F.count("*").alias("_k")).join(n, [*by, "at"])
-        rows = rows.select(*by, "json_path", "type", (F.col("_k") == F.col("_n")).alias("required"))
+            return found
+        n = level.groupBy(*by, "at", "listed").agg(F.count("*").alias("_n"))
+        keys = level.filter(is_object).select(*by, "at", "listed", F.explode(F.from_json("shape", "map<string,string>")).alias("key", "shape"))
+        keys = keys.select(*by, "at", "listed", F.concat("at", F.lit("."), "key").alias("json_path"), "shape")
+        items = level.filter(is_list).select(*by, "at", "listed", F.concat("at", F.lit("[]")).alias("json_path"), F.explode(F.from_json("shape", "array<string>")).alias("shape"))
+        parts = materialize(keys.unionByName(items), "shape-parts")
+        kind = F.when(is_object, "object").when(is_list, "array").otherwise(F.col("shape"))
+        rows = parts.groupBy(*by, "at", "listed", "json_path").agg(F.min(kind).alias("type"), F.count("*").alias("_k")).join(n, [*by, "at", "listed"])
+        rows = rows.select(*by, "json_path", "type", (F.col("_k") >= F.col("_n")).alias("required"))
         found = rows if found is None else found.unionByName(rows)
-        level = keys.filter(F.col("shape").startswith("{") | F.col("shape").startswith("[")).select(*by, F.col("json_path").alias("at"), "shape")
-    return found
+        level = parts.select(*by, F.col("json_path").alias("at"), "shape")
 
 
 def shared_schemas(fields: DataFrame, by: list[str]) -> DataFrame:
@@ -86,16 +101,19 @@ def api_operations(endpoints: DataFrame) -> DataFrame:
     """Templated path, operation id, summary and parameters of (method, host, path_pattern, query_params)."""
     pattern = F.regexp_replace("path_pattern", r"\{id_[0-9]+\}", "{id}")
     found = endpoints.withColumn("path_template", labels.path_template(pattern))
-    resource = labels.resource_name(F.col("path_template"))
-    found = found.withColumn("_r", resource).withColumn("_v", labels.operation_verb(F.col("method"), F.size("query_params") > 0))
+    named = labels.operation(F.col("method"), F.size("query_params") > 0, F.col("path_template"))
     return found.select(
-        "method", "host", "path_template",
-        labels.operation_id(F.col("_v"), F.col("_r")).alias("operation_id"),
-        labels.operation_summary(F.col("_v"), F.col("_r")).alias("summary"),
+        "method", "host", "path_template", named["operation_id"].alias("operation_id"), named["summary"].alias("summary"),
         F.concat(labels.template_names(F.col("path_template")), "query_params").alias("parameters"),
     )
 
 
+def api_responses(inferred: DataFrame) -> DataFrame:
+    """(endpoint_id, status, security): each observed status, or one null, with the schemes of the endpoint."""
+    schemes = F.array_sort(F.transform("auth_schemes", lambda x: labels.security_scheme(x)["name"]))
+    return inferred.select("endpoint_id", F.explode_outer("status_codes").alias("status"), F.array_join(schemes, ",").alias("security"))
+
+
 def meaningful_requests(events: DataFrame, keep) -> DataFrame:
     """Kept request events of each capture batch with what was last seen for their url: status,
     failure and body. ``keep`` is a condition on request events."""
@@ -166,9 +184,10 @@ def type_tokens(components: DataFrame) -> DataFrame:
     """(font_size, font_weight, uses, name), largest sizes first, sizes that aren't px last."""
     px = F.regexp_extract("font_size", r"^([0-9.]+)px$", 1).try_cast("double")
     found = components.filter("coalesce(font_size, '') <> ''").groupBy("font_size", "font_weight").agg(F.count("*").alias("uses"))
-    order = [px.isNull(), px.desc(), F.desc("uses"), F.col("font_size"), F.col("font_weight")]
-    name = F.concat(F.lit("text-"), F.row_number().over(W.orderBy(*order)).cast("string"))
-    return found.withColumn("name", name)
+    found = found.withColumn("_px", px)
+    order = [F.col("_px").isNull(), F.col("_px").desc(), F.desc("uses"), F.col("font_size"), F.col("font_weight")]
+    named = numbered(found, [], order, "_n")
+    return named.withColumn("name", F.concat(F.lit("text-"), F.col("_n").cast("string"))).drop("_n", "_px")
 
 
 def state_tokens(styles: DataFrame) -> DataFrame:
@@ -177,9 +196,9 @@ def state_tokens(styles: DataFrame) -> DataFrame:
 
 
 def token_names(rows: DataFrame, prefix: str, uses: str, *ties: str) -> DataFrame:
-    """Rows with a positional name by descending use. For short tables, as palettes are."""
-    n = F.row_number().over(W.orderBy(F.desc(uses), *ties))
-    return rows.withColumn("name", F.concat(F.lit(prefix), n.cast("string")))
+    """Rows with a positional name by descending use."""
+    found = numbered(rows, [], [F.desc(uses), *(F.col(c) for c in ties)], "_n")
+    return found.withColumn("name", F.concat(F.lit(prefix), F.col("_n").cast("string"))).drop("_n")
 
 
 def color_tokens(components: DataFrame, cluster) -> DataFrame:
@@ -277,6 +296,18 @@ def entity_tables(found: DataFrame, run_id: str, generator: str) -> dict[str, Da
     }
 
 
+def nested_entities(tables: dict[str, DataFrame]) -> DataFrame:
+    """Each entity with its fields, and with where it and they are derived from, by name."""
+    keys = ["page_url", "form"]
+    sources = tables["provenance"].groupBy(*keys, "field").agg(F.array_sort(F.collect_set("derived_from")).alias("derived_from"))
+    fields = tables["entity_field"].join(sources, [*keys, "field"], "left")
+    field = F.struct("field", "data_type", "validation", "derived_from")
+    fields = fields.groupBy(*keys).agg(F.array_sort(F.collect_list(field)).alias("fields"))
+    found = tables["entity"].join(fields, keys, "left")
+    paths = F.array_sort(F.array_distinct(F.flatten(F.transform("fields", lambda x: x["derived_from"]))))
+    return found.withColumn("derived_from", paths).orderBy("entity", *keys)
+
+
 def without_provenance(tables: dict[str, DataFrame]) -> DataFrame:
     """Fields that say no source; has to be empty."""
     return tables["entity_field"].join(tables["provenance"].filter("derived_from is not null"), ["page_url", "form", "field"], "left_anti")
@@ -371,14 +402,32 @@ def navigation_edge_list(edges: DataFrame) -> DataFrame:
 
 
 def component_tree_leaves(components: DataFrame, texts: DataFrame, regions: DataFrame) -> DataFrame:
-    """Component and text leaves of each page with their region, by path."""
-    a = components.select("page_url", "path", F.lit("component").alias("kind"), "text", "redirect")
-    b = texts.select("page_url", "path", F.lit("text").alias("kind"), "text", F.lit(None).cast("string").alias("redirect"))
-    return a.unionByName(b).join(regions, ["page_url", "path"], "left").orderBy("page_url", "path")
+    """Component and text leaves of each page, by path.
+
+    components: the ledger (interactions, network_requests, option rows, group_name) with redirect and component_type.
+    A component tells its choices, the last value filled in, the outcomes of its requests, where it leads and its
+    region; a text has none of them.
+    """
+    strings = F.array().cast("array<string>")
+    filled = F.filter("interactions", lambda x: (x["action"] == "fill") & (F.coalesce(x["value"], F.lit("")) != ""))
+    outcome = lambda x: F.when(x["failed"], "FAILED").otherwise(F.coalesce(x["status"].cast("string"), F.lit("?")))
+    called = F.transform("network_requests", lambda x: F.concat(x["method"], F.lit(" "), x["request_path"], F.lit(" -> "), outcome(x)))
+    a = components.join(regions, ["page_url", "path"], "left").select(
+        "page_url", "path", F.lit("component").alias("kind"), F.coalesce(F.nullif(labels.blank("component_type"), F.lit("")), "tag").alias("label"), "text",
+        labels.option_choices(F.coalesce("options", F.array().cast("array<struct<path:string,text:string,selected:boolean>>")), F.coalesce("group_name", F.lit(""))).alias("variants"),
+        F.get(F.reverse(filled), F.lit(0))["value"].alias("last_value"),
+        F.coalesce(called, strings).alias("requests"), "redirect", F.coalesce("region", F.lit("")).alias("region"),
+    )
+    none = F.lit(None).cast("string")
+    b = texts.select(
+        "page_url", "path", F.lit("text").alias("kind"), F.col("tag").alias("label"), "text", strings.alias("variants"), none.alias("last_value"),
+        strings.alias("requests"), none.alias("redirect"), F.lit("").alias("region"),
+    )
+    return a.unionByName(b).orderBy("page_url", "kind", "path")
 
 
 def tree_counts(leaves: DataFrame) -> DataFrame:
-    return leaves.groupBy("page_url", "region").agg(F.count("*").alias("leaves")).orderBy("page_url", F.col("region").asc_nulls_last())
+    return leaves.groupBy("page_url", "region").agg(F.count("*").alias("leaves")).orderBy("page_url", F.col("region") == "", "region")
 
 
 def families_to_narrate(families: DataFrame, remembered: DataFrame) -> DataFrame:

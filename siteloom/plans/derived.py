@@ -49,10 +49,50 @@ def simple_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRAPH = EDGES + ", g AS (SELECT DISTINCT src, dst FROM edge_events)"
 
 
+def _named(prefix: str, column: str):
+    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+
+def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site of pages in levels: regions link to nations, these to customers, these to their orders."""
+    tables = (("nation", "r", "n_regionkey", "n", "n_nationkey"), ("customer", "n", "c_nationkey", "c", "c_custkey"), ("orders", "c", "o_custkey", "o", "o_orderkey"))
+    levels = [read(spark, sf_dir, t).select(_named(p, a).alias("src"), _named(q, b).alias("dst")) for t, p, a, q, b in tables]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+TREE = """tr AS (
+    SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer
+    UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
+
+
+def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's customers around it."""
+    return read(spark, sf_dir, "customer").select(_named("n", "c_nationkey").alias("src"), _named("c", "c_custkey").alias("dst"))
+
+
+def ring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers alike in nation, segment and balance in a ring, each linked to the next one and the one after that."""
+    c = read(spark, sf_dir, "customer").withColumn("bin", F.floor(F.col("c_acctbal") / 2000))
+    by = W.partitionBy("c_nationkey", "c_mktsegment", "bin")
+    at = c.select("c_custkey", F.row_number().over(by.orderBy("c_custkey")).alias("i"), F.collect_list("c_custkey").over(by.orderBy("c_custkey").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("ring"))
+    nxt = at.select("c_custkey", "i", "ring", F.explode(F.array(F.lit(0), F.lit(1))).alias("d"))
+    to = F.get("ring", F.expr("(i + d) % size(ring)"))
+    return nxt.select(F.format_string("c%08d", "c_custkey").alias("src"), F.format_string("c%08d", to).alias("dst")).filter("src <> dst").distinct()
+
+
+RINGS = """cr AS (
+    SELECT c_custkey, row_number() OVER w AS i, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 2000)) AS n,
+           c_nationkey AS a, c_mktsegment AS b, floor(c_acctbal / 2000) AS c
+    FROM customer WINDOW w AS (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal / 2000) ORDER BY c_custkey)),
+ring AS (
+    SELECT DISTINCT 'c' || lpad(x.c_custkey::VARCHAR, 8, '0') AS src, 'c' || lpad(y.c_custkey::VARCHAR, 8, '0') AS dst
+    FROM cr x, unnest([0, 1]) AS t(d), cr y WHERE x.a = y.a AND x.b = y.b AND x.c = y.c AND y.i = (x.i + d) % x.n + 1 AND x.c_custkey <> y.c_custkey)"""
+
+
 def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "Finished").when(F.col("event_type") == "error", "Failed").otherwise("Pending")
     return event_rows(spark, sf_dir).select(
-        F.col("k").alias("url"), status.alias("status"), F.floor("value").cast("long").alias("components"),
+        F.concat_ws("/", F.col("user_id").cast("string"), "k").alias("url"), status.alias("status"), F.floor("value").cast("long").alias("components"),
         F.when(F.col("event_type") == "view", F.concat(F.lit("page "), F.col("event_id").cast("string"))).otherwise("").alias("description"),
         F.when(F.col("event_type") == "click", F.concat(F.lit("title "), F.col("event_id").cast("string"))).otherwise("").alias("title"),
         F.col("event_id").alias("event_seq"), "ts",
@@ -60,7 +100,7 @@ def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGE_EVENTS = EVENTS + """, pe AS (
-    SELECT k AS url, CASE event_type WHEN 'purchase' THEN 'Finished' WHEN 'error' THEN 'Failed' ELSE 'Pending' END AS status,
+    SELECT user_id || '/' || k AS url, CASE event_type WHEN 'purchase' THEN 'Finished' WHEN 'error' THEN 'Failed' ELSE 'Pending' END AS status,
            floor(value)::BIGINT AS components,
            CASE WHEN event_type = 'view' THEN 'page ' || event_id ELSE '' END AS description,
            CASE WHEN event_type = 'click' THEN 'title ' || event_id ELSE '' END AS title, event_id AS event_seq, ts

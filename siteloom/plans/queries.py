@@ -60,16 +60,26 @@ def url_keys(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    rows = html.flat_links(d.read(spark, sf_dir, "pages"))
+    rows = html.extract_links(html.parse_pages(d.read(spark, sf_dir, "pages")))
     seq = F.col("page_id") * 100_000 + F.col("pos")
-    return rows.select(urls.route_shape(F.col("url")).alias("from"), F.concat(urls.host_of(F.col("url")), "href").alias("to"), "label", seq.alias("event_seq"))
+    return rows.select(urls.route_shape(F.col("url")).alias("from"), urls.route_shape(F.col("href")).alias("to"), F.col("text").alias("label"), seq.alias("event_seq"))
 
 
+def plain_sql(x: str) -> str:
+    """Markup off, character references of the pages decoded, white space as one space."""
+    bare = rf"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        bare = f"replace({bare}, '{name}', '{char}')"
+    return rf"trim(regexp_replace({bare}, '[\s\x0B]+', ' ', 'g'))"
+
+
+ANCHOR = r"""'<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'"""
 LINKS = f"""raw AS (
-    SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href,
-           unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label,
-           unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)))) AS pos FROM pages),
-lk AS (SELECT {shape_sql("url")} AS src, {host_sql("url")} || href AS dst, label, page_id * 100000 + pos AS event_seq FROM raw)"""
+    SELECT page_id, url, unnest(regexp_extract_all(html, {ANCHOR}, 1, 's')) AS href,
+           unnest(regexp_extract_all(html, {ANCHOR}, 2, 's')) AS label,
+           unnest(range(len(regexp_extract_all(html, {ANCHOR}, 1, 's')))) AS pos FROM pages),
+lr AS (SELECT page_id, url, pos, regexp_extract(url, '^[a-z]+://[^/?#]*') || href AS href, {plain_sql("label")} AS label FROM raw),
+lk AS (SELECT {shape_sql("url")} AS src, {shape_sql("href")} AS dst, label, page_id * 100000 + pos AS event_seq FROM lr)"""
 
 
 @query(f"WITH {LINKS} SELECT src AS \"from\", dst AS \"to\", arg_max(label, event_seq) AS label FROM lk GROUP BY ALL")
@@ -91,20 +101,18 @@ def link_scope(spark, sf_dir):
     return fold.classify_links(links, F.lit("https://app.example.com"), True).select("url", "status")
 
 
-@query()
+@query(f"WITH {LINKS} SELECT page_id, pos::INT AS pos, href, label AS text, split_part(href, ':', 1) AS scheme FROM lr")
 def page_links_resolved(spark, sf_dir):
     parsed = html.parse_pages(d.read(spark, sf_dir, "pages"))
     return html.extract_links(parsed).select("page_id", "pos", "href", "text", "scheme")
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '<h1>([^<&]*)', 1) AS head, len(regexp_extract_all(html, '<a href=')) AS links,
-           coalesce(nullif(regexp_extract(html, '<html lang="([a-z]*)"', 1), ''), '') AS lang FROM pages""")
+@query(f"""SELECT page_id, {plain_sql("regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')")} AS head,
+           len(regexp_extract_all(html, '<a[ >]')) AS links, len(regexp_extract_all(html, '<meta [^>]*(?:name|property)=')) AS metadata FROM pages""")
 def page_meta(spark, sf_dir):
-    h = F.col("html")
-    return d.read(spark, sf_dir, "pages").select(
-        "page_id", F.regexp_extract(h, "<h1>([^<&]*)", 1).alias("head"), F.size(F.regexp_extract_all(h, F.lit("<a href="), F.lit(0))).cast("long").alias("links"),
-        F.regexp_extract(h, '<html lang="([a-z]*)"', 1).alias("lang"),
-    )
+    parsed = html.parse_pages(d.read(spark, sf_dir, "pages"))
+    head = F.get(F.filter("texts", lambda x: x["tag"] == "h1"), F.lit(0))["text"]
+    return parsed.select("page_id", F.coalesce(head, F.lit("")).alias("head"), F.size("links").cast("long").alias("links"), F.size("metadata").cast("long").alias("metadata"))
 
 
 @query()
@@ -113,9 +121,9 @@ def page_structure(spark, sf_dir):
     return parsed.select("page_id", *(F.size(x).alias(f"n_{x}") for x in html.PARTS)).join(html.extract_description(parsed).drop("url"), "page_id")
 
 
-@query(f"WITH {d.GRAPH} SELECT DISTINCT src AS url, 'Pending' AS status FROM g WHERE src LIKE '1%' UNION SELECT dst, 'Pending' FROM g WHERE src LIKE '1%'")
+@query(f"WITH {d.TREE} SELECT DISTINCT src AS url, 'Pending' AS status FROM tr UNION SELECT dst, 'Pending' FROM tr")
 def pending_pages(spark, sf_dir):
-    e = d.simple_edges(spark, sf_dir).filter("src like '1%'")
+    e = d.tree_edges(spark, sf_dir)
     pages = e.select(F.col("src").alias("url")).distinct().withColumn("status", F.lit("Pending"))
     return fold.ensure_pages(pages, e.select(F.col("dst").alias("url"))).select("url", "status")
 
@@ -130,16 +138,14 @@ def nav_edges(spark, sf_dir):
     return fold.current_edges(d.edge_events(spark, sf_dir))
 
 
-@query(f"WITH {d.GRAPH} SELECT id FROM (SELECT src AS id FROM g EXCEPT SELECT dst FROM g)")
+@query(f"WITH {d.TREE} SELECT src AS id FROM tr EXCEPT SELECT dst FROM tr")
 def entry_states(spark, sf_dir):
-    e = d.edge_events(spark, sf_dir)
-    return e.select(F.col("from").alias("id")).distinct().join(e.select(F.col("to").alias("id")), "id", "left_anti")
+    return graph.entry_states(d.tree_edges(spark, sf_dir))
 
 
-@query(f"WITH {d.GRAPH} SELECT id FROM (SELECT dst AS id FROM g EXCEPT SELECT src FROM g)")
+@query(f"WITH {d.TREE} SELECT dst AS id FROM tr EXCEPT SELECT src FROM tr")
 def dead_ends(spark, sf_dir):
-    e = d.edge_events(spark, sf_dir)
-    return e.select(F.col("to").alias("id")).distinct().join(e.select(F.col("from").alias("id")), "id", "left_anti")
+    return graph.dead_ends(d.tree_edges(spark, sf_dir))
 
 
 @query(f"WITH {d.GRAPH} SELECT src AS id FROM g UNION SELECT dst FROM g")
@@ -147,25 +153,17 @@ def states(spark, sf_dir):
     return graph.vertices(d.simple_edges(spark, sf_dir))
 
 
-HUBS = d.GRAPH + ", h AS (SELECT DISTINCT src, dst FROM edge_events WHERE event_seq % 10 = 0)"
-
-
-def _sparse(spark, sf_dir):
-    """Edges of every tenth event, so that paths have some length."""
-    return d.edge_events(spark, sf_dir).filter("event_seq % 10 = 0").select(F.col("from").alias("src"), F.col("to").alias("dst")).distinct()
-
-
-@query(f"""WITH RECURSIVE {HUBS}, r(id, n) AS (SELECT dst, 1 FROM h WHERE src = '1'
-    UNION SELECT h.dst, r.n + 1 FROM r JOIN h ON h.src = r.id WHERE r.n < 4) SELECT DISTINCT id FROM r""")
+@query(f"""WITH RECURSIVE {d.TREE}, r(id, n) AS (SELECT dst, 1 FROM tr WHERE src = 'r1'
+    UNION SELECT tr.dst, r.n + 1 FROM r JOIN tr ON tr.src = r.id WHERE r.n < 4) SELECT DISTINCT id FROM r""")
 def reachable_within_k(spark, sf_dir):
-    return graph.reachable(_sparse(spark, sf_dir), "1", 4)
+    return graph.reachable(d.tree_edges(spark, sf_dir), "r1", 4)
 
 
-@query(f"""WITH RECURSIVE {HUBS}, r(id, n) AS (SELECT '1', 0 UNION SELECT h.dst, r.n + 1 FROM r JOIN h ON h.src = r.id WHERE r.n < 25),
-    v AS (SELECT src AS id FROM h UNION SELECT dst FROM h)
+@query(f"""WITH RECURSIVE {d.TREE}, r(id, n) AS (SELECT 'r0', 0 UNION SELECT tr.dst, r.n + 1 FROM r JOIN tr ON tr.src = r.id WHERE r.n < 25),
+    v AS (SELECT src AS id FROM tr UNION SELECT dst FROM tr)
     SELECT v.id, min(r.n)::INT AS depth FROM v LEFT JOIN r ON r.id = v.id GROUP BY v.id""")
 def click_depth(spark, sf_dir):
-    return graph.click_depth(_sparse(spark, sf_dir), "1")
+    return graph.click_depth(d.tree_edges(spark, sf_dir), "r0")
 
 
 @query(f"""WITH {d.GRAPH}, o AS (SELECT src AS id, count(*) AS n FROM g GROUP BY 1), i AS (SELECT dst AS id, count(*) AS n FROM g GROUP BY 1)
@@ -174,74 +172,96 @@ def degree_table(spark, sf_dir):
     return graph.degrees(d.simple_edges(spark, sf_dir))
 
 
-def _rank_sql(rounds: int) -> str:
-    steps = [f"""WITH {HUBS}, v AS (SELECT src AS id FROM h UNION SELECT dst FROM h), n AS (SELECT count(*)::DOUBLE AS n FROM v),
-    od AS (SELECT v.id, count(h.src) AS out FROM v LEFT JOIN h ON h.src = v.id GROUP BY 1),
-    r0 AS (SELECT id, 1 / n AS rank FROM v, n)"""]
+def _rank_sql(graph_sql: str, name: str, rounds: int, digits: int) -> str:
+    """PageRank by a fixed number of rounds over the edge table ``name``."""
+    steps = [f"""WITH {graph_sql}, h AS MATERIALIZED (SELECT DISTINCT src, dst FROM {name}), v AS MATERIALIZED (SELECT src AS id FROM h UNION SELECT dst FROM h),
+    n AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM v),
+    od AS MATERIALIZED (SELECT v.id, count(h.src) AS out FROM v LEFT JOIN h ON h.src = v.id GROUP BY 1), r0 AS MATERIALIZED (SELECT id, 1 / n AS rank FROM v, n)"""]
     for i in range(1, rounds + 1):
-        steps.append(f"""r{i} AS (SELECT v.id, 0.15 / n + 0.85 * (coalesce(s.got, 0) + l.loose / n) AS rank FROM v CROSS JOIN n
+        steps.append(f"""r{i} AS MATERIALIZED (SELECT v.id, 0.15 / n + 0.85 * (coalesce(s.got, 0) + l.loose / n) AS rank FROM v CROSS JOIN n
         CROSS JOIN (SELECT coalesce(sum(rank), 0) AS loose FROM r{i - 1} JOIN od USING (id) WHERE out = 0) l
         LEFT JOIN (SELECT h.dst AS id, sum(r.rank / od.out) AS got FROM h JOIN r{i - 1} r ON r.id = h.src JOIN od ON od.id = h.src GROUP BY 1) s ON s.id = v.id)""")
-    return ", ".join(steps) + f" SELECT id, round(rank, 8) AS rank FROM r{rounds}"
+    return ", ".join(steps) + f" SELECT id, round(rank, {digits}) AS rank FROM r{rounds}"
 
 
-@query(_rank_sql(5))
+@query(_rank_sql(d.TREE, "tr", 5, 10))
 def pagerank_fixed_rounds(spark, sf_dir):
-    return graph.pagerank(_sparse(spark, sf_dir), rounds=5, tolerance=None).select("id", F.round("rank", 8).alias("rank"))
+    return graph.pagerank(d.tree_edges(spark, sf_dir), rounds=5, tolerance=None).select("id", F.round("rank", 10).alias("rank"))
 
 
-@query()
+@query(_rank_sql(d.EDGES, "edge_events", 60, 7))
 def pagerank(spark, sf_dir):
-    return graph.pagerank(d.simple_edges(spark, sf_dir))
+    return graph.pagerank(d.simple_edges(spark, sf_dir), tolerance=1e-13).select("id", F.round("rank", 7).alias("rank"))
 
 
-@query(f"""WITH RECURSIVE {HUBS}, p(path, nxt) AS (SELECT [src], dst FROM h WHERE src <= dst
-    UNION ALL SELECT list_append(p.path, h.src), h.dst FROM p JOIN h ON h.src = p.nxt
-    WHERE p.nxt > p.path[1] AND NOT list_contains(p.path, p.nxt) AND h.dst >= p.path[1] AND len(p.path) < 3)
+@query(f"""WITH RECURSIVE {d.RINGS}, p(path, nxt) AS (SELECT [src], dst FROM ring WHERE src <= dst
+    UNION ALL SELECT list_append(p.path, h.src), h.dst FROM p JOIN ring h ON h.src = p.nxt
+    WHERE p.nxt > p.path[1] AND NOT list_contains(p.path, p.nxt) AND h.dst >= p.path[1] AND len(p.path) < 8)
     SELECT path AS cycle FROM p WHERE nxt = path[1] ORDER BY cycle LIMIT 50""")
 def bounded_cycles(spark, sf_dir):
-    return graph.simple_cycles(_sparse(spark, sf_dir), longest=3, most=50)
+    return graph.simple_cycles(d.ring_edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {HUBS}, b AS (SELECT src AS x, dst AS y FROM h UNION SELECT dst, src FROM h),
-    r(id, root) AS (SELECT x, x FROM b UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.id)
-    SELECT id, min(root) AS root FROM r GROUP BY id""")
+# Each region's pages are a tree, so labels settle within six steps.
+@query(f"""WITH {d.TREE}, b AS MATERIALIZED (SELECT src AS x, dst AS y FROM tr UNION SELECT dst, src FROM tr), l0 AS (SELECT DISTINCT x AS id, x AS root FROM b), {
+    ", ".join(f"l{i} AS MATERIALIZED (SELECT l.id, least(l.root, min(o.root)) AS root FROM l{i - 1} l JOIN b ON b.x = l.id JOIN l{i - 1} o ON o.id = b.y GROUP BY l.id, l.root)" for i in range(1, 8))
+    } SELECT * FROM l7""")
 def graph_components(spark, sf_dir):
-    return graph.components(_sparse(spark, sf_dir))
+    return graph.components(d.tree_edges(spark, sf_dir))
 
 
-@query()
+# In a tree all vertices with two neighbours or more are cut vertices.
+@query(f"""WITH {d.TREE}, b AS (SELECT src AS id, dst AS o FROM tr UNION SELECT dst, src FROM tr) SELECT id FROM b GROUP BY id HAVING count(*) > 1""")
 def articulation_points(spark, sf_dir):
-    return graph.articulation_points(d.simple_edges(spark, sf_dir))
+    return graph.articulation_points(d.tree_edges(spark, sf_dir))
 
 
-@query()
+def _betweenness_sql(depth: int = 8) -> str:
+    steps = [f"WITH {d.GRAPH}, p0 AS (SELECT src AS s, src AS v, 0 AS n, 1.0::DOUBLE AS sigma FROM g UNION SELECT dst, dst, 0, 1.0 FROM g)"]
+    for i in range(1, depth + 1):
+        before = " UNION ALL ".join(f"SELECT s, v FROM p{k}" for k in range(i))
+        steps.append(f"""p{i} AS MATERIALIZED (SELECT p.s, g.dst AS v, {i} AS n, sum(p.sigma) AS sigma FROM p{i - 1} p JOIN g ON g.src = p.v
+            WHERE (p.s, g.dst) NOT IN ({before}) GROUP BY 1, 2)""")
+    every = " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(depth + 1))
+    return ", ".join(steps) + f""", a AS MATERIALIZED ({every}), c AS (SELECT count(*)::DOUBLE AS c FROM p0),
+    t AS (SELECT x.v AS id, sum(x.sigma * y.sigma / z.sigma) AS b FROM a x JOIN a y ON y.s = x.v JOIN a z ON z.s = x.s AND z.v = y.v AND z.n = x.n + y.n
+          WHERE x.n > 0 AND y.n > 0 GROUP BY 1)
+    SELECT p0.s AS id, round(coalesce(b, 0) / ((c - 1) * (c - 2)), 9) AS betweenness FROM p0 CROSS JOIN c LEFT JOIN t ON t.id = p0.s"""
+
+
+@query(_betweenness_sql())
 def betweenness(spark, sf_dir):
-    return graph.betweenness(d.simple_edges(spark, sf_dir))
+    return graph.betweenness(d.simple_edges(spark, sf_dir)).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
-@query()
+# Communities of stars are the stars; a community is told by its smallest member.
+@query("""WITH s AS (SELECT 'n' || c_nationkey AS hub, 'c' || c_custkey AS id FROM customer), a AS (SELECT hub, id FROM s UNION SELECT hub, hub FROM s)
+    SELECT id, min(id) OVER (PARTITION BY hub) AS community FROM a""")
 def graph_modules(spark, sf_dir):
-    return graph.modules(d.simple_edges(spark, sf_dir))
+    found = graph.modules(d.star_edges(spark, sf_dir))
+    return found.join(found.groupBy("module").agg(F.min("id").alias("community")), "module").select("id", "community")
 
 
-@query(f"""WITH {HUBS}, x AS (SELECT dst AS id, count(*) AS n FROM h GROUP BY 1)
-    SELECT left(id, 1) AS label, count(*) AS page_count, arg_min(id, struct_pack(n := n, id := id)) AS entry_page,
-           min(n) AS shallowest_depth, max(n) AS deepest_depth, coalesce(list_sort(list(id) FILTER (n > 3)), []) AS articulation_points
-    FROM x GROUP BY 1""")
+@query(f"""WITH {d.TREE}, x AS (SELECT src AS url, count(*) AS n FROM tr GROUP BY 1)
+    SELECT left(url, 1) AS label, count(*) AS page_count, arg_min(url, struct_pack(n := n, url := url)) AS entry_page, min(n) AS shallowest_depth,
+           max(n) AS deepest_depth, coalesce(list_sort(list(url) FILTER (n > 15)), []) AS articulation_points FROM x GROUP BY 1""")
 def module_summary(spark, sf_dir):
-    m = _sparse(spark, sf_dir).groupBy(F.col("dst").alias("url")).agg(F.count("*").alias("click_depth"))
-    m = m.select("url", "click_depth", F.lit(1).alias("module_id"), F.substring("url", 1, 1).alias("module_label"), (F.col("click_depth") > 3).alias("is_articulation_point"))
+    m = d.tree_edges(spark, sf_dir).groupBy(F.col("src").alias("url")).agg(F.count("*").alias("click_depth"))
+    m = m.select("url", "click_depth", F.lit(1).alias("module_id"), F.substring("url", 1, 1).alias("module_label"), (F.col("click_depth") > 15).alias("is_articulation_point"))
     return rules.summarize_modules(m)
 
 
-@query(f"""WITH {d.PARTS}, x AS (SELECT path AS module, 'h.example.com/' || lower(tag) || '/' || lower(component_type) AS url FROM pc)
-    SELECT module, count(*) AS n FROM x GROUP BY 1""")
-def module_sizes(spark, sf_dir):
+# Modules whose pages share their brand only, and of one page each, which share their whole path.
+@query(f"""WITH {d.PARTS}, x AS (SELECT tag AS module, ['shop-' || lower(replace(tag, '#', '-')), lower(component_type), path] AS s FROM pc UNION ALL SELECT path, ['type', lower(component_type)] FROM pc),
+    n AS (SELECT module, count(*) AS n, count(DISTINCT s) AS k, count(DISTINCT s[2]) AS types, min(s) AS s FROM x GROUP BY 1),
+    t AS (SELECT module, CASE WHEN k = 1 THEN s WHEN types = 1 THEN s[:2] ELSE s[:1] END AS s FROM n)
+    SELECT module, array_to_string(list_transform(s, lambda y: array_to_string(list_transform(string_split(replace(y, '-', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ')), ' / ') AS label FROM t""")
+def module_labels(spark, sf_dir):
     p = d.part_components(spark, sf_dir)
-    pages = p.select(F.col("path").alias("module"), F.concat_ws("/", F.lit("h.example.com"), F.lower("tag"), F.lower("component_type")).alias("url"))
-    found = rules.module_label(pages)
-    return pages.join(found, "module").groupBy("module").agg(F.count("*").alias("n"))
+    brand = F.concat(F.lit("shop-"), F.lower(F.replace("tag", F.lit("#"), F.lit("-"))))
+    a = p.select(F.col("tag").alias("module"), F.concat_ws("/", F.lit("https://h.example.com"), brand, F.lower("component_type"), "path").alias("url"))
+    b = p.select(F.col("path").alias("module"), F.concat_ws("/", F.lit("h.example.com"), F.lit("type"), F.lower("component_type")).alias("url"))
+    return rules.module_label(a.unionByName(b))
 
 
 # Pages
@@ -282,14 +302,16 @@ def page_status_counts(spark, sf_dir):
     return fold.current_pages(d.page_events(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("pages"))
 
 
-@query(f"""WITH {STATUS}, cand AS (SELECT 'https://app.example.com/' || k || '/' || event_type AS url, min(event_id) AS pos FROM ev GROUP BY 1),
-    done AS (SELECT 'https://app.example.com/' || url || '/click' AS url FROM p WHERE status = 'Finished')
-    SELECT url, {clean_sql("url")} AS clean, {shape_sql("url")} AS shape, pos FROM cand WHERE url NOT IN (SELECT url FROM done)""")
+@query(f"""WITH {STATUS}, cand AS (SELECT 'https://app.example.com/' || event_type || '/' || md5(user_id || '/' || k) AS url, min(event_id) AS pos FROM ev GROUP BY 1),
+    done AS (SELECT 'https://app.example.com/click/' || md5(url) AS url FROM p WHERE status = 'Finished'), prior AS (SELECT {shape_sql("url")} AS shape, count(*) AS n FROM done GROUP BY 1),
+    x AS (SELECT url, {clean_sql("url")} AS clean, {shape_sql("url")} AS shape, pos FROM cand WHERE url NOT IN (SELECT url FROM done))
+    SELECT x.* FROM x LEFT JOIN prior USING (shape) QUALIFY row_number() OVER (PARTITION BY shape ORDER BY pos, url) + coalesce(prior.n, 0) <= 3""")
 def next_frontier(spark, sf_dir):
     ev = d.event_rows(spark, sf_dir)
     base = F.lit("https://app.example.com")
-    cand = ev.groupBy(F.concat_ws("/", base, "k", "event_type").alias("url")).agg(F.min("event_id").alias("pos"))
-    done = fold.current_pages(d.page_events(spark, sf_dir)).filter("status = 'Finished'").select(F.concat_ws("/", base, "url", F.lit("click")).alias("url"))
+    token = F.md5(F.concat_ws("/", F.col("user_id").cast("string"), "k"))
+    cand = ev.groupBy(F.concat_ws("/", base, "event_type", token).alias("url")).agg(F.min("event_id").alias("pos"))
+    done = fold.current_pages(d.page_events(spark, sf_dir)).filter("status = 'Finished'").select(F.concat_ws("/", base, F.lit("click"), F.md5("url")).alias("url"))
     return reads.next_frontier(cand, done, base, 3)
 
 
@@ -403,15 +425,15 @@ ENDPOINTS = d.REQUESTS + """, er AS (SELECT o_orderpriority AS endpoint_id, is_f
 
 @query(f"""WITH {ENDPOINTS} SELECT endpoint_id, list_sort(list(DISTINCT q)) AS query_params, list_sort(list(DISTINCT status)) AS status_codes,
     coalesce(list_sort(list(DISTINCT auth_scheme) FILTER (auth_scheme <> '')), []) AS auth_schemes, ['application/json'] AS media_types,
-    count(*) AS n_latencies, sum(latency_ms)::BIGINT AS sum_latencies, count(DISTINCT page_url || path) AS n_callers,
+    count(*) AS n_latencies, min(latency_ms) AS least_ms, max(latency_ms) AS most_ms, count(DISTINCT page_url || path) AS n_callers,
     list_sort(list(DISTINCT page_url) FILTER (path IS NULL)) AS loaded_by,
     arg_min(body, struct_pack(n := length(body), b := body)) FILTER (status BETWEEN 200 AND 299) AS response_example
     FROM er WHERE is_first_party GROUP BY endpoint_id""")
 def inferred_requests(spark, sf_dir):
     found = rules.inferred_requests(_endpoint_requests(spark, sf_dir))
     return found.select(
-        "endpoint_id", "query_params", "status_codes", "auth_schemes", "media_types", F.size("latencies_ms").cast("long").alias("n_latencies"),
-        F.aggregate("latencies_ms", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_latencies"), F.size("triggered_by").cast("long").alias("n_callers"),
+        "endpoint_id", "query_params", "status_codes", "auth_schemes", "media_types", "n_latencies", "least_ms", "most_ms",
+        F.size("triggered_by").cast("long").alias("n_callers"),
         "loaded_by", "response_example",
     )
 

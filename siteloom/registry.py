@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siteloom.plans.queries import ORACLES, QUERIES
 
@@ -20,16 +21,18 @@ def query(spark: SparkSession, sf_dir: str, name: str, **params) -> DataFrame:
 
 
 def with_user_text(prompts: DataFrame, prompt: str, fallback: str, write: Callable[[str], str]) -> DataFrame:
-    """Prompt rows with ``text`` by the caller's function; a row where it fails gets ``fallback``."""
+    """Prompt rows with ``text`` by the caller's function; where it fails, ``fallback``, and in ``failure`` why."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(row):
-            try:
-                return write(row[prompt])
-            except Exception:
-                return row[fallback]
+    def one(given):
+        try:
+            return write(given), None
+        except Exception as e:
+            return None, f"{type(e).__name__}: {e}"
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield rows.assign(text=[one(x) for _, x in rows.iterrows()])
+            texts, failures = zip(*map(one, rows[prompt]), strict=True) if len(rows) else ((), ())
+            told = pd.Series(texts, rows.index, object).where([x is None for x in failures], rows[fallback])
+            yield rows.assign(text=told, failure=pd.Series(failures, rows.index, object))
 
-    return prompts.mapInPandas(run, prompts.withColumn("text", prompts[fallback].cast("string")).schema)
+    return prompts.mapInPandas(run, prompts.withColumn("text", prompts[fallback].cast("string")).withColumn("failure", F.lit(None).cast("string")).schema)

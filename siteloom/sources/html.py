@@ -7,8 +7,10 @@ it. Only what static markup tells is there: no computed style, geometry or shado
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,91 +45,131 @@ PARTS = {"links": LINK, "metadata": META, "texts": TEXT, "controls": CONTROL, "s
 
 
 class Element:
-    def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
+    """An element with what it inherits: the nearest form, label and structural element around it."""
+
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None, place: int, text_from: int):
         self.tag, self.attributes, self.parent = tag, attributes, parent
-        self.children: list[Element | str] = []
+        self.place = self.last = place
+        self.text_from = self.text_to = text_from
+        self.own_text: list[str] = []
+        self.tags: Counter[str] = Counter()
+        self.nth = 0
+        self.known_path: str | None = None
+        if parent:
+            parent.tags[tag] += 1
+            self.nth = parent.tags[tag]
+            self.in_section = parent.in_section or parent.tag in ("article", "section")
+            self.in_control = parent.in_control or parent.is_control()
+            self.unread = parent.unread or tag in ("script", "style")
+            self.form = parent if parent.tag == "form" else parent.form
+            self.label = parent if parent.tag == "label" else parent.label
+            self.structure = parent if parent.is_structure() else parent.structure
+        else:
+            self.in_section = self.in_control = self.unread = False
+            self.form = self.label = self.structure = None
 
     def get(self, name: str) -> str:
         return self.attributes.get(name) or ""
 
-    def elements(self) -> Iterator[Element]:
-        for x in self.children:
-            if isinstance(x, Element):
-                yield x
-                yield from x.elements()
-
-    def text(self) -> str:
-        parts = (x if isinstance(x, str) else "" if x.tag in ("script", "style") else x.text() for x in self.children)
-        return " ".join("".join(parts).split())
-
-    def ancestors(self) -> Iterator[Element]:
-        up = self.parent
-        while up and up.tag:
-            yield up
-            up = up.parent
-
     def path(self) -> str:
-        parts: list[str] = []
-        for x in (self, *self.ancestors()):
-            own = x.tag + (f"#{x.get('id')}" if x.get("id") else "")
-            if not x.get("id") and x.parent:
-                same = [y for y in x.parent.children if isinstance(y, Element) and y.tag == x.tag]
-                if len(same) > 1:
-                    own += f":nth-of-type({same.index(x) + 1})"
-            parts.append(own)
-            if x.get("id"):
-                break
-        return " > ".join(reversed(parts))
+        """CSS path from the root on; the page's ``html`` element isn't told."""
+        if self.known_path is None:
+            parts, x = [], self
+            while x.parent and x.known_path is None and x.tag != "html":
+                own = f"{x.tag}#{x.get('id')}" if x.get("id") else x.tag
+                many = not x.get("id") and x.parent.tags[x.tag] > 1
+                parts.append(f"{own}:nth-of-type({x.nth})" if many else own)
+                x = x.parent
+            if x.known_path:
+                parts.append(x.known_path)
+            self.known_path = " > ".join(reversed(parts))
+        return self.known_path
 
     def is_control(self) -> bool:
         return self.tag in CONTROL_TAGS or self.get("role") in CONTROL_ROLES
 
+    def is_structure(self) -> bool:
+        return bool(self.parent) and (self.tag in STRUCTURE or landmark(self) != "")
+
+    def structures(self) -> Iterator[Element]:
+        """Structural elements around it, nearest first."""
+        up = self.structure
+        while up:
+            yield up
+            up = up.structure
+
 
 class Tree(HTMLParser):
+    """Elements in page order, each with the ranges of its descendants and of its texts."""
+
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("", {}, None)
+        self.elements: list[Element] = []
+        self.texts: list[str] = []
+        self.open: Counter[str] = Counter()
+        self.at = self.root = Element("", {}, None, -1, 0)
         self.feed(html)
         self.close()
+        while self.at is not self.root:
+            self.leave()
+        self.controls_before = [0, *accumulate(x.is_control() for x in self.elements)]
+
+    def leave(self) -> None:
+        x = self.at
+        x.last, x.text_to = len(self.elements) - 1, len(self.texts)
+        self.open[x.tag] -= 1
+        self.at = x.parent
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.at.tag == "p" and tag in BLOCKS or self.at.tag == tag == "li":
-            self.at = self.at.parent
-        own = Element(tag, {k: v if v is not None else "" for k, v in attrs}, self.at)
-        self.at.children.append(own)
+            self.leave()
+        own = Element(tag, {k: v if v is not None else "" for k, v in attrs}, self.at, len(self.elements), len(self.texts))
+        self.elements.append(own)
         if tag not in VOID:
             self.at = own
+            self.open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        for x in (self.at, *self.at.ancestors()):
-            if x.tag == tag:
-                self.at = x.parent
-                break
+        if self.open[tag]:
+            while self.at.tag != tag:
+                self.leave()
+            self.leave()
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.at.own_text.append(data)
+        self.texts.append("" if self.at.unread else data)
+
+    def text(self, x: Element) -> str:
+        return " ".join("".join(self.texts[x.text_from : x.text_to]).split())
+
+    def inside(self, x: Element) -> list[Element]:
+        return self.elements[x.place + 1 : x.last + 1]
+
+    def has_control(self, x: Element) -> bool:
+        """Whether it is, holds or lies in a control."""
+        return x.in_control or self.controls_before[x.last + 1] > self.controls_before[x.place]
 
 
 def landmark(x: Element) -> str:
     if x.get("role") in LANDMARKS:
         return x.get("role")
-    sectioned = any(y.tag in ("article", "section") for y in x.ancestors())
     named = x.get("aria-label") or x.get("aria-labelledby")
     own = {"main": "main", "nav": "navigation", "aside": "complementary"}
     top = {"header": "banner", "footer": "contentinfo"}
-    return own.get(x.tag) or ("" if sectioned else top.get(x.tag, "")) or ("form" if x.tag == "form" and named else "")
+    return own.get(x.tag) or ("" if x.in_section else top.get(x.tag, "")) or ("form" if x.tag == "form" and named else "")
 
 
-def _labels(x: Element, by_id: dict[str, Element], label_for: dict[str, Element]) -> tuple[str, str]:
+def _labels(tree: Tree, x: Element, by_id: dict[str, Element], label_for: dict[str, Element]) -> tuple[str, str]:
     """(accessible name, label) of a control."""
     told = by_id.get(x.get("aria-labelledby"))
-    images = (y.get("alt") for y in x.elements() if y.tag == "img")
-    titles = (y.text() for y in x.elements() if y.tag == "title")
-    chain = (x.text(), x.get("aria-label"), told.text() if told else "", x.get("title"), *images, *titles)
-    around = next((y.text() for y in x.ancestors() if y.tag == "label"), "")
+    inner = tree.inside(x)
+    images = (y.get("alt") for y in inner if y.tag == "img")
+    titles = (tree.text(y) for y in inner if y.tag == "title")
+    by = tree.text(told) if told else ""
+    chain = (tree.text(x), x.get("aria-label"), by, x.get("title"), *images, *titles)
     own = label_for.get(x.get("id")) if x.get("id") else None
-    label = next((y for y in (own.text() if own else "", around, told.text() if told else "") if y), "")
-    return next((y.strip() for y in chain if y.strip()), ""), label
+    labels = (tree.text(own) if own else "", tree.text(x.label) if x.label else "", by)
+    return next((y.strip() for y in chain if y.strip()), ""), next(filter(None, labels), "")
 
 
 def _simple_match(x: Element, selector: str) -> bool:
@@ -153,31 +195,30 @@ def _state_rules(css: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 
 def parse_page(html: str) -> dict:
     """The nested tables of one page."""
-    everything = list(Tree(html).root.elements())
+    tree = Tree(html)
+    everything = tree.elements
     by_id = {x.get("id"): x for x in reversed(everything) if x.get("id")}
     label_for = {x.get("for"): x for x in reversed(everything) if x.tag == "label" and x.get("for")}
     controls = [x for x in everything if x.is_control()]
-    links = [{"href": x.get("href"), "text": x.text()} for x in everything if x.tag == "a" and "href" in x.attributes]
+    links = [{"href": x.get("href"), "text": tree.text(x)} for x in everything if x.tag == "a" and "href" in x.attributes]
     metas = [x for x in everything if x.tag == "meta"]
     metadata = [{"name": x.get("name") or x.get("property"), "content": x.get("content")} for x in metas if x.get("name") or x.get("property")]
     texts = []
     for x in everything:
-        if x.tag in PROSE and not any(y.is_control() for y in (x, *x.ancestors(), *x.elements())):
-            if own := " ".join(" ".join(y for y in x.children if isinstance(y, str)).split()):
+        if x.tag in PROSE and not tree.has_control(x):
+            if own := " ".join(" ".join(x.own_text).split()):
                 texts.append({"path": x.path(), "tag": x.tag, "text": own})
     rows = []
     for x in controls:
-        name, label = _labels(x, by_id, label_for)
-        up = [y for y in x.ancestors() if y.tag in STRUCTURE or landmark(y)]
-        form = next((y.path() for y in x.ancestors() if y.tag == "form"), "")
+        name, label = _labels(tree, x, by_id, label_for)
         chosen = x.get("aria-selected") == "true" or x.get("aria-checked") == "true" or x.get("data-state") in ("checked", "on")
         rows.append(
             {"path": x.path(), "tag": x.tag, "role": x.get("role"), "text": name, "label": label, "placeholder": x.get("placeholder"),
-             "name": x.get("name"), "form": form, "input_type": x.get("type"), "css_class": x.get("class"), "href": x.get("href"),
+             "name": x.get("name"), "form": x.form.path() if x.form else "", "input_type": x.get("type"), "css_class": x.get("class"), "href": x.get("href"),
              "disabled": "disabled" in x.attributes, "required": "required" in x.attributes, "selected": chosen or "checked" in x.attributes,
-             "ancestors": [{"path": y.path(), "tag": y.tag, "role": y.get("role"), "landmark": landmark(y), "id": y.get("id"), "class": y.get("class")} for y in up]}
+             "ancestors": [{"path": y.path(), "tag": y.tag, "role": y.get("role"), "landmark": landmark(y), "id": y.get("id"), "class": y.get("class")} for y in x.structures()]}
         )
-    rules = list(_state_rules("\n".join("".join(y for y in x.children if isinstance(y, str)) for x in everything if x.tag == "style")))
+    rules = list(_state_rules("\n".join("".join(x.own_text) for x in everything if x.tag == "style")))
     last: dict[tuple[str, str, str], str] = {}
     for x in controls if rules else ():
         for base, state, declared in rules:

@@ -71,6 +71,21 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def catalogue_data(entries: DataFrame, props: DataFrame, variants: DataFrame) -> DataFrame:
+    """One row per catalogue entry with its properties and variants as arrays, to be written as JSON."""
+    listed = lambda df, name: df.groupBy("family_id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in df.columns if c != "family_id")))).alias(name))
+    return entries.join(listed(props, "props"), "family_id", "left").join(listed(variants, "variants"), "family_id", "left")
+
+
+def token_data(colours: DataFrame, types: DataFrame, states: DataFrame) -> DataFrame:
+    """Design tokens of all kinds in one table (kind, name, value, uses), to be written as JSON."""
+    colour = F.format_string("#%02x%02x%02x", "r", "g", "b")
+    a = colours.select(F.lit("color").alias("kind"), F.col("role").alias("name"), colour.alias("value"), "uses")
+    b = types.select(F.lit("type").alias("kind"), "name", F.concat_ws(" ", "font_size", "font_weight").alias("value"), "uses")
+    c = states.select(F.lit("state").alias("kind"), F.concat_ws(":", "state", "property").alias("name"), "value", "uses")
+    return a.unionByName(b).unionByName(c)
+
+
 def record_run(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").parquet(path)
 

@@ -41,11 +41,6 @@ def live_endpoints(requests: DataFrame) -> DataFrame:
     return fold.endpoint_counts(requests)
 
 
-def live_coverage(events: DataFrame) -> DataFrame:
-    """Finished, failed and other page events so far."""
-    return events.groupBy("status").agg(F.approx_count_distinct("url").alias("pages"), F.count("*").alias("events"))
-
-
 def stamped(requests: DataFrame, sites: DataFrame) -> DataFrame:
     """Stream rows with first_party by the static table of sites (site, root_url)."""
     found = requests.join(sites, "site", "left")
@@ -74,6 +69,15 @@ def live_frontier(candidates: DataFrame, visited: Callable[[], DataFrame], base:
     run_available_to(candidates, checkpoint, each, "append")
 
 
+def live_coverage(events: DataFrame, path: str, checkpoint: str) -> None:
+    """Finished and all pages after each batch, counted over the current state of every page seen so far."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        reads.count_visited(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_available_to(live_pages(events), checkpoint, each, "complete")
+
+
 TRACE = "visit_id string, steps array<string>, length long, complete boolean"
 
 

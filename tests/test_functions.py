@@ -70,12 +70,19 @@ def test_redaction(spark):
     got = values(spark, [(body,), ("plain a@b.co",), (None,)], "t string", network.redact_body(F.col("t")))
     assert json.loads(got[0][0]) == {"user": {"password": "[REDACTED]", "name": "n"}, "list": [{"apiKey": "[REDACTED]"}, "[REDACTED]"], "n": 1}
     assert got[1:] == [("plain [REDACTED]",), ("",)]
+    deep = json.dumps({"a": [{"token": {"x": [1, "a@b.co"]}, "k\"ey: ,": "v, ]}"}, [], {}, "card 4111111111111111"], "n": None, "é": "\u00e9"})
+    got = values(spark, [(deep,), ('"a@b.co"',), ("[" * 5000 + "]" * 5000,)], "t string", network.redact_body(F.col("t")))
+    want = {"a": [{"token": "[REDACTED]", "k\"ey: ,": "v, ]}"}, [], {}, "card [REDACTED]"], "n": None, "é": "\u00e9"}
+    assert json.loads(got[0][0]) == want and got[1][0] == '"[REDACTED]"'
 
 
 def test_shapes_and_excerpts(spark):
     rows = [('{"a": 1, "b": [true, 2], "c": null, "d": {}}',), ("[]",), ("no json",), (None,)]
     got = values(spark, rows, "t string", network.json_shape(F.col("t")))
     assert json.loads(got[0][0]) == {"a": "number", "b": ["boolean"], "c": "null", "d": {}} and got[1:] == [("[]",), ("",), ("",)]
+    rows = [('[[{"a": [1, {"b": 2}]}, 3], "x"]',), ('{"a": {"b": [], "c": [[1, 2], [3]]}, "d": -1e5}',), ("5",)]
+    got = [json.loads(x[0]) for x in values(spark, rows, "t string", network.json_shape(F.col("t")))]
+    assert got == [[[{"a": ["number"]}]], {"a": {"b": [], "c": [["number"]]}, "d": "number"}, "number"]
     long = "é" * 5000
     got = values(spark, [(long,)], "t string", network.truncate_and_hash(F.col("t")))[0][0]
     assert got.excerpt == "é" * 4096 and got.length == 10000
@@ -101,8 +108,8 @@ def test_component_types_and_names(spark):
 
 def test_operation_names(spark):
     rows = [("POST", False, "/orders/{orderId}/items"), ("GET", True, "/orders"), ("DELETE", False, "/orders/{orderId}"), ("GET", False, "/")]
-    verb, name = labels.operation_verb(F.col("m"), F.col("q")), labels.resource_name(F.col("p"))
-    got = values(spark, rows, "m string, q boolean, p string", labels.operation_id(verb, name), labels.operation_summary(verb, name))
+    named = labels.operation(F.col("m"), F.col("q"), F.col("p"))
+    got = values(spark, rows, "m string, q boolean, p string", named["operation_id"], named["summary"])
     assert got == [("createItem", "Create item"), ("listOrders", "List orders"), ("deleteOrder", "Delete order"), ("getRoot", "Get root")]
     got = [tuple(x[0]) for x in values(spark, [("header:x-api-key",), ("cookie",), ("bearer",)], "s string", labels.security_scheme(F.col("s")))]
     assert got == [("xApiKey", "apiKey", "header", "x-api-key"), ("sessionCookie", "apiKey", "cookie", "session"), ("bearerAuth", "http", None, "bearer")]
