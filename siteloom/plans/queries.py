@@ -380,13 +380,6 @@ def state_transitions(spark, sf_dir):
     return found.withColumn("overlap", F.round("overlap", 6))
 
 
-@query()
-def snapshot_signatures(spark, sf_dir):
-    ev = d.event_rows(spark, sf_dir)
-    rows = ev.select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.col("event_type") != "error").alias("visible"), F.struct("k", "event_type").alias("identity"))
-    return ordered.snapshot_signature(rows, ["user_id", "day"])
-
-
 # Requests
 
 SEGMENTS = "list_filter(string_split(path, '/'), lambda s: s <> '')"
@@ -655,9 +648,10 @@ def text_search(spark, sf_dir):
 # Streams: all files that are there, through the streaming form, to the batch answer
 
 
-def _staged(spark, df, name):
+def _staged(spark, df, name, keep=False):
+    """``df`` as files of a stream, in its own partitions if they are to be kept."""
     path = shared_path(spark, f"stream-{name}")
-    df.repartition(4).write.parquet(path)
+    (df if keep else df.repartition(4)).write.parquet(path)
     return live.observation_stream(spark, path, df.schema, files=2)
 
 

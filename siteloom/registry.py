@@ -8,10 +8,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom.plans import fold_queries as _fold
+from siteloom.plans import read_queries as _reads
 from siteloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "query", "with_user_text"]
 
+#: Modules that register queries as they are imported.
+REGISTERED = (_fold, _reads)
+
 
 def query(spark: SparkSession, sf_dir: str, name: str, **params) -> DataFrame:
     """Run a query by name; unknown and private names are errors."""
