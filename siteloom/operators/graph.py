@@ -317,6 +317,8 @@ def modules(edges: DataFrame, levels: int = 10, rounds: int = 20, seed: int = 42
     members = materialize(vertices(edges).withColumn("module", F.col("id")), "members")
     mass = both.agg(F.sum("w")).first()[0] or 0.0
     for level in range(levels if mass else 0):
+        if both.filter("src <> dst").isEmpty():
+            break
         state = materialize(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")).withColumn("c", F.col("id")), "state")
         moved_any = False
         for r in range(rounds):

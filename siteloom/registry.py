@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from siteloom.plans import fold_queries as _fold
 from siteloom.plans import read_queries as _reads
+from siteloom.plans import rule_queries as _rules
 from siteloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "query", "with_user_text"]
 
 #: Modules that register queries as they are imported.
-REGISTERED = (_fold, _reads)
+REGISTERED = (_fold, _reads, _rules)
 
 
 def query(spark: SparkSession, sf_dir: str, name: str, **params) -> DataFrame:
