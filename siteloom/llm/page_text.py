@@ -11,11 +11,12 @@ Pages of a host are sorted by URL path. The nearest page is the neighbour that s
 longer beginning of the path. The lines of a page and its nearest page are aligned by their
 longest common subsequence, and lines that both share are deleted as boilerplate.
 
-Differencing alone is wrong on two kinds of lines: menus that differ on every page, and
-articles that two pages of a host both carry. There the markup has the last word: lines
-of the ``chrome`` zone go although they are not shared, and lines of the article
-stay although they are. Where no article is marked, differencing decides, unless all
-open lines of the page are shared, as with a copy of the page.
+So the text is the page's lines less what it shares with its nearest page, and the markup has the last
+word where differencing alone is wrong:
+
+* menus, adverts and footers that differ on every page: lines of the ``chrome`` zone always go,
+* passages and whole articles that two pages of a host carry: lines of an article always stay,
+* copies of a page: where nothing else is left, lines of the other zones stay although they are shared.
 
 Sorting is by range partitions; the first and last rows of each partition meet their
 neighbours in a second, small pass, so that no host is brought into one task.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from urllib.parse import urlsplit
@@ -39,11 +41,13 @@ from siteloom.llm import common
 
 OPEN, MAIN, ARTICLE, CHROME = 0, 1, 2, 3
 
-TAG = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.DOTALL,
-)
+# No pattern below looks further than a tag's end or the next tag's beginning, but for quoted values.
+OPENING = re.compile(r"<([a-zA-Z][^\s/<>\"']*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>")
+#: A tag with an odd quote or a bare ``<`` ends at the first ``>``.
+BROKEN = re.compile(r"<([a-zA-Z][^\s/<>\"']*+)([^>]*+)>")
+CLOSING = re.compile(r"</([a-zA-Z][^\s/<>]*+)[^>]*+>")
+COMMENT_END = re.compile(r"--!?>")
+LONG_NUMBER = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{9,});?")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -74,8 +78,7 @@ NOT_ARTICLES = frozenset("comment comments reply related recommended sidebar ad
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option", "optgroup"}}
 
 
-@lru_cache(maxsize=20_000)
-def _zone(tag: str, attributes: str) -> int:
+def _told(tag: str, attributes: str) -> int:
     """The zone that an element opens; OPEN if it tells nothing."""
     found: dict[str, str] = {}
     for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -93,67 +96,122 @@ def _zone(tag: str, attributes: str) -> int:
     return MAIN if tag == "main" or role == "main" else OPEN
 
 
+_known = lru_cache(maxsize=20_000)(_told)
+
+
+def _zone(tag: str, attributes: str) -> int:
+    return _known(tag, attributes) if len(attributes) < 1000 else _told(tag, attributes)
+
+
+def _plain(text: str) -> str:
+    """The text with its character references decoded."""
+    if "&" not in text:
+        return text
+    # Numbers beyond all characters, which may be too long to be numbers.
+    return html_lib.unescape(LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
+class _Lines:
+    """The lines of a page while it is read: held text, open elements and the zone inside them."""
+
+    def __init__(self) -> None:
+        self.lines: list[tuple[int, str]] = []
+        self.held: list[str] = []
+        self.stack: list[tuple[str, int]] = []
+        self.open: Counter[str] = Counter()
+        self.zone = OPEN
+
+    def flush(self) -> None:
+        if self.held:
+            if text := " ".join("".join(self.held).split()):
+                self.lines.append((self.zone, text))
+            self.held.clear()
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.open[tag] -= 1
+        outer = self.stack[-1][1] if self.stack else OPEN
+        if outer != self.zone:
+            self.flush()
+            self.zone = outer
+        return tag
+
+    def end(self, tag: str) -> None:
+        if tag in BLOCKS:
+            self.flush()
+        if self.open[tag]:  # else it ends nothing
+            while self.pop() != tag:
+                pass
+
+    def begin(self, tag: str, attributes: str) -> None:
+        if tag in BLOCKS:
+            self.flush()
+            while self.stack and tag in CLOSED_BY.get(self.stack[-1][0], ()):
+                self.pop()
+        elif tag == "br":
+            self.held.append(" ")
+        if tag in VOID or attributes.endswith("/"):
+            return
+        own = _zone(tag, attributes)
+        if tag == "header" and self.zone not in (ARTICLE, MAIN):
+            own = CHROME
+        inner = CHROME if CHROME in (self.zone, own) else max(self.zone, own)
+        if inner != self.zone:
+            self.flush()
+        self.stack.append((tag, inner))
+        self.open[tag] += 1
+        self.zone = inner
+
+
 def page_lines(html: str | None) -> list[tuple[int, str]]:
-    """(zone, text) of each block that has text, in page order."""
+    """(zone, text) of each block that has text, in page order, in one pass over the page.
+
+    A tag that the page ends in is no text.
+    """
     html = html or ""
-    lines: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
-    zone, held, at = OPEN, [], 0
-
-    def flush() -> None:
-        if held:
-            if text := " ".join("".join(held).split()):
-                lines.append((zone, text))
-            held.clear()
-
-    def close(depth: int) -> None:
-        nonlocal zone
-        del stack[depth:]
-        zone = stack[-1][1] if stack else OPEN
-
-    end = len(html)
-    while at < end:
-        found = TAG.search(html, at)
-        text = html[at : found.start() if found else end]
-        if text:
-            held.append(html_lib.unescape(text) if "&" in text else text)
-        if not found:
-            break
-        at = found.end()
-        closing, opening, attributes, opening2, attributes2 = found.groups()
-        if closing:
-            tag = closing.lower()
-            if tag in BLOCKS or any(t == tag and z != zone for t, z in stack[-1:]):
-                flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    if stack[depth][1] != (stack[depth - 1][1] if depth else OPEN):
-                        flush()
-                    close(depth)
-                    break
-        elif opening or opening2:
-            tag, attributes = (opening or opening2).lower(), attributes or attributes2 or ""
-            if tag in BLOCKS:
-                flush()
-                while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-                    close(len(stack) - 1)
-            elif tag == "br":
-                held.append(" ")
-            own = _zone(tag, attributes)
-            if tag == "header" and zone not in (ARTICLE, MAIN):
-                own = CHROME
-            if tag in RAW:
-                after = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
-                at = after.end() if after else end
-            elif tag not in VOID and not attributes.endswith("/"):
-                if own != OPEN and own != zone:
-                    flush()
-                stack.append((tag, CHROME if zone == CHROME else max(zone, own)))
-                zone = stack[-1][1]
-            elif tag not in VOID and tag in BLOCKS:
-                flush()
-    flush()
-    return lines
+    page = _Lines()
+    at, end, last = 0, len(html), html.rfind(">")
+    text_from = 0
+    while (at := html.find("<", at)) >= 0:
+        after = html[at + 1 : at + 2]
+        name = html[at + 2 : at + 3] if after == "/" else after
+        is_tag = name.isascii() and name.isalpha()
+        if not is_tag and after not in ("!", "?"):
+            at += 1
+            continue
+        if at > text_from:
+            page.held.append(_plain(html[text_from:at]))
+        if after in ("!", "?"):
+            if html.startswith("<!--", at):
+                short = re.compile(r"-?>").match(html, at + 4)
+                found = short or COMMENT_END.search(html, at + 4)
+                at = found.end() if found else end
+            else:
+                at = html.find(">", at) + 1 or end
+        elif at > last:
+            at = end
+        elif after == "/":
+            found = CLOSING.match(html, at)
+            if found:
+                page.end(found[1].lower())
+                at = found.end()
+            else:
+                at = html.find(">", at) + 1
+        else:
+            found = OPENING.match(html, at) or BROKEN.match(html, at)
+            at = found.end() if found else at + 1
+            if found:
+                tag = found[1].lower()
+                page.begin(tag, found[2])
+                if tag in RAW and page.stack and page.stack[-1][0] == tag:
+                    after_raw = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(html, at)
+                    at = after_raw.end() if after_raw else end
+                    page.pop()
+        text_from = at
+    if text_from < end:
+        page.held.append(_plain(html[text_from:]))
+    page.flush()
+    return page.lines
 
 
 # Longest common subsequences
@@ -395,13 +453,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def main_lines(lines: list[tuple[int, str]], shared: set[int]) -> list[str]:
-    """The lines that are no boilerplate: shared lines go, but for those of a marked article."""
-    marked = max((z for z, _ in lines if z != CHROME), default=OPEN)
-    if marked != OPEN:
-        return [x for z, x in lines if z == marked]
-    rest = [i for i, (z, _) in enumerate(lines) if z == OPEN]
-    own = [i for i in rest if i not in shared] or rest
-    return [lines[i][1] for i in own]
+    """The lines that are no boilerplate: neither chrome nor shared with the nearest page.
+
+    Lines of an article stay although they are shared, and so do all lines outside of the chrome where else
+    nothing would stay.
+    """
+    body = [i for i, (z, _) in enumerate(lines) if z != CHROME]
+    own = [i for i in body if lines[i][0] == ARTICLE or i not in shared]
+    return [lines[i][1] for i in own or body]
 
 
 def extract_texts(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
