@@ -63,6 +63,7 @@ def _entropy(of: secrets.CharacterClass) -> str:
     needs += [f"NOT regexp_matches(value, {_quoted(x)})" for x in secrets.ALLOW]
     weight = "list_sum(list_transform(list_distinct(cs), lambda c: len(list_filter(cs, lambda x: x = c)) * log2(len(list_filter(cs, lambda x: x = c)))))"
     limit = w * (log2(w) - of.threshold) + 1e-9
+    real = " AND ".join(f"NOT regexp_matches(substr(value, min(i) + 1, max(i) - min(i) + {w}), {_quoted(x)})" for x in secrets.PLACEHOLDERS)
     return f"""
         SELECT doc_id, rank, kind, (start + min(i))::BIGINT AS start, (start + max(i) + {w})::BIGINT AS stop FROM (
             SELECT *, sum((gap IS NULL OR gap > {w})::INT) OVER (PARTITION BY doc_id, start ORDER BY i) AS island FROM (
@@ -71,7 +72,7 @@ def _entropy(of: secrets.CharacterClass) -> str:
                         SELECT *, unnest(range(0, length(value) - {w - 1})) AS i
                         FROM ({_placed(of.kind, of.candidate, 0, " AND ".join(needs))})))
                 WHERE {weight} <= {limit!r}))
-        GROUP BY doc_id, rank, kind, start, island"""
+        GROUP BY doc_id, rank, kind, start, value, island HAVING {real}"""
 
 
 _TOLD = "string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank)"
