@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siteloom.llm import bpe
+from siteloom.llm import bpe, common
 
 CAPACITY = 2048
 MAX_WASTE = 1 / 32
@@ -144,16 +144,18 @@ def _first_fit(capacity: int):
 def harmonic_pack(
     pieces: DataFrame, groups: int, *, spread: tuple[str, ...], length: str = "length", capacity: int = CAPACITY
 ) -> DataFrame:
-    """``pieces`` with sequence_id (long) and offset (long, gapless from 0 in the sequence).
+    """Stored ``pieces`` with sequence_id (long) and offset (long, gapless from 0 in the sequence).
 
     ``spread`` names the columns whose hash deals pieces to groups and, within a group, puts
-    them in order. Pieces that agree in all of them are interchangeable. Lengths run from 1 to
+    them in order. Pieces that agree in all of them are interchangeable; where more than a group
+    should hold do so, they are dealt to groups by their places in the table. Lengths run from 1 to
     ``capacity``. An empty table gives an empty result.
     """
     own = W.partitionBy("_hp_group", "_hp_class")
+    hashed = common.spread_hot(pieces.withColumn("_hp_hash", F.xxhash64(*spread)), ["_hp_hash"], GROUP_DOCS, "_hp_part")
     ordered = (
-        pieces.withColumn("_hp_hash", F.xxhash64(*spread))
-        .withColumn("_hp_group", F.pmod("_hp_hash", F.lit(groups)).cast("int"))
+        hashed.withColumn("_hp_group", F.pmod(F.when(F.col("_hp_part") > 0, F.xxhash64("_hp_hash", "_hp_part")).otherwise(F.col("_hp_hash")), F.lit(groups)).cast("int"))
+        .drop("_hp_part")
         .withColumn("_hp_class", F.expr(f"int({capacity} div `{length}`)"))
         .withColumn("_hp_pos", F.row_number().over(own.orderBy("_hp_hash", *spread)).cast("long") - 1)
         .withColumn("_hp_bin", F.expr("_hp_pos div _hp_class"))

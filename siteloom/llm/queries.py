@@ -63,7 +63,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     pieces = common.materialize(
         packing.token_pieces(docs, TOKENIZER, RANKS, public_tokenizers.PATTERN, ids=False), "packing-pieces"
     )
-    groups = packing.groups_for(docs.count())
+    groups = packing.groups_for(pieces.filter("start = 0").count())
     packed = packing.harmonic_pack(pieces, groups, spread=("id", "start", "ids_crc32"))
     return packed.select(
         F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
@@ -76,14 +76,11 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    rows = common.materialize(
-        common.read_table(spark, sf_dir, "documents").select(
-            "doc_id",
-            "source",
-            (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
-            F.crc32(common.text_or_empty().cast("binary")).alias("text_crc32"),
-        ),
-        "op6-rows",
+    rows = common.read_table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "source",
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
+        F.crc32(common.text_or_empty().cast("binary")).alias("text_crc32"),
     )
     return sharding.interleave_shards(rows, shards=40, tie_breaks=("text_crc32", "size")).select(
         "doc_id",
