@@ -2,15 +2,20 @@
 
 Texts become letter streams: lower-cased, each run of other characters one space. One
 model per language gives every character a probability after the ``order - 1`` before it. The
-n-grams of all languages lie in one sorted array of 64-bit hashes per order, with one
-log-probability per language beside each, so that a position of a text is looked up once for all
-languages by binary search. The language with the lowest cross-entropy per character wins.
-
-Fitting takes a bounded sample of labelled rows: of each language, rows are drawn by a
-hash of their key at a rate that is expected to give ``max_docs`` rows or ``max_chars``
-characters, whichever is less. So the model has at most about
-``languages x max_chars x order`` n-grams, whatever the input's size, and can be sent to all
-workers. A quarter of the sample is held back to calibrate the score and the rejection.
+n-grams of all languages lie in one sorted array of 64-bit hashes per order, with the
+log-probabilities of the languages that have an n-gram beside it, so that a position of a text is
+looked up once for all languages by binary search. The language with the lowest cross-entropy
+per character wins.
+
+Fitting takes a bounded sample of the labelled rows, cut to segments: of each language, segments are
+drawn by a hash of their text at a rate that is expected to give ``max_chars`` characters, or
+its share of ``max_total_chars`` where languages are many. Counting and estimating run in the
+cluster, a task a language. What comes to the driver and goes to all workers is the model, of
+at most ``order x max_total_chars`` entries (of which n-grams of the highest order that are rare
+are left out beyond ``max_entries``), whatever the input's size.
+
+A quarter of the rows, never all of a language, is held back. Their segments calibrate the score,
+and the rejection: limits are set above what all held-back segments have but for a stated share.
 """
 
 from __future__ import annotations
@@ -24,17 +29,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.llm import common
+
 UNKNOWN = "und"
 ORDER = 4
-MAX_DOCS = 1200
+#: The bound of the sample, in characters: of a language, and of all together.
 MAX_CHARS = 2_000_000
-#: A model has a column per language; more labels than this are an error.
-MAX_LANGUAGES = 1000
-#: A document is rejected if its cross-entropy lies so many deviations above what its
-#: language's held-back documents have.
-REJECT_DEVIATIONS = 10.0
-#: Characters that are scored at once.
-SEGMENT = 1 << 20
+MAX_TOTAL_CHARS = 48_000_000
+#: Entries (language and n-gram) of a model, about 20 bytes each.
+MAX_ENTRIES = 12_000_000
+SEGMENT_CHARS = 2_000
+#: Of a language with fewer held-back segments, the limits of all languages together hold.
+LEAST_HELD_BACK = 20
+#: The limit lies by this factor above the excess that REJECT_SHARE of the held-back segments exceed.
+REJECT_SHARE, REJECT_FACTOR = 1e-3, 2.0
+#: Characters that are scored at once, and rows that are read at once.
+SEGMENT = 1 << 18
+ROWS = 250
+#: Cells (n-gram and language) of a table that is filled in once instead of per batch.
+DENSE_CELLS = 1 << 24
+TEMPERATURES = np.geomspace(0.2, 20, 30)
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,70 +93,130 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each value in a sorted table, -1 where it isn't there."""
+    if not len(table):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return np.where(table[at] == wanted, at, -1)
+
+
+@dataclass
+class Grams:
+    """The n-grams of one order: sorted hashes; rows of the n-gram without its first and without
+    its last character one order below (-1: none); and the entries of each, by language."""
+
+    hashes: np.ndarray
+    suffix: np.ndarray
+    context: np.ndarray
+    #: Entries of n-gram i are at starts[i] to starts[i + 1].
+    starts: np.ndarray
+    lang: np.ndarray
+    logp: np.ndarray
+    backoff: np.ndarray
+    filled: tuple[np.ndarray, np.ndarray] | None = None
+
+
 @dataclass
 class Model:
-    """Per order n: sorted ``hashes[n]``; ``logp[n]`` and ``backoff[n]``, a row per hash and a
-    column per language. ``unseen`` is the log-probability of a character never met."""
+    """``grams[n - 1]`` of each order n; ``unseen`` is the log-probability of a character never met.
+
+    A language's cross-entropy is over its limit if it exceeds ``mean`` by ``reach`` times the noise
+    that ``spread`` and, for short texts, ``per_char`` tell.
+    """
 
     languages: list[str]
     order: int
-    hashes: list[np.ndarray] = field(default_factory=list)
-    logp: list[np.ndarray] = field(default_factory=list)
-    backoff: list[np.ndarray] = field(default_factory=list)
+    grams: list[Grams] = field(default_factory=list)
     unseen: np.ndarray | None = None
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None
     per_char: np.ndarray | None = None
+    reach: float = np.inf
     temperature: float = 1.0
 
-    def _lookup(self, n: int, wanted: np.ndarray) -> np.ndarray:
-        """The row of each hash, -1 where there is none."""
-        table = self.hashes[n]
-        if not len(table):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-        return np.where(table[at] == wanted, at, -1)
+    def _values(self, n: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability and back-off weight of n-grams, a row each and a column per language."""
+        k = len(self.languages)
+        if n == 0:
+            return np.broadcast_to(self.unseen, (len(rows), k)), np.zeros((len(rows), k), np.float32)
+        own = self.grams[n - 1]
+        if own.filled:
+            return own.filled[0][rows], own.filled[1][rows]
+        sizes = own.starts[rows + 1] - own.starts[rows]
+        at = np.repeat(own.starts[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        row, lang = np.repeat(np.arange(len(rows)), sizes), own.lang[at]
+        left = np.zeros((len(rows), k), np.float32)
+        left[row, lang] = own.backoff[at]
+        # Languages without the n-gram have it by backing off.
+        out = self._backed_off(n, own.suffix[rows], own.context[rows])
+        out[row, lang] = own.logp[at]
+        return out, left
+
+    def _backed_off(self, n: int, suffix: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """The log-probability of n-grams that a language hasn't seen, by their suffix and context."""
+        out = np.empty((len(suffix), len(self.languages)), np.float32)
+        known = suffix >= 0
+        if n == 1:
+            out[:] = self.unseen
+        else:
+            out[known] = self._values(n - 1, suffix[known])[0]
+            out[~known] = self.unseen
+            seen = context >= 0
+            out[seen] += self._values(n - 1, context[seen])[1]
+        return out
+
+    def fill(self) -> None:
+        """Fill in the tables of the lower orders first, as far as they are of bounded size."""
+        for n, own in enumerate(self.grams, 1):
+            if own.filled is None and len(own.hashes) * len(self.languages) <= DENSE_CELLS:
+                own.filled = self._values(n, np.arange(len(own.hashes)))
 
     def _log_probability(self, hashes: list[np.ndarray], at: np.ndarray, n: int) -> np.ndarray:
         """Of the n-grams that end at the positions ``at``, by language."""
         if n == 0:
             return np.broadcast_to(self.unseen, (len(at), len(self.languages)))
-        row = self._lookup(n, hashes[n - 1][at - (n - 1)])
+        own = self.grams[n - 1]
+        row = _find(own.hashes, hashes[n - 1][at - (n - 1)])
         out = np.empty((len(at), len(self.languages)), np.float32)
         hit = row >= 0
-        out[hit] = self.logp[n][row[hit]]
+        if own.filled:
+            out[hit] = own.filled[0][row[hit]]
+        else:
+            some, where = np.unique(row[hit], return_inverse=True)
+            out[hit] = self._values(n, some)[0][where]
         if not hit.all():
             rest = at[~hit]
             out[~hit] = self._log_probability(hashes, rest, n - 1)
             if n > 1:
-                context = self._lookup(n - 1, hashes[n - 2][rest - 1 - (n - 2)])
+                context = _find(self.grams[n - 2].hashes, hashes[n - 2][rest - 1 - (n - 2)])
                 known = context >= 0
-                lost = np.flatnonzero(~hit)[known]
-                out[lost] += self.backoff[n - 1][context[known]]
+                out[np.flatnonzero(~hit)[known]] += self._values(n - 1, context[known])[1]
         return out
 
     def cross_entropies(self, texts: list[np.ndarray]) -> np.ndarray:
         """Nats per character, a row per letter stream and a column per language."""
         total = np.zeros((len(texts), len(self.languages)))
         sizes = np.array([max(0, len(x) - 1) for x in texts])
+        most = max(1 << 12, SEGMENT // max(1, len(self.languages) // 8))
         first = 0
         while first < len(texts):
             last, chars = first, 0
-            while last < len(texts) and (last == first or chars + len(texts[last]) <= SEGMENT):
+            while last < len(texts) and (last == first or chars + len(texts[last]) <= most):
                 chars += len(texts[last])
                 last += 1
-            if chars > SEGMENT:
-                total[first] = sum(self._sums([part], overlap)[0] for part, overlap in self._parts(texts[first]))
+            if chars > most:
+                total[first] = sum(self._sums([part], overlap)[0] for part, overlap in self._parts(texts[first], most))
             else:
                 total[first:last] = self._sums(texts[first:last], 1)
             first = last
         return -total / np.maximum(sizes, 1)[:, None]
 
-    def _parts(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    def _parts(self, codes: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int]]:
         """Parts of a long stream, with how many characters of each only give context."""
-        yield codes[:SEGMENT], 1
-        for at in range(SEGMENT, len(codes), SEGMENT):
-            yield codes[at - self.order + 1 : at + SEGMENT], self.order - 1
+        yield codes[:most], 1
+        for at in range(most, len(codes), most):
+            yield codes[at - self.order + 1 : at + most], self.order - 1
 
     def _sums(self, texts: list[np.ndarray], context: int) -> np.ndarray:
         """Summed log-probabilities of all characters of each text but its first ``context``."""
@@ -163,10 +237,10 @@ class Model:
         running = np.concatenate((np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)))
         return running[ends] - running[ends - sizes]
 
-    def limits(self, best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The highest cross-entropy that is not rejected."""
-        noise = np.sqrt(self.spread[best] ** 2 + self.per_char[best] ** 2 / np.maximum(sizes, 1))
-        return self.mean[best] + REJECT_DEVIATIONS * noise
+    def excess(self, lang: np.ndarray, entropy: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """By how many deviations cross-entropies lie above those of a language's own texts."""
+        noise = np.sqrt(self.spread[lang] ** 2 + self.per_char[lang] ** 2 / np.maximum(sizes, 1))
+        return (entropy - self.mean[lang]) / noise
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score in [0, 1] and whether rejected, of each text."""
@@ -179,7 +253,10 @@ class Model:
         sizes = np.array([len(streams[i]) - 1 for i in some])
         best = found.argmin(1)
         scores[some] = confidence(found, sizes, self.temperature)
-        rejected[some] = found[np.arange(len(some)), best] > self.limits(best, sizes)
+        if self.mean is None:
+            rejected[some] = False
+        else:
+            rejected[some] = self.excess(best, found[np.arange(len(some)), best], sizes) > self.reach
         for i, k in zip(some, best, strict=True):
             names[i] = self.languages[k]
         return names, scores, rejected
@@ -191,8 +268,11 @@ def confidence(entropies: np.ndarray, sizes: np.ndarray, temperature: float) ->
     return 1 / np.exp(-np.minimum(gap, 700)).sum(1)
 
 
+# Fitting
+
+
 def _counts(order: int):
-    """Reads (lang, text); yields (lang, n, gram, c), summed over what a task reads."""
+    """Reads (lang, text); yields (lang, gram, c), summed over what a task reads."""
 
     def flush(counts: Counter) -> pa.RecordBatch:
         keys = list(counts)
@@ -213,7 +293,7 @@ def _counts(order: int):
                 for n in range(1, order + 1):
                     for gram, c in Counter(map("".join, zip(*(stream[i + (n == 1) :] for i in range(n)), strict=False))).items():
                         counts[lang, gram] += c
-                if len(counts) > 500_000:
+                if len(counts) > 200_000:
                     yield flush(counts)
                     counts = Counter()
         yield flush(counts)
@@ -221,93 +301,177 @@ def _counts(order: int):
     return run
 
 
-def _estimate(grams: list[tuple[str, str, int]], languages: list[str], order: int) -> Model:
-    """Interpolated Kneser-Ney from (lang, gram, count)."""
-    model = Model(languages, order, [np.empty(0, np.uint64)], [None], [None])
-    if not languages:
-        return model
-    counts: list[dict[str, dict[str, int]]] = [{} for _ in range(order + 1)]
-    for lang, gram, c in grams:
-        counts[len(gram)].setdefault(lang, {})[gram] = c
-    probability: list[dict[str, dict[str, float]]] = [{} for _ in range(order + 1)]
-    weight: list[dict[str, dict[str, float]]] = [{} for _ in range(order + 1)]
-    alphabet = len({g for own in counts[1].values() for g in own}) + 1
-    for lang in languages:
-        below: dict[str, float] = {}
-        for n in range(1, order + 1):
-            own = counts[n].get(lang, {})
-            if n < order:  # how many characters it follows, in place of how often it occurs
-                wider: Counter = Counter(g[1:] for g in counts[n + 1].get(lang, {}))
-                own = {g: wider[g] or 1 for g in own} | dict(wider)
-            ones, twos = sum(c == 1 for c in own.values()), sum(c == 2 for c in own.values())
-            discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            total: Counter = Counter()
-            kinds: Counter = Counter()
-            for g, c in own.items():
-                total[g[:-1]] += c
-                kinds[g[:-1]] += 1
-            left = {h: discount * kinds[h] / total[h] for h in total}
-            here = {}
-            for g, c in own.items():
-                lower = below[g[1:]] if n > 1 and g[1:] in below else 1 / alphabet
-                here[g] = (c - discount) / total[g[:-1]] + left[g[:-1]] * lower
-            probability[n][lang] = here
-            weight[n - 1][lang] = left
-            below = here
-    model.unseen = np.array(
-        [np.log(max(weight[0].get(x, {}).get("", 1.0), 1e-4) / alphabet) for x in languages], np.float32
-    )
-    # A gram that one language has seen gets every language's probability, backed off.
-    def backed_off(lang: str, gram: str) -> float:
-        n = len(gram)
-        if n == 0:
-            return 0.0
-        if (p := probability[n][lang].get(gram)) is not None:
-            return float(np.log(p))
-        if n == 1:
-            return float(model.unseen[languages.index(lang)])
-        return float(np.log(weight[n - 1][lang].get(gram[:-1], 1.0))) + backed_off(lang, gram[1:])
+def kneser_ney(grams: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], alphabet: int, cutoff: int = 1) -> Iterator[tuple]:
+    """(n, hashes, suffixes, contexts, logp, backoff) of each order of one language.
 
-    for n in range(1, order + 1):
-        all_grams = sorted({g for lang in languages for g in probability[n][lang]})
-        hashes = np.array([gram_hashes(np.array(list(map(ord, g)), np.uint32), n)[n - 1][0] for g in all_grams], np.uint64)
+    ``grams`` holds, for n = 1, 2, ..., the hashes of the n-grams, of their suffixes and contexts, and
+    their counts. Below the highest order a gram counts the different characters that it follows, in place
+    of how often it occurs. Of the highest order, grams that occur less than ``cutoff`` times are left
+    out, and what they weigh goes to the back-off. Order 0 is the weight of a character never met.
+    """
+    below_hashes, below = np.empty(0, np.uint64), np.empty(0)
+    found = []
+    for n, (hashes, suffix, context, counts) in enumerate(grams, 1):
         by_hash = np.argsort(hashes)
-        model.hashes.append(hashes[by_hash])
-        logp = np.array([[backed_off(x, g) for x in languages] for g in all_grams], np.float32)
-        model.logp.append(logp.reshape(-1, len(languages))[by_hash])
-        left = np.array([[np.log(weight[n][x].get(g, 1.0)) for x in languages] for g in all_grams], np.float32) if n < order else None
-        model.backoff.append(left.reshape(-1, len(languages))[by_hash] if n < order else None)
+        hashes, suffix, context, counts = hashes[by_hash], suffix[by_hash], context[by_hash], counts[by_hash].astype(float)
+        if n < len(grams):
+            wider, kinds = np.unique(grams[n][1], return_counts=True)
+            at = _find(wider, hashes)
+            counts = np.where(at >= 0, kinds[at], 1.0) if len(kinds) else np.ones(len(hashes))
+        ones, twos = (counts == 1).sum(), (counts == 2).sum()
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        kept = counts >= cutoff if n == len(grams) and n > 1 else np.ones(len(hashes), bool)
+        heads, at = np.unique(context, return_inverse=True)
+        total = np.bincount(at, counts, len(heads))
+        left = np.bincount(at, np.where(kept, discount, counts), len(heads)) / total
+        lower = np.full(len(hashes), 1 / alphabet)
+        if n > 1:
+            place = _find(below_hashes, suffix)
+            lower[place >= 0] = below[place[place >= 0]]
+        p = (counts - discount) / total[at] + left[at] * lower
+        if n > 1:  # what a gram of the order below leaves, as a context
+            place = _find(heads, below_hashes)
+            found[-1][5][place >= 0] = np.log(left[place[place >= 0]])
+        else:
+            weight = max(float(left[0]) if len(left) else 1.0, 1e-4) / alphabet
+        below_hashes, below = hashes[kept], p[kept]
+        found.append((n, hashes[kept], suffix[kept], context[kept], np.log(below), np.zeros(len(below))))
+    none = np.zeros(1, np.uint64)
+    yield 0, none, none, none, np.log(np.array([weight])), np.zeros(1)
+    yield from found
+
+
+ENTRIES = "lang string, n int, hash long, suffix long, context long, logp float, backoff float"
+
+
+def _estimate(order: int, alphabet: int, cutoff: int):
+    """One language's (gram, c) to its ENTRIES."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lang = group["lang"][0].as_py()
+        texts, counts = group["gram"].to_pylist(), group["c"].to_numpy()
+        size = np.array([len(x) for x in texts])
+        grams = []
+        for n in range(1, order + 1):
+            at = np.flatnonzero(size == n)
+            codes = np.frombuffer("".join([texts[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            rolled = lambda part: _mixed(_rolled(part))
+            grams.append((rolled(codes), rolled(codes[:, 1:]), rolled(codes[:, :-1]), counts[at]))
+        parts = []
+        for n, hashes, suffix, context, logp, backoff in kneser_ney(grams, alphabet, cutoff):
+            columns = {"lang": pa.array([lang] * len(hashes), pa.string()), "n": pa.array(np.full(len(hashes), n, np.int32))}
+            columns |= {k: pa.array(x.view(np.int64)) for k, x in (("hash", hashes), ("suffix", suffix), ("context", context))}
+            columns |= {k: pa.array(x.astype(np.float32)) for k, x in (("logp", logp), ("backoff", backoff))}
+            parts.append(pa.table(columns))
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def _rolled(codes: np.ndarray) -> np.ndarray:
+    """The hash of each row of code points before mixing, as in ``gram_hashes``."""
+    out = np.zeros(len(codes), np.uint64)
+    for column in codes.T:
+        out = out * _MULTIPLIER + (column.astype(np.uint64) + np.uint64(1))
+    return out
+
+
+def _assembled(entries: pa.Table, order: int) -> Model:
+    languages = sorted(entries["lang"].unique().to_pylist())
+    model = Model(languages, order)
+    coded = entries["lang"].combine_chunks().dictionary_encode()
+    place = np.array([languages.index(x) for x in coded.dictionary.to_pylist()], np.int32)
+    lang, n = place[coded.indices.to_numpy()], entries["n"].to_numpy()
+    logp, backoff = (entries[x].to_numpy() for x in ("logp", "backoff"))
+    hashes, suffixes, contexts = (entries[x].to_numpy().view(np.uint64) for x in ("hash", "suffix", "context"))
+    model.unseen = np.zeros(len(languages), np.float32)
+    model.unseen[lang[n == 0]] = logp[n == 0]
+    for k in range(1, order + 1):
+        at = np.flatnonzero(n == k)
+        at = at[np.lexsort((lang[at], hashes[at]))]
+        own, first = np.unique(hashes[at], return_index=True)
+        starts = np.append(first, len(at))
+        below = model.grams[-1].hashes if k > 1 else np.empty(0, np.uint64)
+        suffix, context = (_find(below, x[at[first]]).astype(np.int32) for x in (suffixes, contexts))
+        model.grams.append(Grams(own, suffix, context, starts, lang[at].astype(np.int32), logp[at], backoff[at]))
     return model
 
 
-def _calibrate(model: Model, held_back: list[tuple[str, str]]) -> None:
-    """Sets the entropies' mean and deviation by language, and the temperature."""
-    k = len(model.languages)
-    model.mean, model.spread, model.per_char = np.full(k, np.inf), np.zeros(k), np.zeros(k)
-    streams = [(letters(text), lang) for lang, text in held_back]
-    streams = [(x, lang) for x, lang in streams if len(x)]
-    if not streams:
+def _unit(salt: str, *keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1 << 30)) / F.lit(1 << 30)
+
+
+def _sample(rows: DataFrame, max_chars: int, max_total_chars: int) -> DataFrame:
+    """(lang, text, held): drawn segments of ``rows`` (key, text, lang), stored."""
+    size = F.greatest(F.char_length("text"), F.lit(1))
+    unit = _unit("calibrate", F.col("key"), F.col("text"))
+    told = rows.groupBy("lang").agg(F.sum(size).alias("chars"), F.max(unit).alias("top"))
+    told = common.materialize(told, "language-rates")
+    most = min(max_chars, max_total_chars // max(1, told.count()))
+    # The row of the highest number is never held back, so every language is learned.
+    rates = told.select("lang", F.least(F.lit(1.0), F.lit(float(most)) / F.col("chars")).alias("rate"), F.least(F.lit(0.25), "top").alias("held_below"))
+    segments = F.sequence(F.lit(0), F.floor((size - 1) / SEGMENT_CHARS).cast("int"))
+    drawn = F.filter(segments, lambda i: _unit("draw", F.col("key"), F.col("digest"), i) < F.col("rate"))
+    # One short row a language; Spark sends a table as small as that to the texts.
+    found = rows.join(common.materialize(rates, "language-rates"), "lang").withColumn("digest", F.xxhash64("text"))
+    found = found.select("lang", "text", (unit < F.col("held_below")).alias("held"), F.explode(drawn).alias("i"))
+    part = F.substring(F.col("text"), F.col("i") * SEGMENT_CHARS + 1, F.lit(SEGMENT_CHARS))
+    return common.materialize(found.select("lang", part.alias("text"), "held"), "language-sample")
+
+
+def _scored(shared):
+    """Held-back segments to their (lang, size, entropy of that language, losses by temperature)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _ready(shared)
+        places = {x: i for i, x in enumerate(model.languages)}
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
+            rows = [(places[x], letters(t)) for x, t in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) if x in places]
+            rows = [x for x in rows if len(x[1])]
+            if not rows:
+                continue
+            truth, sizes = np.array([x[0] for x in rows]), np.array([len(x[1]) - 1 for x in rows])
+            found = model.cross_entropies([x[1] for x in rows])
+            right = found.argmin(1) == truth
+            losses = []
+            for t in TEMPERATURES:
+                p = np.clip(confidence(found, sizes, t), 1e-6, 1 - 1e-6)
+                losses.append(-np.where(right, np.log(p), np.log(1 - p)))
+            yield pa.record_batch(
+                {
+                    "lang": pa.array(truth, pa.int32()),
+                    "size": pa.array(sizes, pa.int64()),
+                    "entropy": pa.array(found[np.arange(len(rows)), truth], pa.float64()),
+                    "losses": pa.array(np.array(losses).T.tolist(), pa.list_(pa.float64())),
+                }
+            )
+
+    return run
+
+
+def _calibrate(model: Model, held_back: DataFrame) -> None:
+    """Sets the temperature, and the limits by language from the held-back segments."""
+    shared = held_back.sparkSession.sparkContext.broadcast(model)
+    scored = held_back.select("lang", "text").mapInArrow(_scored(shared), "lang int, size long, entropy double, losses array<double>").toArrow()
+    shared.destroy()
+    if not len(scored):
         return
-    found = model.cross_entropies([x for x, _ in streams])
-    sizes = np.array([len(x) - 1 for x, _ in streams])
-    truth = np.array([model.languages.index(lang) for _, lang in streams])
-    for i in range(k):
-        own = found[truth == i, i]
-        if len(own) > 1:
-            model.mean[i] = own.mean()
-            model.spread[i] = own.std()
-            model.per_char[i] = max(1.0, float(np.sqrt(((own - own.mean()) ** 2 * sizes[truth == i]).mean())))
-    right = found.argmin(1) == truth
-    losses = []
-    grid = np.geomspace(0.02, 20, 40)
-    for t in grid:
-        p = np.clip(confidence(found, sizes, t), 1e-6, 1 - 1e-6)
-        losses.append(-np.where(right, np.log(p), np.log(1 - p)).mean())
-    model.temperature = float(grid[int(np.argmin(losses))])
+    lang, sizes, entropy = (scored[x].to_numpy() for x in ("lang", "size", "entropy"))
+    losses = scored["losses"].combine_chunks().values.to_numpy().reshape(len(lang), -1)
+    model.temperature = float(TEMPERATURES[int(losses.mean(0).argmin())])
 
+    def told(at: np.ndarray) -> tuple[float, float, float]:
+        off = entropy[at] - entropy[at].mean()
+        return entropy[at].mean(), max(off.std(), 1e-3), max(1.0, float(np.sqrt((off**2 * sizes[at]).mean())))
 
-def _unit(key: Column, salt: str) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) / F.lit(1 << 30)
+    k = len(model.languages)
+    model.mean, model.spread, model.per_char = np.empty(k), np.empty(k), np.empty(k)
+    for i in range(k):
+        own = np.flatnonzero(lang == i)
+        limits = told(own if len(own) >= LEAST_HELD_BACK else np.arange(len(lang)))
+        model.mean[i], model.spread[i], model.per_char[i] = limits
+    excess = model.excess(lang, entropy, sizes)
+    model.reach = max(4.0, REJECT_FACTOR * float(np.quantile(excess, 1 - REJECT_SHARE)))
 
 
 def fit(
@@ -317,61 +481,55 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     order: int = ORDER,
-    max_docs: int = MAX_DOCS,
     max_chars: int = MAX_CHARS,
+    max_total_chars: int = MAX_TOTAL_CHARS,
+    max_entries: int = MAX_ENTRIES,
 ) -> Model:
     """A model of all languages in ``labelled``; rows without text or language are left out.
 
-    What comes to the driver is the n-grams of the sample and the quarter of it that
-    calibrates, both bounded by the parameters. Without any row the model has no language.
+    Each language has some text to learn from, also if it has one row only. Without any row the model has no
+    language. Equal rows are drawn together.
     """
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.filter("text is not null and lang is not null")
-    rates = rows.groupBy("lang").agg(
-        F.least(
-            F.lit(1.0), F.lit(max_docs) / F.count("*"), F.lit(max_chars) / F.greatest(F.sum(F.char_length("text")), F.lit(1))
-        ).alias("rate")
-    )
-    rates = rates.persist()
-    if rates.count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    # One short row a language, so the texts stay where they are.
-    sample = rows.join(F.broadcast(rates), "lang").filter(_unit(F.col("key"), "draw") < F.col("rate")).select("key", "lang", "text").persist()
-    try:
-        held_back = _unit(F.col("key"), "calibrate") < 0.25
-        counted = (
-            sample.filter(~held_back)
-            .select("lang", "text")
-            .mapInArrow(_counts(order), "lang string, gram string, c long")
-            .groupBy("lang", "gram")
-            .agg(F.sum("c").alias("c"))
-        )
-        grams = counted.toArrow()
-        languages = sorted(set(grams["lang"].to_pylist()))
-        grams = list(zip(*(grams[x].to_pylist() for x in ("lang", "gram", "c")), strict=True))
-        model = _estimate(grams, languages, order)
-        kept = sample.filter(held_back).select("lang", "text").toArrow()
-        pairs = zip(kept["lang"].to_pylist(), kept["text"].to_pylist(), strict=True)
-        _calibrate(model, [(a, b) for a, b in pairs if a in languages])
-    finally:
-        sample.unpersist()
-        rates.unpersist()
+    sample = _sample(rows.filter("text is not null and lang is not null"), max_chars, max_total_chars)
+    counted = sample.filter("not held").select("lang", "text").mapInArrow(_counts(order), "lang string, gram string, c long")
+    counted = common.materialize(counted.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "language-grams")
+    whole = F.char_length("gram") == order
+    n, alphabet = counted.agg(F.count("*"), F.count_distinct(F.when(F.char_length("gram") == 1, F.col("gram")))).first()
+    cutoff = 1
+    while n > max_entries and cutoff < 1000:
+        cutoff += 1
+        n = counted.filter(~whole | (F.col("c") >= cutoff)).count()
+    entries = counted.groupBy("lang").applyInArrow(_estimate(order, alphabet + 1, cutoff), ENTRIES)
+    model = _assembled(entries.toArrow(), order)
+    if model.languages:
+        _calibrate(model, sample.filter("held"))
+    return model
+
+
+_READY: dict[int, Model] = {}
+
+
+def _ready(shared) -> Model:
+    """The worker's model, its tables filled in once."""
+    model = shared.value
+    if id(model) not in _READY:
+        _READY.clear()
+        model.fill()
+        _READY[id(model)] = model
     return model
 
 
-def _predict(shared, keep: list[str], text: str):
+def _predict(shared, columns: list[tuple[int, str]], text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = _ready(shared)
         for batch in batches:
-            names, scores, rejected = model.predict(batch[text].to_pylist())
-            yield pa.record_batch(
-                {x: batch[x] for x in keep}
-                | {
-                    "lang_pred": pa.array(names, pa.string()),
-                    "score": pa.array(scores, pa.float64()),
-                    "rejected": pa.array(rejected, pa.bool_()),
-                }
-            )
+            found = [model.predict(batch.column(text).slice(at, ROWS).to_pylist()) for at in range(0, len(batch), ROWS)]
+            names = [x for part in found for x in part[0]]
+            scores, rejected = (np.concatenate([part[i] for part in found] or [np.empty(0)]) for i in (1, 2))
+            kept = [batch.column(i) for i, _ in columns]
+            told = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected.astype(bool), pa.bool_())]
+            yield pa.RecordBatch.from_arrays(kept + told, [x for _, x in columns] + ["lang_pred", "score", "rejected"])
 
     return run
 
@@ -379,16 +537,14 @@ def _predict(shared, keep: list[str], text: str):
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with lang_pred, score (0 to 1) and rejected (boolean) of each row.
 
-    A null text, or one without any letter, is ``und`` with score 0 and is rejected, and so is
-    every text if the model knows no language. Other texts get a learned language; they
-    are rejected if their cross-entropy is far above that of the language's own texts.
+    Kept columns of these three names are replaced. A null text, or one without any letter, is ``und``
+    with score 0 and is rejected, and so is every text if the model knows no language. Other texts get a
+    learned language; they are rejected if their cross-entropy is above the limit of that language, which
+    no language has if none of its rows was held back.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(
-        *keep,
-        F.lit("").alias("lang_pred"),
-        F.lit(0.0).alias("score"),
-        F.lit(False).alias("rejected"),
-    ).schema
-    rows = docs.select(*dict.fromkeys((*keep, text)))
-    return rows.mapInArrow(_predict(shared, list(keep), text), schema)
+    kept = [c for c in dict.fromkeys(keep) if c.lower() not in ("lang_pred", "score", "rejected")]
+    told = [F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")]
+    schema = docs.select(*(F.col(f"`{c}`") for c in kept), *told).schema
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys((*kept, text))))
+    return rows.mapInArrow(_predict(shared, list(enumerate(kept)), rows.columns.index(text)), schema)
