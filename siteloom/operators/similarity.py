@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteloom.functions import colors
-from siteloom.operators import graph
+from siteloom.operators.components import similar_components
 from siteloom.plans.shared import materialize
 
 
@@ -16,37 +18,48 @@ def _token_sets(components: DataFrame) -> DataFrame:
     return components.filter(F.trim(F.coalesce("tag", F.lit(""))) != "").withColumn("tokens", tokens)
 
 
-def class_similarity_pairs(components: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Distinct token sets of one (tag, component_type) with a Jaccard similarity of ``threshold``
-    or more: set_a < set_b and the similarity. Equal sets are one set; an empty set is like no
-    other. Candidates share a token among each set's rarest ones (prefix filtering), so a frequent
-    class name alone pairs nothing."""
-    sets = _token_sets(components).filter(F.size("tokens") > 0).groupBy("tag", "component_type", "tokens").agg(F.count("*").alias("n"))
-    sets = materialize(sets.withColumn("set_id", F.sha2(F.to_json(F.struct("tag", "component_type", "tokens")), 256)), "token-sets")
+def _prefixes(components: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """Distinct token sets that aren't empty (tag, component_type, tokens, node), and the keys (key, node, size) that they share:
+    any two that are similar enough share a token among each set's rarest ones (prefix filtering)."""
     kind = ["tag", "component_type"]
-    words = sets.select(*kind, "set_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    sets = _token_sets(components).filter(F.size("tokens") > 0).select(*kind, "tokens").distinct()
+    sets = materialize(sets.withColumn("node", _node()), "token-sets")
+    words = sets.select(*kind, "node", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
     seen = words.groupBy(*kind, "token").agg(F.count("*").alias("uses"))
-    rank = F.row_number().over(W.partitionBy("set_id").orderBy("uses", "token"))
-    prefix = words.join(seen, [*kind, "token"]).withColumn("_r", rank)
-    prefix = prefix.filter(F.col("_r") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1).select(*kind, "token", "set_id", "size")
-    a = prefix.withColumnsRenamed({"set_id": "set_a", "size": "size_a"})
-    b = prefix.withColumnsRenamed({"set_id": "set_b", "size": "size_b"})
-    near = a.join(b, [*kind, "token"]).filter((F.col("set_a") < F.col("set_b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")))
-    near = near.select(*kind, "set_a", "set_b").distinct()
-    text = sets.select("set_id", "tokens")
-    near = near.join(text.withColumnsRenamed({"set_id": "set_a", "tokens": "_a"}), "set_a").join(text.withColumnsRenamed({"set_id": "set_b", "tokens": "_b"}), "set_b")
+    rank = F.row_number().over(W.partitionBy("node").orderBy("uses", "token"))
+    prefix = words.join(seen, [*kind, "token"]).withColumn("_r", rank).filter("uses > 1")
+    prefix = prefix.filter(F.col("_r") <= F.col("size") - F.ceil(F.col("size") * float(threshold)) + 1)
+    return sets, materialize(prefix.select(F.xxhash64(*kind, "token").alias("key"), "node", "size").distinct(), "token-keys")
+
+
+def _node() -> Column:
+    return F.xxhash64("tag", "component_type", F.to_json("tokens"))
+
+
+def class_similarity_pairs(components: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Distinct token sets of one (tag, component_type) with a Jaccard similarity of ``threshold``
+    or more: set_a < set_b and the similarity, a row a pair. Equal sets are one set; an empty set is like no
+    other. A frequent class name alone pairs nothing. Families don't need the pairs, see ``component_families``."""
+    least, kind = Fraction(threshold).limit_denominator(1000), ["tag", "component_type"]
+    sets, keys = _prefixes(components, least)
+    a, b = (keys.withColumnsRenamed({"node": f"set_{x}", "size": f"size_{x}"}) for x in "ab")
+    near = a.join(b, "key").filter((F.col("set_a") < F.col("set_b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")))
+    near = near.select("set_a", "set_b").distinct()
+    near = near.join(sets.select(*kind, F.col("node").alias("set_a"), F.col("tokens").alias("_a")), "set_a")
+    near = near.join(sets.select(F.col("node").alias("set_b"), F.col("tokens").alias("_b")), "set_b")
     same = F.size(F.array_intersect("_a", "_b")) / F.size(F.array_union("_a", "_b"))
     return near.withColumn("similarity", same).filter(F.col("similarity") >= threshold).select(*kind, "set_a", "set_b", "similarity")
 
 
 def component_families(components: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Members with family_id, for families of two or more; unstyled components of one tag and
-    type are a family of their own."""
-    sets = _token_sets(components)
-    sets = sets.withColumn("set_id", F.sha2(F.to_json(F.struct("tag", "component_type", "tokens")), 256))
-    links = class_similarity_pairs(components, threshold).select(F.col("set_a").alias("src"), F.col("set_b").alias("dst"))
-    roots = graph.components(links).withColumnsRenamed({"id": "set_id"})
-    found = sets.join(roots, "set_id", "left").withColumn("family_id", F.coalesce("root", "set_id")).drop("root", "set_id")
+    type are a family of their own. Sets are linked without a row for each pair."""
+    least = Fraction(threshold).limit_denominator(1000)
+    sets, keys = _prefixes(components, least)
+    hashes = sets.select("node", F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x))).alias("hashes"))
+    roots = similar_components(keys, materialize(hashes, "token-hashes"), least)
+    found = _token_sets(components).withColumn("node", _node()).join(roots, "node", "left")
+    found = found.withColumn("family_id", F.coalesce("root", "node")).drop("root", "node")
     size = found.groupBy("family_id").agg(F.count("*").alias("members")).filter("members > 1")
     return found.join(size, "family_id")
 

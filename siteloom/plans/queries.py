@@ -684,7 +684,16 @@ def stream_redelivery(spark, sf_dir):
     return _streamed(spark, live.once(_staged(spark, ev.union(ev), "twice"), "60 days"), "twice", "append").select("event_id", "event_type")
 
 
-@query()
+@query(f"""WITH RECURSIVE {d.RESULTS}, b(crawl_id, seq, fastest, wait, broken, ratio) AS (SELECT DISTINCT run_id, 0::BIGINT, 'inf'::DOUBLE, 0.0::DOUBLE, false, 0.0::DOUBLE FROM vr
+    UNION ALL SELECT b.crawl_id, v.seq, least(b.fastest, v.value), CASE WHEN v.value / least(b.fastest, v.value) > 2 THEN least(greatest(b.wait, v.value * 0.5), 30) ELSE b.wait / 2 END,
+      b.broken OR v.value / least(b.fastest, v.value) >= 4, v.value / least(b.fastest, v.value) FROM b JOIN vr v ON v.run_id = b.crawl_id AND v.seq = b.seq + 1)
+    SELECT crawl_id::VARCHAR AS crawl_id, seq, round(ratio, 6) AS ratio, round(wait, 6) AS wait, broken FROM b WHERE seq > 0""")
 def stream_slowdown(spark, sf_dir):
     nav = d.visit_results(spark, sf_dir).select(F.col("run_id").cast("string").alias("crawl_id"), "seq", F.col("value").alias("elapsed_seconds"))
-    return _streamed(spark, live.slowdown_monitor(_staged(spark, materialize(nav, "nav"), "nav")), "nav", "append")
+    # A crawl's navigations come in order, as they happen: here in four files, one after the other.
+    path, stored = shared_path(spark, "stream-nav"), materialize(nav, "nav")
+    last = stored.agg(F.max("seq")).first()[0] or 0
+    for part in range(4):
+        stored.filter(F.col("seq").between(last * part // 4 + 1, last * (part + 1) // 4)).coalesce(1).write.mode("append").parquet(path)
+    found = _streamed(spark, live.slowdown_monitor(live.observation_stream(spark, path, stored.schema, files=1)), "nav", "append")
+    return found.select("crawl_id", "seq", F.round("ratio", 6).alias("ratio"), F.round("wait", 6).alias("wait"), "broken")
