@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm import common
-from siteloom.llm.components import HELD_LINKS, connected_components, stars
+from siteloom.operators.components import HELD_LINKS, connected_components, stars
 
 RADIUS = 3
 BANDS = ((0, 22), (22, 43), (43, 64))

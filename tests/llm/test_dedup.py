@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from siteloom.llm import common, components, exact_dedup, simhash
+from siteloom.llm import common, exact_dedup, queries, simhash
+from siteloom.operators import components
 
 
 def test_rice_codes_round_trip():
@@ -81,6 +82,34 @@ def test_links_have_all_components(spark, monkeypatch, small_bucket):
     assert {k: got.get(k, k) for k in want} == want
 
 
+def test_op9_equals_brute_force(spark, sf_dir):
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text").collect()
+    own = {x.doc_id: simhash.fingerprint(x.text, 3) for x in docs}
+    roots = _brute_components(set(own.values()))
+    low = {}
+    for i, f in own.items():
+        low[roots[f]] = min(i, low.get(roots[f], i))
+    want = {i: (f"{f:016x}", low[roots[f]]) for i, f in own.items()}
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in queries.op9_simhash_components(spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_without_duplicates_keeps_rows(docs, no_docs):
+    left = exact_dedup.without_duplicates(docs)
+    assert left.columns == docs.columns
+    rows = left.collect()
+    assert sorted(x.doc_id for x in rows) == [1, 3, 5, 6, 7, 8, 9]
+    assert {x.shard for x in rows} == {7} and exact_dedup.without_duplicates(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_exact_duplicates_with_and_without_broadcast(docs, monkeypatch, limit):
+    monkeypatch.setattr(common.broadcast_if_small, "__defaults__", (limit,))
+    found = {(x.doc_id, x.keep_id, x.group_size) for x in exact_dedup.exact_duplicates(docs).collect()}
+    assert {x for x in found if x[0] in (1, 2, 6)} == {(1, 1, 3), (2, 1, 3), (6, 6, 2)}
+    assert sorted(x.doc_id for x in exact_dedup.without_duplicates(docs).collect()) == [1, 3, 5, 6, 7, 8, 9]
+
+
 def test_fingerprint_is_the_contract():
     text = "A b\tC d e b c d"
     words = [x.lower() for x in text.split()]

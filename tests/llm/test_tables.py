@@ -160,11 +160,24 @@ def test_sources_of_one_row_spread_over_the_shards(spark):
 
 
 def test_shards_odd_rows(docs, no_docs):
-    found = sharding.interleave_shards(docs.drop("shard"), shards=4, tie_breaks=("text",)).collect()
-    _check_shards(found, docs.count(), 4)
+    # The given column named shard is replaced.
+    found = sharding.interleave_shards(docs, shards=4, tie_breaks=("text",))
+    assert sorted(found.columns) == sorted([*docs.columns, "slot"])
+    _check_shards(found.collect(), docs.count(), 4)
     assert sharding.interleave_shards(no_docs, shards=4).count() == 0
 
 
+def test_one_key_is_dealt_to_parts(spark):
+    rows = [(None, "a", "same")] * 600 + [(7, "a", "t")] * 300 + [(i, "b", "u") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    stored = common.materialize(df.na.fill({"doc_id": -1}), "hot")
+    salts = {x.salt for x in common.spread_hot(stored, ["doc_id"], 100, "salt").filter("doc_id = -1").collect()}
+    assert salts == set(range(6))
+    found = sharding.interleave_shards(df, shards=5, tie_breaks=("text",), bucket_rows=1).collect()
+    _check_shards(found, len(rows), 5)
+    assert {sum(x.shard == k and x.source == "b" for x in found) for k in range(5)} <= set(range(57, 64))
+
+
 def test_op6(spark, sf_dir):
     rows = queries.op6_interleaved_shards(spark, sf_dir).collect()
     _check_shards(rows, common.read_table(spark, sf_dir, "documents").count(), 40)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log2
@@ -148,6 +149,72 @@ def test_probabilities_sum_to_one(spark, sf_dir):
         assert (total < 1.001).all() and (total > 0.9).any()
 
 
+def _brute_kneser_ney(streams, order, alphabet):
+    """log p of each gram seen, by dictionaries: interpolated Kneser-Ney with continuation counts below the order."""
+    counts = [Counter() for _ in range(order + 1)]
+    for s in streams:
+        for n in range(1, order + 1):
+            for i in range(n == 1, len(s) - n + 1):
+                counts[n][s[i : i + n]] += 1
+    for n in range(1, order):
+        before = {g: {w[0] for w in counts[n + 1] if w[1:] == g} for g in counts[n]}
+        counts[n] = Counter({g: len(before[g]) or 1 for g in counts[n]})
+    found = {}
+
+    def p(gram):
+        if not gram:
+            return 1 / alphabet
+        n = len(gram)
+        ones, twos = sum(c == 1 for c in counts[n].values()), sum(c == 2 for c in counts[n].values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        same = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        total = sum(same.values())
+        if not total:
+            return p(gram[1:])
+        return max(same.get(gram, 0) - d, 0) / total + d * len(same) / total * p(gram[1:])
+
+    for n in range(1, order + 1):
+        for gram in counts[n]:
+            found[gram] = np.log(p(gram))
+    return found
+
+
+def test_model_equals_brute_force_kneser_ney(spark):
+    rows = [(1, "abracadabra abra", "a"), (2, "cadabra bar", "a"), (3, "lorem ipsum dolor", "b"), (4, "ipso lore", "b"), (5, "zed", "once")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), order=3, max_chars=10_000)
+    assert model.languages == ["a", "b", "once"]
+    # The language of one row is never held back; of the others, some rows may be.
+    streams = [language_id.letters("zed").tobytes().decode("utf-32-le")]
+    entries = sum((g.hashes.tolist() for g in model.grams[:1]), [])
+    want = _brute_kneser_ney(streams, 3, len(entries) + 1)
+    for gram, logp in want.items():
+        n = len(gram)
+        row = language_id._find(model.grams[n - 1].hashes, language_id.gram_hashes(np.array(list(map(ord, gram)), np.uint32), n)[n - 1])
+        assert row[0] >= 0 and model._values(n, row)[0][0, 2] == pytest.approx(logp, abs=1e-5)
+    # Filled tables give the same.
+    text = [language_id.letters("abra lorem zed quux")]
+    before = model.cross_entropies(text)
+    model.fill()
+    assert np.allclose(model.cross_entropies(text), before, atol=1e-6)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{chr(97 + i % 26)} some text here {i}", "many") for i in range(60)] + [(1000 + i, f"only row {chr(97 + i)}", f"l{i:02d}") for i in range(20)]
+    rows += [(None, "no key here", "nokey")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.languages == sorted({x[2] for x in rows})
+    small = language_id.fit(df, max_entries=700)
+    assert small.languages == model.languages and sum(len(g.lang) for g in small.grams) < sum(len(g.lang) for g in model.grams)
+
+
+def test_identify_replaces_columns_of_its_own_names(spark, sf_dir):
+    model = language_id.fit(common.read_table(spark, sf_dir, "documents"))
+    df = spark.createDataFrame([(1, "the and of that with", "x", 5)], "doc_id long, text string, score string, lang_pred int")
+    got = language_id.identify(df, model, keep=tuple(df.columns))
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "rejected"] and got.first().lang_pred == "en"
+
+
 # Secrets
 
 
@@ -295,6 +362,26 @@ def test_differencing_decides_where_nothing_is_marked(spark):
     assert page_text.extract_texts(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("html", [
+    "<a " * 330_000, "<span>" * 80_000 + "</b>" * 120_000, '<a href="x>' * 90_000, "<a href='x" * 90_000, '<a ">"' * 150_000, "<" * 900_000, "<!--" * 250_000,
+    "&#" + "9" * 900_000 + ";", "<a<" * 300_000, "</a " * 250_000, "<div>" * 150_000, "<p>x" * 150_000, "<b '\">" * 150_000, "<a " + "x=" * 400_000 + ">",
+])
+def test_broken_pages_take_linear_time(html):
+    began = time.process_time()
+    page_text.page_lines(html)
+    assert time.process_time() - began < 5
+
+
+def test_shared_lines_go_beside_an_article(spark):
+    def page(own, article):
+        return f"<body><div>Site</div><main><div>Join us</div><div>{own}</div><article><p>{article}</p><p>shared words</p></article></main></body>"
+
+    rows = [(1, "http://h/1", page("one", "text one")), (2, "http://h/2", page("two", "text two")), (3, "http://g/1", "<body><p>" + "deep" + "<div>" * 5000 + "x")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    texts = {x.page_id: x.text for x in page_text.extract_texts(pages).collect()}
+    assert texts == {1: "one\ntext one\nshared words", 2: "two\ntext two\nshared words", 3: "deep\nx"}
+
+
 def test_op1_takes_every_article(spark, sf_dir):
     pages = {x.page_id: x.html for x in common.read_table(spark, sf_dir, "pages").collect()}
     rows = queries.op1_page_text(spark, sf_dir).collect()
