@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.plans.shared import materialize
+from siteloom.plans.shared import discard, materialize
 
 #: Links that a task holds before it reduces them to stars.
 HELD_LINKS = 1 << 20
@@ -77,15 +77,18 @@ def _minimum(edges: DataFrame) -> DataFrame:
     return materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "component-minima")
 
 
-def _round(edges: DataFrame) -> DataFrame:
-    """``edges`` holds (u, v) with u > v."""
+def _next_round(edges: DataFrame) -> DataFrame:
+    """``edges`` holds (u, v) with u > v, and so does what comes back. What was stored on the way goes."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _minimum(both).select("u", F.least("m", "u").alias("m"))
+    least = _minimum(both)
+    low = least.select("u", F.least("m", "u").alias("m"))
     large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
     large = materialize(large, "component-stars")
     low = _minimum(large)
     near = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-    return near.unionByName(low.select("u", F.col("m").alias("v")))
+    found = _stored(near.unionByName(low.select("u", F.col("m").alias("v"))))
+    discard(edges, least, large, low)
+    return found
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -105,10 +108,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = links.filter(f"{a} <> {b}").select(F.greatest(*ends).alias("u"), F.least(*ends).alias("v"))
     edges = _stored(edges)
     while not _are_stars(edges):
-        edges = _stored(_round(edges))
+        edges = _next_round(edges)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return materialize(nodes.unionByName(roots), "component-roots")
+    found = materialize(nodes.unionByName(roots), "component-roots")
+    discard(edges)
+    return found
 
 
 # Sets that are alike

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteloom.plans.shared import materialize
+from siteloom.plans.shared import discard, materialize
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def click_depth(edges: DataFrame, root: str) -> DataFrame:
         frontier = materialize(step.join(known, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
-        known = materialize(known.unionByName(frontier), "depths")
+        known, before = materialize(known.unionByName(frontier), "depths"), known
+        discard(before)
     return vertices(e).join(known, "id", "left")
 
 
@@ -86,6 +87,9 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
             ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"),
         )
         fresh = materialize(fresh, "ranks")  # the state is read three times a round
+        if i > 1:
+            discard(kept)
+        kept = fresh
         if i % every == 0:
             if tolerance is not None and fresh.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * tolerance:
                 state = fresh
@@ -99,7 +103,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbouring label and then to that label's own label, until nothing changes."""
     e = simple_edges(edges)
     both = materialize(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
-    labels = materialize(vertices(e).withColumn("root", F.col("id")), "labels")
+    labels, stored = materialize(vertices(e).withColumn("root", F.col("id")), "labels"), None
     while True:
         near = both.join(labels, both.dst == labels.id).groupBy(F.col("src").alias("id")).agg(F.min("root").alias("low"))
         lowered = labels.join(near, "id", "left").select("id", F.least("root", "low").alias("root"), F.col("root").alias("old"))
@@ -108,7 +112,8 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = materialize(jumped, "labels")
         if not jumped.filter("root <> old").limit(1).count():
             return jumped.select("id", "root")
-        labels = jumped.drop("old")
+        discard(labels if stored is None else stored)
+        labels, stored = jumped.drop("old"), jumped
 
 
 def ancestors(contains: DataFrame, start: DataFrame, max_hops: int = 8) -> DataFrame:
@@ -206,7 +211,9 @@ def betweenness(edges: DataFrame, batch: int = 256, sources: int | None = None)
             if level.isEmpty():
                 break
             levels.append(level)
-            seen = materialize(seen.unionByName(level.select("s", "v")), "seen")
+            seen, before = materialize(seen.unionByName(level.select("s", "v")), "seen"), seen
+            if len(levels) > 2:  # the first one is the first level's
+                discard(before)
         below = None
         for level in reversed(levels):
             if below is None:
@@ -219,6 +226,7 @@ def betweenness(edges: DataFrame, batch: int = 256, sources: int | None = None)
             part = below.filter("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("d"))
             total = part if total is None else total.unionByName(part)
         total = materialize(total.groupBy("id").agg(F.sum("d").alias("d")), "betweenness")
+        discard(*levels)
     scale = share / ((n - 1) * (n - 2)) if n > 2 else 1.0
     if total is None:
         return nodes.withColumn("betweenness", F.lit(0.0))

@@ -75,18 +75,18 @@ def folded_texts(spark, sf_dir):
 
 
 # Texts with an address, a card number and a long token, and bodies and headers with secrets, made of each order.
-@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, o_totalprice AS t FROM orders)
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, CASE WHEN o_orderkey % 40 = 0 THEN o_orderkey % 3000 ELSE o_orderkey % 40 END AS n FROM orders)
     SELECT k, 'mail [REDACTED], card [REDACTED], token [REDACTED] of ' || p AS text,
            '{"user": {"password": "[REDACTED]", "name": "n' || c || '"}, "list": [{"apiKey": "[REDACTED]"}, "[REDACTED]", ' || k || '], "empty": {}}' AS body,
            '{"user": {"password": "string", "name": "string"}, "list": [{"apiKey": ["number"]}], "empty": {}}' AS shape,
-           CASE WHEN k % 2 = 0 THEN '[REDACTED]' ELSE 'x [REDACTED]' END AS header, 5 * (k % 3000) AS length, least(5 * (k % 3000), 8192) AS excerpt, sha256(repeat('word ', (k % 3000)::INT)) AS digest,
+           CASE WHEN k % 2 = 0 THEN '[REDACTED]' ELSE 'x [REDACTED]' END AS header, 5 * n AS length, least(5 * n, 8192) AS excerpt, sha256(repeat('word ', n::INT)) AS digest,
            CASE WHEN k % 3 = 0 THEN NULL ELSE c END AS latency FROM o""")
 def redacted_orders(spark, sf_dir):
     o, key, cust = d.read(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey").cast("string")
     text = F.concat(F.lit("mail a"), cust, F.lit("@x.org, card 4111 1111 1111 1"), F.lpad(cust, 3, "0").substr(1, 3), F.lit(", token "), F.md5(cust), F.lit(" of "), "o_orderpriority")
     body = F.concat(F.lit('{"user": {"password":"x'), cust, F.lit('", "name": "n'), cust, F.lit('"}, "list":[{"apiKey": [1]}, "a@b.co", '), key.cast("string"), F.lit('], "empty": {}}'))
     headers = F.create_map(F.when(key % 2 == 0, "Authorization").otherwise("X-Info"), F.concat(F.lit("x a"), cust, F.lit("@x.org")))
-    capped = network.truncate_and_hash(F.repeat(F.lit("word "), (key % 3000).cast("int")))
+    capped = network.truncate_and_hash(F.repeat(F.lit("word "), F.when(key % 40 == 0, key % 3000).otherwise(key % 40).cast("int")))
     start = F.lit(2.0)
     answered = F.when(key % 3 == 0, F.lit(1.0)).otherwise(start + F.col("o_custkey") / 1000)
     return o.select(

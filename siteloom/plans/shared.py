@@ -27,4 +27,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back, which cuts the lineage and outlives executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read any more, as those of an earlier round."""
+    for df in stored:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
