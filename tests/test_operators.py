@@ -264,7 +264,13 @@ def test_shapes_merge_without_order(spark):
     assert rows_of(rules.merge_shapes(df, ["e"])) == [("e", "a", "number", True), ("e", "b", "string", False)]
     nested = spark.createDataFrame([("e", '{"a": {"b": ["string"]}, "l": [{"k": "number"}]}')], "e string, shape string")
     fields = rules.contract_fields(nested, ["e"])
-    assert rows_of(fields) == [("e", "$.a", "object", True), ("e", "$.a.b", "array", True), ("e", "$.l", "array", True), ("e", "$.l[].k", "number", True)]
+    want = [("$.a", "object"), ("$.a.b", "array"), ("$.a.b[]", "string"), ("$.l", "array"), ("$.l[]", "object"), ("$.l[].k", "number")]
+    assert rows_of(fields) == [("e", *x, True) for x in want]
+    deep = '{"x": ' * 12 + '"number"' + "}" * 12
+    lists = spark.createDataFrame([("e", deep), ("f", '{"m": [[{"k": "string"}]]}'), ("f", '{"m": []}'), ("g", "[]")], "e string, shape string")
+    found = rows_of(rules.contract_fields(lists, ["e"]))
+    assert ("e", "$" + ".x" * 12, "number", True) in found and ("f", "$.m[][].k", "string", True) in found
+    assert ("f", "$.m[]", "array", False) in found and not [x for x in found if x[0] == "g"]
     assert rules.shared_schemas(fields, ["e"]).first().uses == 1
 
 
@@ -316,14 +322,22 @@ def test_page_extraction(spark):
     assert html.extract_metadata(parsed).first().metadata == {"description": "Last", "og:t": "1"}
     assert {x.page_id: x.description for x in html.extract_description(parsed).collect()} == {1: "About", 2: ""}
     got = {x.tag: x for x in html.extract_components(parsed).collect()}
-    assert got["input"].label == "Mail" and got["input"].required and got["button"].text == "Send" and got["button"].disabled and got["button"].form == "form#f"
+    assert got["input"].label == "Mail" and got["input"].required and got["button"].text == "Send" and got["button"].disabled and got["button"].form == "body > main > form#f"
     assert [x.text for x in html.extract_texts(parsed).collect()] == ["Title", "Some text that is long enough."]
-    near = html.extract_ancestors(parsed).filter("component_path = 'input#m'").orderBy("distance").collect()
+    near = html.extract_ancestors(parsed).filter("component_path = 'body > main > form#f > input#m'").orderBy("distance").collect()
     assert [x.tag for x in near] == ["form", "main"] and near[1].landmark == "main"
     styles = {(x.path.split(" > ")[-1], x.state, x.value) for x in html.extract_state_styles(parsed).collect()}
     assert ("button", "hover", "blue") in styles and ("a", "focus", "red") in {(p.split(":")[0], s, v) for p, s, v in styles}
 
 
+def test_pages_of_any_depth_and_size():
+    page = html.parse_page("<div>" * 20_000 + "<a href=x>t</a>")
+    assert page["links"] == [{"href": "x", "text": "t"}]
+    page = html.parse_page("<ul>" + "<li id=i><a href=x>t</a>" * 4000 + "</b>" * 4000)
+    assert len(page["controls"]) == 4000 and page["controls"][1]["path"] == "ul > li#i > a"
+    assert html.parse_page("<ul><li><a>x</a><li><a>y</a></ul>")["controls"][1]["path"] == "ul > li:nth-of-type(2) > a"
+
+
 def test_tables_round_trip(spark):
     path = shared_path(spark, "t")
     df = spark.createDataFrame([("s", "e", "u", "Finished", 1, "", "", 1, None), ("t", "e", "u", "Pending", 1, "", "", 2, None)], tables.PAGE_EVENT)
@@ -362,7 +376,8 @@ def test_registry(spark, sf_dir):
             registry.query(spark, sf_dir, name)
     rows = spark.createDataFrame([("a", "x"), ("b", "y")], "prompt string, plain string")
     write = lambda p: p.upper() if p == "a" else 1 / 0
-    assert sorted(x.text for x in registry.with_user_text(rows, "prompt", "plain", write).collect()) == ["A", "y"]
+    got = {x.text: x.failure for x in registry.with_user_text(rows, "prompt", "plain", write).collect()}
+    assert got.keys() == {"A", "y"} and got["A"] is None and got["y"].startswith("ZeroDivisionError")
 
 
 def _brute_betweenness(pairs):
@@ -401,17 +416,48 @@ def _is_cut(pairs, gone):
     return not near[gone] <= reached
 
 
-def test_graph_queries_without_sql_use_every_edge(spark, sf_dir):
+def test_graph_queries_use_every_edge(spark, sf_dir):
     from siteloom.plans import derived
     from siteloom.plans.queries import QUERIES
 
     pairs = {(x.src, x.dst) for x in derived.simple_edges(spark, sf_dir).collect()}
     want = _brute_betweenness(pairs)
     got = {x.id: x.betweenness for x in QUERIES["betweenness"](spark, sf_dir).collect()}
-    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
-    cut = {x.id for x in QUERIES["articulation_points"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-8 for v in want)
+    cut = {x.id for x in graph.articulation_points(derived.simple_edges(spark, sf_dir)).collect()}
     assert cut == {v for v in want if _is_cut(pairs, v)}
-    assert {x.id for x in QUERIES["graph_modules"](spark, sf_dir).collect()} == want.keys()
+    some = {x.id: x.betweenness for x in graph.betweenness(derived.simple_edges(spark, sf_dir), sources=60).collect()}
+    assert some.keys() == want.keys() and all(abs(some[v] - want[v]) < 0.05 for v in want)
+
+
+def test_first_cycles_by_small_beams(spark):
+    edges = random_edges(7, 26, 9)
+    df = spark.createDataFrame(edges, "src string, dst string")
+    nodes, known = sorted({x for e in edges for x in e}), set(edges)
+    cycles = sorted(c for k in range(1, 6) for c in itertools.permutations(nodes, k) if c[0] == min(c) and all((a, b) in known for a, b in zip(c, c[1:] + c[:1], strict=True)))
+    for most, beam in ((5, 2), (12, 3)):
+        assert sorted(tuple(x.cycle) for x in graph.simple_cycles(df, longest=5, most=most, beam=beam).collect()) == cycles[:most]
+
+
+def test_running_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [("hot" if i % 3 else f"g{i % 7}", i, rng.randrange(100)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, n int, v int").repartition(5)
+    got = {(x.g, x.n): (x.total, x.low, x.i) for x in ordered.running(df, ["g"], [F.col("n")], {"total": F.col("v"), "i": F.lit(1)}, {"low": F.col("v")}).collect()}
+    for g, n, _ in rows:
+        seen = [v for h, m, v in rows if h == g and m <= n]
+        assert got[g, n] == (sum(seen), min(seen), len(seen))
+    assert sorted(x.n2 for x in ordered.numbered(df, [], [F.col("n")], "n2").collect()) == list(range(1, 401))
+    assert ordered.numbered(df.limit(0), ["g"], [F.col("n")]).count() == 0
+
+
+def test_option_shapes(spark):
+    raw = ['{"increment_path": "u", "decrement_path": "d", "container": "c", "current_value": null, "value_path": "v"}', '{"group": "g", "options": [{"path": null, "text": "a", "selected": true}]}',
+           '{"trigger": "t", "revealed_options": [{"text": "x"}]}', '{"a": 1}', "no json", None, '{"group": "g"}']
+    df = spark.createDataFrame([("p", str(i), x, 1) for i, x in enumerate(raw)], "page_url string, path string, options string, event_seq long")
+    got = {x.path: (x.group_name, [tuple(o) for o in x.options]) for x in fold.parsed_options(df).collect()}
+    assert got["0"] == ("stepper", [("c", "container", False), ("u", "increment", False), ("d", "decrement", False), ("v", "value:", False)])
+    assert got["1"] == ("g", [("", "a", True)]) and got["2"] == ("t", [("", "x", False)]) and all(got[k] == ("", []) for k in "3456")
 
 
 def test_breadth_first_loops_have_no_bound():
