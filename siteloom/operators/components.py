@@ -172,7 +172,7 @@ def _compare(least: Fraction):
 
 def _blocked_links(left: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     """Links between sets of different roots that share a key of ``left`` (key, node, size, root)."""
-    first = left.groupBy("key").agg(F.min("node").alias("first"))
+    first = materialize(left.groupBy("key").agg(F.min("node").alias("first")), "near-first")
     grouped = connected_components(left.join(first, "key").select(F.col("node").alias("a"), F.col("first").alias("b")))
     large = grouped.groupBy("root").agg(F.count("*").alias("_n")).filter(F.col("_n") > WHOLE_GROUP)
     large = materialize(large.select(F.col("root").alias("gid"), F.lit(True).alias("_large")), "near-large")
