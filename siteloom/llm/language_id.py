@@ -474,6 +474,16 @@ def _calibrate(model: Model, held_back: DataFrame) -> None:
     model.reach = max(4.0, REJECT_FACTOR * float(np.quantile(excess, 1 - REJECT_SHARE)))
 
 
+def _cutoff(counted: DataFrame, over: int, most: int = 1000) -> int:
+    """The least count for which leaving out rarer n-grams leaves out ``over`` of them or more, ``most`` at most."""
+    rows = counted.groupBy(F.least("c", F.lit(most)).alias("c")).agg(F.count("*").alias("n")).orderBy("c").collect()
+    for x in rows:
+        over -= x.n
+        if over <= 0:
+            return min(x.c + 1, most)
+    return most
+
+
 def fit(
     labelled: DataFrame,
     *,
@@ -496,10 +506,7 @@ def fit(
     counted = common.materialize(counted.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "language-grams")
     whole = F.char_length("gram") == order
     n, alphabet = counted.agg(F.count("*"), F.count_distinct(F.when(F.char_length("gram") == 1, F.col("gram")))).first()
-    cutoff = 1
-    while n > max_entries and cutoff < 1000:
-        cutoff += 1
-        n = counted.filter(~whole | (F.col("c") >= cutoff)).count()
+    cutoff = _cutoff(counted.filter(whole), n - max_entries) if n > max_entries else 1
     entries = counted.groupBy("lang").applyInArrow(_estimate(order, alphabet + 1, cutoff), ENTRIES)
     model = _assembled(entries.toArrow(), order)
     if model.languages:
