@@ -332,16 +332,15 @@ def modules(edges: DataFrame, levels: int = 10, rounds: int = 20, seed: int = 42
         for r in range(rounds):
             totals = state.groupBy("c").agg(F.sum("deg").alias("tot"))
             near = both.filter("src <> dst").join(state.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("to_c"))
-            own = state.select("id", "deg", F.col("c").alias("own"))
+            own = state.join(totals, "c").select("id", "deg", F.col("c").alias("own"), F.col("tot").alias("own_tot"))
             options = near.join(own, "id").join(totals, "c")
             rest = F.when(F.col("c") == F.col("own"), F.col("tot") - F.col("deg")).otherwise(F.col("tot"))
             options = options.withColumn("gain", F.col("to_c") - F.col("deg") * rest / mass)
             best = options.groupBy("id").agg(
                 F.max(F.when(F.col("c") != F.col("own"), F.struct("gain", F.col("c").alias("to")))).alias("b"),
-                F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"),
+                # One without a neighbour in its own community has no edge weight there.
+                F.coalesce(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))), F.max(-F.col("deg") * (F.col("own_tot") - F.col("deg")) / mass)).alias("stay"),
             )
-            alone = state.join(totals, "c").select("id", (-F.col("deg") * (F.col("tot") - F.col("deg")) / mass).alias("empty"))
-            best = best.join(alone, "id").withColumn("stay", F.coalesce("stay", "empty"))
             turn = F.pmod(F.xxhash64("id", F.lit(seed + level)), F.lit(2)) == r % 2
             goes = best.filter(turn & (F.col("b.gain") > F.col("stay") + 1e-7)).select("id", F.col("b.to").alias("to"))
             fresh = state.join(goes, "id", "left").select("id", "deg", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("went"))
