@@ -93,4 +93,51 @@ SECRETS = f"""
            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
     FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
-SQL = {"op6_interleaved_shards": SHARDS, "op10_secret_spans": SECRETS}
+# Spelling. Words are near if they agree with the same place left out of both, or of one.
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SPELLING = f"""
+    WITH RECURSIVE crc AS ({_CRC_TABLE}),
+    t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS given FROM documents),
+    g AS (SELECT doc_id, {_LOWER.format("given")} AS run, count(*) AS n FROM t GROUP BY ALL),
+    h AS (
+        SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(coalesce(doc_id::VARCHAR, '') || ':' || run), '..'),
+                   lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h
+        FROM g, crc),
+    w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+    v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+    q AS (SELECT word, n, i, substr(word, 1, i - 1) AS front, substr(word, i + 1) AS back FROM p),
+    e AS (
+        SELECT a.word, b.word AS near, b.n AS m FROM q a JOIN q b ON a.i = b.i AND a.front = b.front AND a.back = b.back AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM q a JOIN v b ON a.front || a.back = b.word
+        UNION SELECT b.word, a.word, a.n FROM q a JOIN v b ON a.front || a.back = b.word),
+    b AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, near) AS near, max(m) AS m FROM e GROUP BY word),
+    f AS (
+        SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN near END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n
+        FROM v LEFT JOIN b ON v.word = b.word),
+    r AS (
+        SELECT word, word AS root FROM f
+        UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+    FROM f JOIN r ON r.word = f.word JOIN f AS l ON l.word = r.root WHERE l.form IS NULL"""
+
+# Ranked search, of every document that holds a term.
+
+RANKED = rf"""
+    WITH d AS (
+        SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    c AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+    s AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY doc_id),
+    a AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM s),
+    w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, a GROUP BY term, big_n),
+    i AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    f AS (
+        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score
+        FROM i JOIN w USING (term) JOIN c USING (term) JOIN s USING (doc_id), a GROUP BY item_id, doc_id),
+    r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM f WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+SQL = {"op6_interleaved_shards": SHARDS, "op10_secret_spans": SECRETS, "op11_spelling_variants": SPELLING, "op12_best_positions": RANKED}

@@ -12,10 +12,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import archive, bpe, common, exact_dedup, language_id, nearest, oracles, packing, page_text, secrets, sharding, simhash, warc
+from siteloom.llm import (
+    archive, bpe, common, exact_dedup, language_id, nearest, oracles, packing, page_text, ranked_search, secrets, sharding, simhash, spelling, token_cache, warc,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: Tokens above which a document is over the limit.
+TOKEN_LIMIT = 4096
 
 
 def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +139,20 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(common.read_table(spark, sf_dir, "documents"), slips=97))
+
+
+def op12_best_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call begins with an empty cache, so it encodes every distinct text."""
+    found = token_cache.count_tokens(common.read_table(spark, sf_dir, "documents"), PIECES, common.shared_path(spark, "token-cache"))
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_text": op1_page_text,
     "op2_byte_bpe": op2_byte_bpe,
@@ -145,6 +164,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_simhash_components": op9_simhash_components,
     "op10_secret_spans": op10_secret_spans,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_best_positions": op12_best_positions,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES: dict[str, str] = {
