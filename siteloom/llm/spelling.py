@@ -100,7 +100,7 @@ def _signatures(vocabulary: DataFrame) -> DataFrame:
     shapes = []
     for role in (0, 1):
         shorter = F.col("size") - role
-        left = F.floor(shorter / 2).cast("int")
+        left = F.shiftright(shorter, 1)
         right = shorter - left
         halves = (F.substring("word", F.lit(1), left), F.substring(F.col("word"), F.col("size") - right + 1, right))
         for kind, half in enumerate(halves):
@@ -130,7 +130,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     low, high = (rows.select(*(F.col(c).alias(f"{c}_{x}") for c in rows.columns)) for x in "ab")
     of = F.col("tag_a").bitwiseAND(7)
     size = F.char_length("word_a")
-    left = F.floor(size / 2).cast("int")
+    left = F.shiftright(size, 1)
     starts = F.substring("word_a", F.lit(1), left) == F.substring("word_b", F.lit(1), left)
     ends = F.substring("word_a", left + 1, size - left) == F.substring(F.col("word_b"), F.char_length("word_b") - (size - left) + 1, size - left)
     by_start = F.col("tag_a").bitwiseAND(8) == 0
@@ -143,7 +143,8 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
         & F.when(by_start, starts).otherwise(ends & ~starts)
         & (F.levenshtein("word_a", "word_b", 1) == 1)
     )
-    found = low.filter("tag_a < 16").join(high, (F.col("key_a") == F.col("key_b")) & once)
+    # The exploded signatures are far larger than the file they come from, by which Spark would send them to all workers.
+    found = low.filter("tag_a < 16").hint("merge").join(high, (F.col("key_a") == F.col("key_b")) & once)
     return found.select(F.col("word_a").alias("a"), "n_a", F.col("word_b").alias("b"), "n_b")
 
 
