@@ -63,14 +63,15 @@ def observable_traces(found: DataFrame) -> DataFrame:
 
 
 def trace_titles(found: DataFrame) -> DataFrame:
+    """The first step's action and label, and the page where the visit ended."""
     first = F.get("steps", F.lit(0))
-    return found.select("visit_id", F.concat_ws(" ", first["action"], first["label"], F.lit("on"), first["page_url"]).alias("title"))
+    return found.select("visit_id", F.trim(F.concat_ws(" ", first["action"], first["label"], F.lit("on"), "end_page")).alias("title"))
 
 
 def trace_assertions(found: DataFrame, requests: DataFrame) -> DataFrame:
-    """One row per observed request outcome, and the final page where it changed."""
+    """One row per observed request outcome with its method and path, and the final page where it changed."""
     told = F.when(F.col("failed"), "failed").when(F.col("status").isNotNull(), F.concat(F.lit("answered "), F.col("status").cast("string"))).otherwise("sent")
-    sent = requests.join(found.select("visit_id"), "visit_id", "left_semi").select("visit_id", "step_seq", F.col("request_path").alias("subject"), told.alias("outcome"))
+    sent = requests.join(found.select("visit_id"), "visit_id", "left_semi").select("visit_id", "step_seq", F.concat_ws(" ", "method", "request_path").alias("subject"), told.alias("outcome"))
     moved = found.filter("end_page <> start_page").select(
         "visit_id", F.lit(None).cast("long").alias("step_seq"), F.col("end_page").alias("subject"), F.lit("page").alias("outcome")
     )
@@ -98,12 +99,14 @@ def slowdown_ratio(navigations: DataFrame) -> DataFrame:
 
 
 def backoff_step(acc: Column, x: Column, ceiling: float | None, slow: float, stop: float) -> Column:
-    """One navigation: the wait grows to half the elapsed time if it is slow, else it halves."""
+    """One navigation: the wait grows to half the elapsed time if it is slow, else it halves. Without a ceiling
+    neither wait nor breaker changes."""
     fastest = F.least(acc["fastest"], x["elapsed_seconds"])
+    if ceiling is None:
+        return F.struct(fastest.alias("fastest"), acc["wait"].alias("wait"), acc["broken"].alias("broken"))
     ratio = F.when(fastest > 0, x["elapsed_seconds"] / fastest).otherwise(1.0)
     grown = F.greatest(acc["wait"], x["elapsed_seconds"] * 0.5)
-    capped = F.least(grown, F.lit(ceiling)) if ceiling is not None else F.lit(0.0)
-    wait = F.when(ratio > slow, capped).otherwise(acc["wait"] / 2)
+    wait = F.when(ratio > slow, F.least(grown, F.lit(ceiling))).otherwise(acc["wait"] / 2)
     return F.struct(fastest.alias("fastest"), wait.alias("wait"), (acc["broken"] | (ratio >= stop)).alias("broken"))
 
 

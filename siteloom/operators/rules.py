@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -181,18 +183,20 @@ def color_usage(components: DataFrame, field: str) -> DataFrame:
 
 
 def type_tokens(components: DataFrame) -> DataFrame:
-    """(font_size, font_weight, uses, name), largest sizes first, sizes that aren't px last."""
-    px = F.regexp_extract("font_size", r"^([0-9.]+)px$", 1).try_cast("double")
+    """(font_size, font_weight, uses, name), largest sizes first, then by weight; sizes that aren't numbers of px last."""
+    px = F.coalesce(F.trim(F.replace("font_size", F.lit("px"), F.lit(""))).try_cast("double"), F.lit(-1.0))
     found = components.filter("coalesce(font_size, '') <> ''").groupBy("font_size", "font_weight").agg(F.count("*").alias("uses"))
     found = found.withColumn("_px", px)
-    order = [F.col("_px").isNull(), F.col("_px").desc(), F.desc("uses"), F.col("font_size"), F.col("font_weight")]
+    order = [F.col("_px").desc(), F.coalesce("font_weight", F.lit("")), F.col("font_size")]
     named = numbered(found, [], order, "_n")
-    return named.withColumn("name", F.concat(F.lit("text-"), F.col("_n").cast("string"))).drop("_n", "_px")
+    return named.withColumn("name", F.concat(F.lit("type-"), F.col("_n").cast("string"))).drop("_n", "_px")
 
 
 def state_tokens(styles: DataFrame) -> DataFrame:
+    """(state, property, value, uses, position): how many controls declare a value, the most declared of each state first."""
     complete = styles.filter("coalesce(state, '') <> '' and coalesce(property, '') <> '' and coalesce(value, '') <> ''")
-    return complete.groupBy("state", "property", "value").agg(F.count("*").alias("uses")).orderBy("state", "property", F.desc("uses"), "value")
+    found = complete.groupBy("state", "property", "value").agg(F.count("*").alias("uses"))
+    return numbered(found, [], [F.col("state"), F.desc("uses"), F.col("property"), F.col("value")], "position")
 
 
 def token_names(rows: DataFrame, prefix: str, uses: str, *ties: str) -> DataFrame:
@@ -202,35 +206,69 @@ def token_names(rows: DataFrame, prefix: str, uses: str, *ties: str) -> DataFram
 
 
 def color_tokens(components: DataFrame, cluster) -> DataFrame:
-    """Colour clusters of text and of surfaces, apart even where they are equal."""
-    text = cluster(color_usage(components, "color")).withColumn("role", F.lit("text"))
-    return text.unionByName(cluster(color_usage(components, "background_color")).withColumn("role", F.lit("surface")))
+    """(role, name, value, uses, merged): colour clusters of text and of surfaces, apart even where they are equal.
+
+    A cluster has its leader's value, the uses of all its colours, and the values that it took in; clusters
+    are named by their leaders' own uses, the most used first.
+    """
+    parts = []
+    for role, field in (("text", "color"), ("surface", "background_color")):
+        found = cluster(color_usage(components, field))
+        value, key = colors.to_hex(F.col("r"), F.col("g"), F.col("b")), F.expr("r * 65536 + g * 256 + b")
+        leads = key == F.col("leader")
+        tokens = found.groupBy("leader").agg(
+            F.max(F.when(leads, value)).alias("value"), F.max(F.when(leads, F.col("uses"))).alias("_own"), F.sum("uses").alias("uses"),
+            F.array_sort(F.collect_list(F.when(~leads, value))).alias("merged"),
+        )
+        named = numbered(tokens, [], [F.desc("_own"), F.col("leader")], "_n")
+        parts.append(named.select(F.lit(role).alias("role"), F.concat(F.lit(f"{role}-"), F.col("_n").cast("string")).alias("name"), "value", "uses", "merged"))
+    return parts[0].unionByName(parts[1])
 
 
-PROPS = ("text", "label", "placeholder", "name", "href", "form", "required", "disabled")
+# What of a control its rebuilt version would take, and the tags that are controls by themselves.
+PROPS = ("label", "placeholder", "name", "href", "form", "required", "disabled", "option_labels")
+ATOM_TAGS = ("button", "input", "a", "select", "textarea")
 
 
 def catalog_props(members: DataFrame, props: tuple[str, ...] = PROPS) -> DataFrame:
-    """Per family and property: on how many members, whether it varies, the first example."""
-    pairs = ", ".join(f"'{p}', cast(`{p}` as string)" for p in props)
-    long = members.selectExpr("family_id", "pos", f"stack({len(props)}, {pairs}) as (prop, value)").filter("coalesce(value, '') <> ''")
-    return long.groupBy("family_id", "prop").agg(
-        F.count("*").alias("present"), (F.countDistinct("value") > 1).alias("varies"), F.min_by("value", F.struct("pos", "value")).alias("example")
+    """Per family and property that a member has: kind, on how many members, whether it varies, the first example.
+
+    Kinds are string, boolean and list, by the column. Empty texts, false and empty lists aren't there; but they and
+    nulls are values each, so a property that some members lack varies.
+    """
+    kinds = {p: {"boolean": "boolean", "array": "list"}.get(members.schema[p].dataType.typeName(), "string") for p in props}
+    told = {"string": lambda p: F.col(p).cast("string"), "boolean": lambda p: F.col(p).cast("string"), "list": lambda p: F.array_join(p, ", ")}
+    row = lambda p, k: F.struct(
+        F.lit(p).alias("prop"), F.lit(k).alias("kind"), told[k](p).alias("example"), (F.to_json(F.struct(p)) if k == "list" else told[k](p)).alias("value"),
+        F.coalesce(F.size(p) > 0 if k == "list" else F.col(p) if k == "boolean" else F.col(p).cast("string") != "", F.lit(False)).alias("there"),
+    )
+    long = members.select("family_id", "pos", F.inline(F.array(*(row(p, k) for p, k in kinds.items()))))
+    there = F.when(F.col("there"), F.struct("pos", "example"))
+    found = long.groupBy("family_id", "prop", "kind").agg(
+        F.count_if("there").alias("present"),
+        (F.countDistinct("value") + F.max(F.col("value").isNull().cast("int")) > 1).alias("varies"),
+        F.min(there)["example"].alias("example"),
     )
+    return found.filter("present > 0")
 
 
 def catalog_variants(members: DataFrame, common: DataFrame) -> DataFrame:
     """Per family, extra classes and background: count and first text."""
     extra = F.array_join(F.array_sort(F.array_except("tokens", "common_classes")), " ")
     found = members.join(common, "family_id").withColumn("extra_classes", extra)
-    return found.groupBy("family_id", "extra_classes", "background_color").agg(F.count("*").alias("count"), F.min_by("text", F.struct("pos", "text")).alias("example"))
+    return found.groupBy("family_id", "extra_classes", "background_color").agg(F.count("*").alias("count"), F.coalesce(F.min(F.when(F.col("text") != "", F.struct("pos", "text")))["text"], F.lit("")).alias("example"))
 
 
 def catalog_entries(members: DataFrame) -> DataFrame:
-    """Per family its unique name, pages, regions, level and whether it was seen disabled."""
+    """Per family its unique name, pages, regions, level and whether it was seen disabled.
+
+    The level is ``atom`` for tags that are controls by themselves, ``atom (in a form)`` where all members are in
+    one, and empty where the tag doesn't tell."""
+    in_form = F.bool_and(F.coalesce("form", F.lit("")) != "")
     found = members.groupBy("family_id").agg(
-        F.min("component_type").alias("component_type"), F.array_sort(F.collect_set("page_url")).alias("used_on"), F.array_sort(F.collect_set("region")).alias("regions"),
-        F.when(F.bool_and(F.coalesce("form", F.lit("")) != ""), "molecule").otherwise("atom").alias("level"), F.bool_or("disabled").alias("disabled_observed"), F.count("*").alias("members"),
+        F.min("component_type").alias("component_type"), F.array_sort(F.collect_set("page_url")).alias("used_on"), F.array_sort(F.collect_set(F.nullif("region", F.lit("")))).alias("regions"),
+        F.when(~F.bool_and(F.coalesce(F.col("tag").isin(*ATOM_TAGS), F.lit(False))), "").when(in_form, "atom (in a form)").otherwise("atom").alias("level"),
+        F.coalesce(F.bool_or("disabled"), F.lit(False)).alias("disabled_observed"), F.count("*").alias("members"),
     )
     found = found.withColumn("name", labels.component_name(F.col("component_type")))
     nth = F.row_number().over(W.partitionBy("name").orderBy(F.desc("members"), "family_id"))
@@ -325,7 +363,9 @@ def _where():
 
 
 def style_conflicts(members: DataFrame) -> DataFrame:
-    found = members.filter("coalesce(background_color, '') <> ''").groupBy("family_id").agg(F.array_sort(F.collect_set("background_color")).alias("colors"))
+    """Families whose members have two or more backgrounds: their type, how many members, the colours."""
+    colors = F.array_sort(F.collect_set(F.nullif("background_color", F.lit("")))).alias("colors")
+    found = members.groupBy("family_id").agg(F.min("component_type").alias("component_type"), F.count("*").alias("members"), colors)
     return found.filter(F.size("colors") >= 2)
 
 
@@ -341,22 +381,28 @@ def semantic_input_types(components: DataFrame) -> DataFrame:
 
 
 def usability_findings(styles: DataFrame, names: DataFrame, inputs: DataFrame, unexplained: DataFrame, dead_ends: DataFrame) -> DataFrame:
-    """The five rules in one table, by severity, rule and place."""
-    found = _finding(styles, "inconsistent-style", "medium", F.col("family_id"), F.array_join("colors", ", "))
-    found = found.unionByName(_finding(names, "inconsistent-naming", "medium", F.col("endpoint_id"), F.array_join("labels", ", ")))
+    """The five rules in one table, by severity, rule and place. Rule names and severities are fixed values."""
+    family = F.format_string("%s (%d instances)", "component_type", "members")
+    found = _finding(styles, "inconsistent-family-styling", "medium", family, F.array_join("colors", ", "))
+    found = found.unionByName(_finding(names, "inconsistent-action-naming", "medium", F.col("endpoint_id"), F.array_join("labels", ", ")))
     found = found.unionByName(_finding(inputs, "missing-semantic-input-type", "medium", _where(), F.col("expected")))
-    found = found.unionByName(_finding(unexplained, "disabled-without-explanation", "high", _where(), F.lit("no text nearby")))
-    found = found.unionByName(_finding(dead_ends, "dead-end", "low", F.col("id"), F.lit("no way on")))
+    found = found.unionByName(_finding(unexplained, "unexplained-disabled-control", "low", _where(), F.lit("no text nearby")))
+    found = found.unionByName(_finding(dead_ends, "dead-end-screen", "medium", F.col("id"), F.lit("no way on")))
     rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     return found.orderBy(rank, "rule", "place")
 
 
-NAMED_TYPES = ("button", "submit button", "link", "text field", "checkbox", "radio", "combobox", "native dropdown", "toggle", "tab", "list/menu")
+# Beginnings of the types that need a name.
+NAMED_TYPES = (
+    "button", "submit button", "link", "checkbox", "radio button", "toggle switch",
+    "tab", "native dropdown (select)", "combobox", "text field",
+)
 
 
 def accessible_name_findings(components: DataFrame) -> DataFrame:
     """Controls of the semantic layer without a name; a placeholder alone is its own rule."""
-    needs = F.lower("component_type").rlike("^(" + "|".join(NAMED_TYPES) + ")") & (F.coalesce("layer", F.lit("semantic")) != "pointer")
+    kind = F.lower("component_type")
+    needs = reduce(Column.__or__, (F.startswith(kind, F.lit(x)) for x in NAMED_TYPES)) & (F.coalesce("layer", F.lit("semantic")) != "pointer")
     own = components.filter(needs & (labels.first_filled("text", "label") == ""))
     held = labels.blank("placeholder") != ""
     return own.select(
@@ -371,7 +417,7 @@ def landmark_findings(landmarks: DataFrame) -> DataFrame:
     n = lambda k: F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(0))
     none = _finding(counts.filter(n("main") == 0), "no-main-landmark", "medium", F.col("page_url"), F.lit("main"))
     twice = landmarks.filter(F.col("landmark").isin("banner", "main", "contentinfo") & (F.col("regions") > 1))
-    return none.unionByName(_finding(twice, "duplicate-landmark", "medium", F.col("page_url"), F.col("landmark")))
+    return none.unionByName(_finding(twice, "duplicate-unique-landmark", "low", F.col("page_url"), F.col("landmark")))
 
 
 # Flows

@@ -192,3 +192,23 @@ PARTS = """pc AS (
            p_size::DOUBLE AS x, p_retailprice AS y,
            list_sort(list_distinct(list_filter(string_split(lower(p_name) || ' ' || 'size-' || floor(p_size / 10)::INT, ' '), lambda t: t <> ''))) AS tokens
     FROM part)"""
+
+
+# Colours by use, and for each the first of the leaders so far that can't be told from it, else itself, one colour a step.
+_LINEAR = "CASE WHEN {0} / 255.0 <= 0.04045 THEN 100 * {0} / 255.0 / 12.92 ELSE 100 * pow(({0} / 255.0 + 0.055) / 1.055, 2.4) END"
+_CURVED = "CASE WHEN {0} > 0.008856 THEN pow({0}, 1.0 / 3) ELSE 7.787 * {0} + 16.0 / 116 END"
+LAB_COLORS = (
+    PARTS
+    + f""", cu AS (SELECT 'surface' AS role, (p_size * 5)::INT AS r, ((p_partkey % 50) * 5)::INT AS g, 40 AS b FROM part UNION ALL SELECT 'text', 1, 2, (p_partkey % 9 * 3)::INT FROM part),
+cn AS (SELECT role, r, g, b, count(*) AS uses, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, r, g, b) AS i FROM cu GROUP BY role, r, g, b),
+ln AS (SELECT *, {_LINEAR.format("r")} AS lr, {_LINEAR.format("g")} AS lg, {_LINEAR.format("b")} AS lb FROM cn),
+xz AS (SELECT *, (0.4124 * lr + 0.3576 * lg + 0.1805 * lb) / 95.047 AS x, (0.2126 * lr + 0.7152 * lg + 0.0722 * lb) / 100.0 AS y, (0.0193 * lr + 0.1192 * lg + 0.9505 * lb) / 108.883 AS z FROM ln),
+fz AS (SELECT *, {_CURVED.format("x")} AS fx, {_CURVED.format("y")} AS fy, {_CURVED.format("z")} AS fz FROM xz),
+lab AS (SELECT role, r, g, b, uses, i, (116 * fy - 16)::DOUBLE AS l, (500 * (fx - fy))::DOUBLE AS aa, (200 * (fy - fz))::DOUBLE AS bb FROM fz),
+step(role, i, leaders, lead) AS (
+    SELECT role, 0::BIGINT, []::STRUCT(i BIGINT, l DOUBLE, aa DOUBLE, bb DOUBLE)[], 0::BIGINT FROM lab WHERE i = 1
+    UNION ALL SELECT role, i, CASE WHEN f IS NULL THEN list_append(leaders, struct_pack(i := i, l := l, aa := aa, bb := bb)) ELSE leaders END, coalesce(f, i) FROM (
+        SELECT n.*, s.leaders, list_filter(s.leaders, lambda p: sqrt((p.l - n.l) ** 2 + (p.aa - n.aa) ** 2 + (p.bb - n.bb) ** 2) <= 2.3)[1].i AS f
+        FROM step s JOIN lab n ON n.role = s.role AND n.i = s.i + 1)),
+led AS (SELECT lab.*, step.lead FROM lab JOIN step ON step.role = lab.role AND step.i = lab.i)"""
+)

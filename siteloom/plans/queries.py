@@ -326,7 +326,7 @@ def traces(spark, sf_dir):
     return found.select("visit_id", "length", "start_page", "end_page", F.array_join("steps.action", ",").alias("actions"))
 
 
-@query(f"""WITH {d.VISITS} SELECT visit_id, arg_min(action || ' ' || label || ' on ' || page_url, step_seq) AS title
+@query(f"""WITH {d.VISITS} SELECT visit_id, arg_min(action || ' ' || label, step_seq) || ' on ' || coalesce(arg_max(target, step_seq) FILTER (navigated), arg_min(page_url, step_seq)) AS title
     FROM steps GROUP BY visit_id HAVING bool_or(navigated OR requests > 0)""")
 def observable_trace_titles(spark, sf_dir):
     return ordered.trace_titles(ordered.observable_traces(ordered.traces(d.visit_steps(spark, sf_dir))))
@@ -357,6 +357,13 @@ def backoff_state(spark, sf_dir):
     return ordered.backoff_state(nav).select("crawl_id", F.round("fastest", 6).alias("fastest"), F.round("wait", 6).alias("wait"), "broken")
 
 
+@query(f"""WITH {d.RESULTS} SELECT run_id AS crawl_id, round(min(value), 6) AS fastest, 0.0::DOUBLE AS wait, false AS broken FROM vr GROUP BY 1""")
+def backoff_off(spark, sf_dir):
+    """Without a ceiling only the fastest time is kept, however slow a site becomes."""
+    nav = d.visit_results(spark, sf_dir).select(F.col("run_id").alias("crawl_id"), "seq", F.col("value").alias("elapsed_seconds"))
+    return ordered.backoff_state(nav, ceiling=None).select("crawl_id", F.round("fastest", 6).alias("fastest"), "wait", "broken")
+
+
 @query(f"""WITH {d.RESULTS}, i AS (SELECT run_id, url, count(*) AS n FROM vr WHERE interrupted GROUP BY ALL HAVING count(*) > 1)
     SELECT run_id, count(*) AS visits, count(DISTINCT CASE WHEN NOT interrupted THEN url END) AS unique_pages,
            count(*) FILTER (interrupted) AS requeued, (SELECT count(*) FROM i WHERE i.run_id = vr.run_id) AS gave_up FROM vr GROUP BY run_id""")
@@ -531,31 +538,44 @@ def families(spark, sf_dir):
 
 
 def _typed(spark, sf_dir):
-    """Parts with their type as the family."""
+    """Parts with their type as the family; one in three has no text."""
     tokens = F.array_sort(F.array_distinct(F.filter(F.split("css_class", " "), lambda x: x != "")))
-    return d.part_components(spark, sf_dir).withColumn("family_id", F.col("component_type")).withColumn("tokens", tokens)
+    own = d.part_components(spark, sf_dir).withColumn("text", F.when(F.col("pos") % 3 > 0, F.col("text")).otherwise(""))
+    return own.withColumn("family_id", F.col("component_type")).withColumn("tokens", tokens)
 
 
 @query(f"""WITH {d.PARTS}, n AS (SELECT component_type, count(*) AS n FROM pc GROUP BY 1),
     t AS (SELECT component_type, unnest(tokens) AS token FROM pc), u AS (SELECT component_type, token, count(*) AS c FROM t GROUP BY ALL),
     cm AS (SELECT n.component_type, coalesce(list(token) FILTER (u.c = n.n), []) AS common FROM n LEFT JOIN u USING (component_type) GROUP BY 1)
     SELECT pc.component_type AS family_id, array_to_string(list_sort(list_filter(tokens, lambda x: NOT list_contains(common, x))), ' ') AS extra_classes,
-           background_color, count(*) AS count, arg_min(text, pos) AS example FROM pc JOIN cm USING (component_type) GROUP BY ALL""")
+           background_color, count(*) AS count, coalesce(arg_min(text, pos) FILTER (pos % 3 > 0), '') AS example FROM pc JOIN cm USING (component_type) GROUP BY ALL""")
 def variant_table(spark, sf_dir):
     own = _typed(spark, sf_dir)
     return rules.catalog_variants(own, similarity.common_classes(own))
 
 
-@query(f"""WITH {d.PARTS}, l AS (SELECT component_type, pos, 'text' AS prop, text AS value FROM pc UNION ALL
-    SELECT component_type, pos, 'page_url', page_url FROM pc)
-    SELECT component_type AS family_id, prop, count(*) AS present, count(DISTINCT value) > 1 AS varies, arg_min(value, pos) AS example FROM l GROUP BY ALL""")
+# Of each family: a text that all have, one that some lack, one that none has, booleans and lists.
+@query("""WITH p AS (SELECT p_type AS family_id, p_partkey AS pos, p_size, p_brand, p_name FROM part),
+    l AS (SELECT family_id, pos, 'label' AS prop, 'string' AS kind, family_id AS shown, family_id AS value, true AS there FROM p
+    UNION ALL SELECT family_id, pos, 'placeholder', 'string', CASE WHEN p_size > 40 THEN 'size' END, CASE WHEN p_size > 40 THEN 'size' END, p_size > 40 FROM p
+    UNION ALL SELECT family_id, pos, 'required', 'boolean', 'true', 'true', true FROM p
+    UNION ALL SELECT family_id, pos, 'disabled', 'boolean', (p_size = 1)::VARCHAR, (p_size = 1)::VARCHAR, p_size = 1 FROM p
+    UNION ALL SELECT family_id, pos, 'option_labels', 'list', CASE WHEN p_size % 2 = 0 THEN p_brand || ', ' || p_name ELSE '' END, CASE WHEN p_size % 2 = 0 THEN p_brand || '|' || p_name ELSE '' END, p_size % 2 = 0 FROM p)
+    SELECT family_id, prop, kind, count(*) FILTER (there) AS present, count(DISTINCT value) + bool_or(value IS NULL)::INT > 1 AS varies, arg_min(shown, pos) FILTER (there) AS example
+    FROM l GROUP BY ALL HAVING bool_or(there)""")
 def prop_table(spark, sf_dir):
-    return rules.catalog_props(_typed(spark, sf_dir), ("text", "page_url"))
+    size = F.col("p_size")
+    members = d.read(spark, sf_dir, "part").select(
+        F.col("p_type").alias("family_id"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("label"), F.when(size > 40, "size").alias("placeholder"),
+        F.lit("").alias("name"), F.lit(None).cast("string").alias("href"), F.lit("").alias("form"), F.lit(True).alias("required"), (size == 1).alias("disabled"),
+        F.when(size % 2 == 0, F.array("p_brand", "p_name")).otherwise(F.array().cast("array<string>")).alias("option_labels"),
+    )
+    return rules.catalog_props(members)
 
 
 @query(f"WITH {d.PARTS} SELECT component_type AS family_id, list_sort(list(DISTINCT background_color)) AS colors FROM pc GROUP BY 1 HAVING count(DISTINCT background_color) >= 2")
 def style_conflicts(spark, sf_dir):
-    return rules.style_conflicts(_typed(spark, sf_dir))
+    return rules.style_conflicts(_typed(spark, sf_dir)).select("family_id", "colors")
 
 
 @query("""SELECT o_orderpriority AS endpoint_id, list_sort(list(DISTINCT c_mktsegment)) AS labels FROM orders JOIN customer ON c_custkey = o_custkey
@@ -580,7 +600,7 @@ def color_usage(spark, sf_dir):
     return found.withColumn("hex", colors.to_hex(F.col("r"), F.col("g"), F.col("b")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {d.LAB_COLORS} SELECT x.r, x.g, x.b, x.uses, y.r * 65536 + y.g * 256 + y.b AS leader FROM led x JOIN led y ON y.role = x.role AND y.i = x.lead WHERE x.role = 'surface'""")
 def color_clusters(spark, sf_dir):
     return similarity.color_clusters(rules.color_usage(d.part_components(spark, sf_dir), "background_color"))
 

@@ -247,13 +247,13 @@ def narrated_families(spark, sf_dir):
 # Ordered
 
 
-@query(f"""WITH {d.VISITS}, o AS (SELECT visit_id, step_seq, '/' || action AS subject, CASE WHEN event_id % 4 = 0 THEN 'failed' WHEN event_id % 4 = 1 THEN 'sent' ELSE 'answered ' || (200 + event_id % 300) END AS outcome FROM steps WHERE action = 'purchase'),
+@query(f"""WITH {d.VISITS}, o AS (SELECT visit_id, step_seq, CASE WHEN event_id % 2 = 0 THEN 'POST' ELSE 'GET' END || ' /' || action AS subject, CASE WHEN event_id % 4 = 0 THEN 'failed' WHEN event_id % 4 = 1 THEN 'sent' ELSE 'answered ' || (200 + event_id % 300) END AS outcome FROM steps WHERE action = 'purchase'),
     t AS (SELECT visit_id, arg_min(page_url, step_seq) AS a, coalesce(arg_max(target, step_seq) FILTER (navigated), arg_min(page_url, step_seq)) AS b FROM steps GROUP BY 1)
     SELECT visit_id, step_seq, subject, outcome FROM o UNION ALL SELECT visit_id, NULL, b, 'page' FROM t WHERE a <> b""")
 def trace_assertions(spark, sf_dir):
     rows = d.visit_steps(spark, sf_dir)
     key = F.col("event_id")
-    sent = rows.filter("action = 'purchase'").select("visit_id", "step_seq", F.concat(F.lit("/"), "action").alias("request_path"), (key % 4 == 0).alias("failed"), F.when(key % 4 > 1, 200 + key % 300).alias("status"))
+    sent = rows.filter("action = 'purchase'").select("visit_id", "step_seq", F.when(key % 2 == 0, "POST").otherwise("GET").alias("method"), F.concat(F.lit("/"), "action").alias("request_path"), (key % 4 == 0).alias("failed"), F.when(key % 4 > 1, 200 + key % 300).alias("status"))
     return ordered.trace_assertions(ordered.traces(rows), sent)
 
 
@@ -301,7 +301,7 @@ def color_names(spark, sf_dir):
 
 @query("""WITH u AS (SELECT CASE WHEN p_size % 7 = 0 THEN 'large' WHEN p_size % 11 = 0 THEN '' ELSE p_size || 'px' END AS font_size, CASE WHEN p_partkey % 2 = 0 THEN '400' ELSE '700' END AS font_weight FROM part),
     c AS (SELECT font_size, font_weight, count(*) AS uses FROM u WHERE font_size <> '' GROUP BY ALL)
-    SELECT *, 'text-' || row_number() OVER (ORDER BY font_size NOT LIKE '%px', try_cast(replace(font_size, 'px', '') AS DOUBLE) DESC, uses DESC, font_size, font_weight) AS name FROM c""")
+    SELECT *, 'type-' || row_number() OVER (ORDER BY coalesce(try_cast(replace(font_size, 'px', '') AS DOUBLE), -1) DESC, font_weight, font_size) AS name FROM c""")
 def type_scale(spark, sf_dir):
     return rules.type_tokens(typed_parts(spark, sf_dir))
 
@@ -313,6 +313,6 @@ def typed_parts(spark, sf_dir):
 
 @query(f"""WITH {d.PARTS}, s AS (SELECT page_url, tag AS path, 'hover' AS state, 'color' AS property, background_color AS value, pos FROM pc
     UNION ALL SELECT page_url, tag, 'focus', 'opacity', CASE WHEN pos % 3 = 0 THEN '' ELSE text END, pos FROM pc), l AS (SELECT page_url, path, state, property, arg_max(value, pos) AS value FROM s WHERE value <> '' GROUP BY ALL)
-    SELECT state, property, value, count(*) AS uses FROM l GROUP BY ALL""")
+    SELECT state, property, value, count(*) AS uses, row_number() OVER (ORDER BY state, count(*) DESC, property, value) AS position FROM l GROUP BY state, property, value""")
 def state_tokens(spark, sf_dir):
     return rules.state_tokens(fold.current_state_styles(style_events(spark, sf_dir)))

@@ -75,18 +75,23 @@ def folded_texts(spark, sf_dir):
 
 
 # Texts with an address, a card number and a long token, and bodies and headers with secrets, made of each order.
-@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, CASE WHEN o_orderkey % 40 = 0 THEN o_orderkey % 3000 ELSE o_orderkey % 40 END AS n FROM orders)
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, CASE WHEN o_orderkey % 40 = 0 THEN o_orderkey % 3000 ELSE o_orderkey % 40 END AS n FROM orders),
+    g AS (SELECT *, '{"user": {"name": "old", "password":"x' || c || '", "name": "n' || c || '"}, "list":[{"apiKey": [1]}, "a@b.co", ' || k || '], "empty": {}}' AS given,
+        '{"user": {"name": "n' || c || '", "password": "[REDACTED]"}, "list": [{"apiKey": "[REDACTED]"}, "[REDACTED]", ' || k || '], "empty": {}}' AS body FROM o)
     SELECT k, 'mail [REDACTED], card [REDACTED], token [REDACTED] of ' || p AS text,
-           '{"user": {"password": "[REDACTED]", "name": "n' || c || '"}, "list": [{"apiKey": "[REDACTED]"}, "[REDACTED]", ' || k || '], "empty": {}}' AS body,
-           '{"user": {"password": "string", "name": "string"}, "list": [{"apiKey": ["number"]}], "empty": {}}' AS shape,
-           CASE WHEN k % 2 = 0 THEN '[REDACTED]' ELSE 'x [REDACTED]' END AS header, 5 * n AS length, least(5 * n, 8192) AS excerpt, sha256(repeat('word ', n::INT)) AS digest,
-           CASE WHEN k % 3 = 0 THEN NULL ELSE c END AS latency FROM o""")
+           body,
+           '{"user": {"name": "string", "password": "string"}, "list": [{"apiKey": ["number"]}], "empty": {}}' AS shape,
+           CASE WHEN k % 2 = 0 THEN '[REDACTED]' ELSE 'x [REDACTED]' END AS header,
+           CASE WHEN k % 4 = 1 THEN strlen(given) ELSE 5 * n END AS length, CASE WHEN k % 4 = 1 THEN strlen(body) ELSE least(5 * n, 8192) END AS excerpt,
+           CASE WHEN k % 4 = 1 THEN sha256(body) WHEN n = 0 THEN '' ELSE sha256(repeat('word ', n::INT)) END AS digest,
+           CASE WHEN k % 3 = 0 THEN NULL ELSE c END AS latency FROM g""")
 def redacted_orders(spark, sf_dir):
     o, key, cust = d.read(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey").cast("string")
     text = F.concat(F.lit("mail a"), cust, F.lit("@x.org, card 4111 1111 1111 1"), F.lpad(cust, 3, "0").substr(1, 3), F.lit(", token "), F.md5(cust), F.lit(" of "), "o_orderpriority")
-    body = F.concat(F.lit('{"user": {"password":"x'), cust, F.lit('", "name": "n'), cust, F.lit('"}, "list":[{"apiKey": [1]}, "a@b.co", '), key.cast("string"), F.lit('], "empty": {}}'))
+    body = F.concat(F.lit('{"user": {"name": "old", "password":"x'), cust, F.lit('", "name": "n'), cust, F.lit('"}, "list":[{"apiKey": [1]}, "a@b.co", '), key.cast("string"), F.lit('], "empty": {}}'))
     headers = F.create_map(F.when(key % 2 == 0, "Authorization").otherwise("X-Info"), F.concat(F.lit("x a"), cust, F.lit("@x.org")))
-    capped = network.truncate_and_hash(F.repeat(F.lit("word "), F.when(key % 40 == 0, key % 3000).otherwise(key % 40).cast("int")))
+    words = F.repeat(F.lit("word "), F.when(key % 40 == 0, key % 3000).otherwise(key % 40).cast("int"))
+    capped = network.truncate_and_hash(F.when(key % 4 == 1, body).otherwise(words))
     start = F.lit(2.0)
     answered = F.when(key % 3 == 0, F.lit(1.0)).otherwise(start + F.col("o_custkey") / 1000)
     return o.select(
@@ -159,31 +164,35 @@ def _landmarks(spark, sf_dir):
     return graph.ancestors(contains, comps).join(page, "id"), marks
 
 
-@query("""WITH l AS (SELECT 'page' || c_nationkey AS page_url, CASE c_custkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'banner' ELSE 'navigation' END AS landmark, count(DISTINCT c_mktsegment) AS regions FROM customer WHERE c_nationkey % 4 > 0 OR c_custkey % 3 > 0 GROUP BY ALL)
-    SELECT 'no-main-landmark' AS rule, page_url AS place, 'main' AS detail FROM l GROUP BY page_url HAVING count(*) FILTER (landmark = 'main') = 0 UNION ALL SELECT 'duplicate-landmark', page_url, landmark FROM l WHERE landmark IN ('main', 'banner') AND regions > 1""")
+@query("""WITH l AS (SELECT 'page' || c_nationkey AS page_url, CASE WHEN c_custkey % 3 = 0 AND c_nationkey % 4 > 0 THEN 'main' WHEN c_custkey % 3 = 1 THEN 'banner' ELSE 'navigation' END AS landmark, count(DISTINCT c_mktsegment) AS regions FROM customer GROUP BY ALL)
+    SELECT 'no-main-landmark' AS rule, 'medium' AS severity, page_url AS place, 'main' AS detail FROM l GROUP BY page_url HAVING count(*) FILTER (landmark = 'main') = 0 UNION ALL SELECT 'duplicate-unique-landmark', 'low', page_url, landmark FROM l WHERE landmark IN ('main', 'banner') AND regions > 1""")
 def landmark_findings(spark, sf_dir):
-    c = d.read(spark, sf_dir, "customer").filter("c_nationkey % 4 > 0 or c_custkey % 3 > 0")
-    marks = c.groupBy(F.concat(F.lit("page"), F.col("c_nationkey").cast("string")).alias("page_url"), _pick(F.col("c_custkey") % 3, "main", "banner", other="navigation").alias("landmark")).agg(F.countDistinct("c_mktsegment").alias("regions"))
-    return rules.landmark_findings(marks).select("rule", "place", "detail")
+    """One nation in four has no main landmark."""
+    c, key = d.read(spark, sf_dir, "customer"), F.col("c_custkey")
+    mark = F.when((key % 3 == 0) & (F.col("c_nationkey") % 4 > 0), "main").when(key % 3 == 1, "banner").otherwise("navigation")
+    marks = c.groupBy(F.concat(F.lit("page"), F.col("c_nationkey").cast("string")).alias("page_url"), mark.alias("landmark")).agg(F.countDistinct("c_mktsegment").alias("regions"))
+    return rules.landmark_findings(marks)
 
 
-@query(f"""WITH {CONTROLS} SELECT CASE WHEN placeholder <> '' THEN 'placeholder-as-only-label' ELSE 'missing-accessible-name' END AS rule, page_url || ' — ' || path AS place, component_type AS detail
-    FROM tt WHERE layer <> 'pointer' AND component_type NOT IN ('element') AND component_type NOT LIKE 'custom%' AND trim(text) = '' AND label = ''""")
+@query(f"""WITH {CONTROLS} SELECT CASE WHEN placeholder <> '' THEN 'placeholder-as-only-label' ELSE 'missing-accessible-name' END AS rule, CASE WHEN placeholder <> '' THEN 'medium' ELSE 'high' END AS severity,
+    page_url || ' — ' || path AS place, component_type AS detail FROM tt
+    WHERE layer <> 'pointer' AND component_type NOT IN ('element', 'list/menu option') AND component_type NOT LIKE 'custom%' AND trim(text) = '' AND label = ''""")
 def name_findings(spark, sf_dir):
-    return rules.accessible_name_findings(controls(spark, sf_dir)).select("rule", "place", "detail")
+    return rules.accessible_name_findings(controls(spark, sf_dir))
 
 
-@query(f"""WITH {CONTROLS}, {d.PARTS}, {d.TREE}, sf AS (SELECT component_type AS f, array_to_string(list_sort(list(DISTINCT background_color)), ', ') AS c FROM pc GROUP BY 1 HAVING count(DISTINCT background_color) > 1),
+@query(f"""WITH {CONTROLS}, {d.PARTS}, {d.TREE}, sf AS (SELECT component_type || ' (' || count(*) || ' instances)' AS f, array_to_string(list_sort(list(DISTINCT background_color)), ', ') AS c FROM pc GROUP BY component_type HAVING count(DISTINCT background_color) > 1),
     nf AS (SELECT o_orderpriority AS e, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ', ') AS l FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1),
     inp AS (SELECT page_url || ' — ' || path AS place, CASE WHEN name = 'correo' THEN 'email' ELSE 'date' END AS e FROM tt WHERE component_type = 'text field (text)' AND (name = 'correo' OR name LIKE 'fecha%')),
     t AS (SELECT 'page' || (s_suppkey % 40) AS page_url, (s_suppkey % 50)::DOUBLE AS x, abs(s_acctbal) AS y FROM supplier),
     dis AS (SELECT page_url || ' — ' || path AS place FROM pc WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page_url = pc.page_url AND abs(t.x - pc.x) <= 120 AND abs(t.y - pc.y) <= 120))
-    SELECT 'inconsistent-style' AS rule, 'medium' AS severity, f AS place, c AS detail FROM sf UNION ALL SELECT 'inconsistent-naming', 'medium', e, l FROM nf UNION ALL SELECT 'missing-semantic-input-type', 'medium', place, e FROM inp
-    UNION ALL SELECT 'disabled-without-explanation', 'high', place, 'no text nearby' FROM dis UNION ALL SELECT DISTINCT 'dead-end', 'low', dst, 'no way on' FROM tr WHERE dst NOT IN (SELECT src FROM tr)""")
+    SELECT 'inconsistent-family-styling' AS rule, 'medium' AS severity, f AS place, c AS detail FROM sf UNION ALL SELECT 'inconsistent-action-naming', 'medium', e, l FROM nf UNION ALL SELECT 'missing-semantic-input-type', 'medium', place, e FROM inp
+    UNION ALL SELECT 'unexplained-disabled-control', 'low', place, 'no text nearby' FROM dis UNION ALL SELECT DISTINCT 'dead-end-screen', 'medium', dst, 'no way on' FROM tr WHERE dst NOT IN (SELECT src FROM tr)""")
 def usability_findings(spark, sf_dir):
     from siteloom.plans.queries import QUERIES
 
-    styles, names = QUERIES["style_conflicts"](spark, sf_dir), QUERIES["naming_conflicts"](spark, sf_dir)
+    own = d.part_components(spark, sf_dir).withColumn("family_id", F.col("component_type"))
+    styles, names = rules.style_conflicts(own), QUERIES["naming_conflicts"](spark, sf_dir)
     inputs = rules.semantic_input_types(controls(spark, sf_dir))
     return rules.usability_findings(styles, names, inputs, QUERIES["band_anti_join"](spark, sf_dir), graph.dead_ends(d.tree_edges(spark, sf_dir)))
 
@@ -271,9 +280,9 @@ def merged_object_shapes(spark, sf_dir):
 # Catalogue
 
 
-@query(f"""WITH {d.PARTS}, m AS (SELECT component_type AS family_id, tag, page_url, 'r' || (pos % 3) AS region, pos FROM pc), f AS (SELECT family_id, list_sort(list(DISTINCT page_url)) AS used_on, list_sort(list(DISTINCT region)) AS regions, count(*) AS members,
+@query(f"""WITH {d.PARTS}, m AS (SELECT component_type AS family_id, page_url, pos % 3 AS region, pos FROM pc), f AS (SELECT family_id, list_sort(list(DISTINCT page_url)) AS used_on, ['r1', 'r2'] AS regions, count(*) AS members,
     bool_and(pos % 2 = 0 OR family_id < 'M') AS in_form, bool_or(pos % 5 = 0) AS disabled_observed FROM m GROUP BY 1)
-    SELECT family_id, used_on, regions, members, CASE WHEN in_form THEN 'molecule' ELSE 'atom' END AS level, disabled_observed, 'Button' || CASE WHEN row_number() OVER (ORDER BY members DESC, family_id) > 1 THEN (row_number() OVER (ORDER BY members DESC, family_id))::VARCHAR ELSE '' END AS name FROM f""")
+    SELECT family_id, used_on, regions, members, CASE WHEN family_id < 'C' THEN '' WHEN in_form THEN 'atom (in a form)' ELSE 'atom' END AS level, disabled_observed, 'Button' || CASE WHEN row_number() OVER (ORDER BY members DESC, family_id) > 1 THEN (row_number() OVER (ORDER BY members DESC, family_id))::VARCHAR ELSE '' END AS name FROM f""")
 def catalog_entries(spark, sf_dir):
     return rules.catalog_entries(_catalogue_members(spark, sf_dir)).select("family_id", "used_on", "regions", "members", "level", "disabled_observed", "name")
 
@@ -281,42 +290,52 @@ def catalog_entries(spark, sf_dir):
 def _catalogue_members(spark, sf_dir):
     own = d.part_components(spark, sf_dir).withColumn("family_id", F.col("component_type"))
     form = F.when((F.col("pos") % 2 == 0) | (F.col("family_id") < "M"), "form").otherwise("")
-    return own.withColumn("component_type", F.lit("button")).withColumn("region", F.concat(F.lit("r"), (F.col("pos") % 3).cast("string"))).withColumn("form", form).withColumn("disabled", F.col("pos") % 5 == 0)
+    region = F.when(F.col("pos") % 3 > 0, F.concat(F.lit("r"), (F.col("pos") % 3).cast("string"))).otherwise("")
+    own = own.withColumn("tag", F.when(F.col("family_id") < "C", "div").otherwise("button")).withColumn("region", region)
+    return own.withColumn("component_type", F.lit("button")).withColumn("form", form).withColumn("disabled", F.col("pos") % 5 == 0)
 
 
-@query(f"""WITH {d.PARTS}, v AS (SELECT component_type AS family_id, count(DISTINCT css_class || background_color) AS n_variants, count(*) AS members FROM pc GROUP BY 1) SELECT family_id, members, 2 AS n_props FROM v""")
+@query(f"""WITH {d.PARTS}, v AS (SELECT component_type AS family_id, count(*) AS members,
+    count(*) FILTER (pos % 2 = 0 OR component_type < 'M') AS formed, count(*) FILTER (pos % 5 = 0) AS disabled FROM pc GROUP BY 1)
+    SELECT family_id, members, list_filter([CASE WHEN disabled > 0 THEN 'disabled:' || disabled || ':' || CASE WHEN disabled < members THEN 'varies' ELSE 'same' END END,
+        CASE WHEN formed > 0 THEN 'form:' || formed || ':' || CASE WHEN formed < members THEN 'varies' ELSE 'same' END END], lambda x: x IS NOT NULL) AS props FROM v""")
 def catalogue_file(spark, sf_dir):
     """The catalogue with properties and variants, written as JSON and read again."""
     own = _catalogue_members(spark, sf_dir)
     tokens = F.array_sort(F.array_distinct(F.filter(F.split("css_class", " "), lambda x: x != "")))
     own = own.withColumn("tokens", tokens)
-    data = tables.catalogue_data(rules.catalog_entries(own), rules.catalog_props(own, ("text", "page_url")), rules.catalog_variants(own, similarity.common_classes(own)))
+    data = tables.catalogue_data(rules.catalog_entries(own), rules.catalog_props(own, ("form", "disabled")), rules.catalog_variants(own, similarity.common_classes(own)))
     path = shared_path(spark, "catalogue")
     tables.write_json(data, path)
-    kept = spark.read.schema("family_id string, members long, props array<struct<prop:string>>, variants array<struct<count:long>>").json(path)
-    return kept.filter(F.aggregate("variants", F.lit(0).cast("long"), lambda a, x: a + x["count"]) == F.col("members")).select("family_id", "members", F.size("props").alias("n_props"))
+    kept = spark.read.schema("family_id string, members long, props array<struct<prop:string,present:long,varies:boolean>>, variants array<struct<count:long>>").json(path)
+    told = F.transform("props", lambda x: F.concat_ws(":", x["prop"], x["present"].cast("string"), F.when(x["varies"], "varies").otherwise("same")))
+    return kept.filter(F.aggregate("variants", F.lit(0).cast("long"), lambda a, x: a + x["count"]) == F.col("members")).select("family_id", "members", told.alias("props"))
 
 
 TYPE_USES = """tu AS (SELECT CASE WHEN p_size % 7 = 0 THEN 'large' WHEN p_size % 11 = 0 THEN '' ELSE p_size || 'px' END AS font_size, CASE WHEN p_partkey % 2 = 0 THEN '400' ELSE '700' END AS font_weight FROM part)"""
 
 
-@query(f"""WITH {TYPE_USES} SELECT 'type' AS kind, count(*) AS tokens, sum(n)::BIGINT AS uses FROM (SELECT count(*) AS n FROM tu WHERE font_size <> '' GROUP BY font_size, font_weight)
-    UNION ALL SELECT 'color', count(*), sum(n)::BIGINT FROM (SELECT count(*) AS n FROM part GROUP BY p_size) UNION ALL SELECT 'state', count(*), sum(n)::BIGINT FROM (SELECT count(*) AS n FROM part GROUP BY p_brand)""")
+@query(f"""WITH {TYPE_USES} SELECT 'type' AS kind, 'type-' || row_number() OVER (ORDER BY coalesce(try_cast(replace(font_size, 'px', '') AS DOUBLE), -1) DESC, font_weight, font_size) AS name,
+        font_size || ' ' || font_weight AS value, count(*) AS uses FROM tu WHERE font_size <> '' GROUP BY font_size, font_weight
+    UNION ALL SELECT 'color', 'text-' || row_number() OVER (ORDER BY count(*) DESC, p_size), format('#{{:02x}}0102', p_size), count(*) FROM part GROUP BY p_size
+    UNION ALL SELECT 'state', 'hover:color', p_brand, count(*) FROM part GROUP BY p_brand""")
 def token_file(spark, sf_dir):
     """Design tokens of three kinds, written as JSON and read again."""
     p = d.read(spark, sf_dir, "part")
-    colours = p.groupBy(F.col("p_size").alias("r")).agg(F.count("*").alias("uses")).select("r", F.lit(1).alias("g"), F.lit(2).alias("b"), "uses", F.lit("text").alias("role"))
+    alone = lambda usage: usage.withColumn("leader", F.expr("r * 65536 + g * 256 + b"))
+    colours = rules.color_tokens(p.select(F.format_string("rgb(%d, 1, 2)", F.col("p_size").cast("int")).alias("color"), F.lit("none").alias("background_color")), alone)
     states = rules.state_tokens(p.select(F.lit("hover").alias("state"), F.lit("color").alias("property"), F.col("p_brand").alias("value")))
     path = shared_path(spark, "tokens")
     tables.write_json(tables.token_data(colours, rules.type_tokens(typed_parts(spark, sf_dir)), states), path)
-    kept = spark.read.schema("kind string, name string, value string, uses long").json(path)
-    return kept.groupBy("kind").agg(F.count("*").alias("tokens"), F.sum("uses").alias("uses"))
+    return spark.read.schema("kind string, name string, value string, uses long").json(path)
 
 
-@query(f"""WITH {d.PARTS}, u AS (SELECT 'surface' AS role, background_color AS c FROM pc UNION ALL SELECT 'text', 'rgb(1, 2, ' || (pos % 2 * 200) || ')' FROM pc) SELECT role, count(*) AS uses FROM u GROUP BY 1""")
+@query(f"""WITH RECURSIVE {d.LAB_COLORS}, h AS (SELECT *, format('#{{:02x}}{{:02x}}{{:02x}}', r, g, b) AS value FROM led)
+    SELECT l.role, l.role || '-' || row_number() OVER (PARTITION BY l.role ORDER BY l.i) AS name, l.value, sum(h.uses)::BIGINT AS uses, coalesce(list_sort(list(h.value) FILTER (h.i <> l.i)), []) AS merged
+    FROM h l JOIN h ON h.role = l.role AND h.lead = l.i WHERE l.lead = l.i GROUP BY l.role, l.i, l.value""")
 def color_tokens(spark, sf_dir):
-    own = d.part_components(spark, sf_dir).withColumn("color", F.format_string("rgb(1, 2, %d)", F.col("pos") % 2 * 200))
-    return rules.color_tokens(own, similarity.color_clusters).groupBy("role").agg(F.sum("uses").alias("uses"))
+    own = d.part_components(spark, sf_dir).withColumn("color", F.format_string("rgb(1, 2, %d)", F.col("pos") % 9 * 3))
+    return rules.color_tokens(own, similarity.color_clusters)
 
 
 # Graph and flows

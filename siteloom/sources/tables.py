@@ -79,8 +79,7 @@ def catalogue_data(entries: DataFrame, props: DataFrame, variants: DataFrame) ->
 
 def token_data(colours: DataFrame, types: DataFrame, states: DataFrame) -> DataFrame:
     """Design tokens of all kinds in one table (kind, name, value, uses), to be written as JSON."""
-    colour = F.format_string("#%02x%02x%02x", "r", "g", "b")
-    a = colours.select(F.lit("color").alias("kind"), F.col("role").alias("name"), colour.alias("value"), "uses")
+    a = colours.select(F.lit("color").alias("kind"), "name", "value", "uses")
     b = types.select(F.lit("type").alias("kind"), "name", F.concat_ws(" ", "font_size", "font_weight").alias("value"), "uses")
     c = states.select(F.lit("state").alias("kind"), F.concat_ws(":", "state", "property").alias("name"), "value", "uses")
     return a.unionByName(b).unionByName(c)
