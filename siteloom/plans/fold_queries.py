@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls
-from siteloom.operators import fold, reads
+from siteloom.operators import fold, incremental, reads
 from siteloom.plans import derived as d
-from siteloom.plans.queries import clean_sql, query, shape_sql
+from siteloom.plans.queries import ORACLES, clean_sql, query, shape_sql
 from siteloom.plans.shared import materialize, shared_path
 from siteloom.sources import tables
 
@@ -343,35 +343,92 @@ def stream_stamped(spark, sf_dir):
     return _streamed(spark, found.select("event_seq", "is_first_party"), "stamped", "append")
 
 
-@query(f"""WITH {d.VISITS} SELECT visit_id, count(*) AS length FROM steps GROUP BY 1""")
+def _in_files(spark, rows, order, files, name):
+    """A stream of ``rows`` in as many files by ranges of ``order``, one file a batch, in that order."""
+    from siteloom.streaming import live
+
+    path, stored = shared_path(spark, f"stream-{name}"), materialize(rows, name)
+    last = stored.agg(F.max(order)).first()[0] or 0
+    for part in range(files):
+        kept = stored.filter(F.col(order).between(last * part // files + (part > 0), last * (part + 1) // files))
+        kept.coalesce(1).write.mode("append").parquet(path)
+    return live.observation_stream(spark, path, stored.schema, files=1)
+
+
+@query(f"""WITH {d.VISITS}, v AS (SELECT visit_id, count(*) AS n, array_to_string(list(step_seq || ':' || action || ':' || page_url ORDER BY step_seq), ',') AS steps FROM steps GROUP BY 1)
+    SELECT visit_id, n AS length, steps, n % 3 > 0 AS complete FROM v""")
 def stream_traces(spark, sf_dir):
-    """Visits assembled from a stream of steps, each closed by its last one."""
+    """Visits assembled from a stream in which steps of a visit come in several batches, the last ones first, and some
+    twice. Of one visit in three no step is marked as the last, so it is given up when event time has passed it."""
     from pyspark.sql import Window as W
 
-    from siteloom.plans.queries import _staged, _streamed
+    from siteloom.plans.queries import _streamed
     from siteloom.streaming import live
 
     rows = d.visit_steps(spark, sf_dir)
-    last = F.col("step_seq") == F.max("step_seq").over(W.partitionBy("visit_id"))
-    rows = rows.select("visit_id", "step_seq", "page_url", "action", "target", last.alias("finished"))
-    # A visit's steps come in one file, as its page writes them.
-    stored = materialize(rows, "visit-steps")
-    traces = _streamed(spark, live.visit_traces(_staged(spark, stored.repartition(4, "visit_id"), "traces", keep=True)), "traces", "append")
-    return traces.select("visit_id", "length")
-
-
-@query(f"""WITH c AS (SELECT 'https://app.example.com/' || (event_id % 2000) || '/' AS url, min(event_id) AS pos FROM events GROUP BY 1), v AS (SELECT 'https://app.example.com/' || user_id AS url FROM events)
-    SELECT DISTINCT {clean_sql("c.url")} AS clean FROM c WHERE {clean_sql("c.url")} NOT IN (SELECT {clean_sql("v.url")} FROM v)""")
+    n = F.count("*").over(W.partitionBy("visit_id"))
+    kept = ["visit_id", "step_seq", "page_url", "action", "finished", "ts"]
+    rows = rows.withColumn("finished", (F.col("step_seq") == n) & (n % 3 > 0)).withColumn("ts", F.col("ts").cast("timestamp"))
+    # Event time runs on by itself: a step of no visit, long after the last one, closes what is open.
+    late = rows.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts"))
+    late = late.select(F.lit("").alias("visit_id"), F.lit(1).cast("long").alias("step_seq"), F.lit("").alias("page_url"), F.lit("").alias("action"), F.lit(False).alias("finished"), "ts", F.lit(5).cast("long").alias("file"))
+    sent = rows.select(*kept, (4 - F.col("step_seq") % 4).alias("file"))
+    again = sent.filter("step_seq % 5 = 0").withColumn("file", F.lit(4).cast("long"))
+    found = _streamed(spark, live.visit_traces(_in_files(spark, sent.unionByName(again).unionByName(late), "file", 5, "traces"), 30, "60 days"), "traces", "append")
+    told = F.array_join(F.transform("steps", lambda x: F.concat_ws(":", x["step_seq"].cast("string"), x["action"], x["page_url"])), ",")
+    return found.select("visit_id", "length", told.alias("steps"), "complete")
+
+
+FRONTIER = """fc AS (SELECT event_id AS pos, 'app.example.com/' || event_type || CASE WHEN user_id % 2 = 0 THEN '' ELSE '/more' END || '/' || md5((event_id % 997)::VARCHAR) AS clean FROM events),
+fv AS (SELECT DISTINCT 'app.example.com/click/' || md5((event_id % 300)::VARCHAR) AS clean FROM events WHERE event_id % 7 = 0),
+ff AS (SELECT clean, substr(clean, 1, length(clean) - 32) || '{token}' AS shape, min(pos) AS pos FROM fc WHERE clean NOT IN (SELECT clean FROM fv) GROUP BY ALL),
+fp AS (SELECT 'app.example.com/click/{token}' AS shape, count(*) AS n FROM fv)"""
+
+
+@query(f"""WITH {FRONTIER} SELECT clean, shape, pos FROM ff LEFT JOIN fp USING (shape) QUALIFY row_number() OVER (PARTITION BY shape ORDER BY pos) + coalesce(n, 0) <= 60""")
 def stream_frontier(spark, sf_dir):
-    from siteloom.plans.queries import _staged
+    """Links as events show them, over and over in five batches, with and without www. and slashes; every one is
+    admitted once, and of each route shape the first 60 at most, with those that were visited before."""
     from siteloom.streaming import live
 
     ev, base = d.read(spark, sf_dir, "events"), F.lit("https://app.example.com")
-    cand = ev.groupBy(F.concat_ws("/", base, (F.col("event_id") % 2000).cast("string"), F.lit("")).alias("url")).agg(F.min("event_id").alias("pos"))
-    seen = materialize(ev.select(F.concat_ws("/", base, F.col("user_id").cast("string")).alias("url")).distinct(), "seen")
+    more = F.when(F.col("user_id") % 2 == 0, "").otherwise("/more")
+    url = lambda k, kind, host: F.concat(F.lit(host), kind, F.lit("/"), F.md5(k.cast("string")))
+    key = F.col("event_id") % 997
+    kind = F.concat("event_type", more)
+    cand = ev.select(F.when(F.col("event_id") % 3 == 0, F.concat(url(key, kind, "http://www.app.example.com/"), F.lit("/#x"))).otherwise(url(key, kind, "https://app.example.com/")).alias("url"), F.col("event_id").alias("pos"))
+    other = ev.filter("event_id % 11 = 0").select(F.concat(F.lit("https://other.org/"), F.col("event_id").cast("string")).alias("url"), F.col("event_id").alias("pos"))
+    seen = ev.filter("event_id % 7 = 0").select(url(F.col("event_id") % 300, F.lit("click"), "https://app.example.com/").alias("url"))
     out = shared_path(spark, "frontier")
-    live.live_frontier(_staged(spark, materialize(cand, "candidates"), "frontier"), lambda: seen, base, out, shared_path(spark, "frontier-check"))
-    return spark.read.parquet(out).select("clean").distinct()
+    live.live_frontier(_in_files(spark, cand.unionByName(other), "pos", 5, "frontier"), base, out, shared_path(spark, "frontier-check"), 60, materialize(seen, "seen"))
+    return spark.read.parquet(out).select("clean", "shape", "pos")
+
+
+def _kept(spark, name, kept, events):
+    """The state after three batches of ``events``, which lie in each other's order."""
+    table = incremental.StateTable(spark, shared_path(spark, f"kept-{name}"), kept, 16)
+    stored = materialize(events, name)
+    for part in (1, 0, 2):
+        table.append(stored.filter(F.col("event_seq") % 3 == part), (1, 0, 2).index(part))
+    return table.current()
+
+
+@query(ORACLES["current_state_fold"])
+def kept_page_state(spark, sf_dir):
+    """Pages as three batches of events leave them, each merged into the stored state."""
+    return _kept(spark, "pages", incremental.pages_fold(), d.page_events(spark, sf_dir))
+
+
+@query(ORACLES["nav_edges"])
+def kept_edge_counts(spark, sf_dir):
+    return _kept(spark, "edges", incremental.edges_fold(), d.edge_events(spark, sf_dir))
+
+
+@query(f"""WITH {ACTS} SELECT page_url, path, round(arg_max(value::DOUBLE, event_seq), 6) AS text, arg_max(run_id, event_seq) AS role FROM ia WHERE path <> 'error' GROUP BY ALL""")
+def kept_components(spark, sf_dir):
+    acts = interactions(spark, sf_dir).filter("path <> 'error'").withColumnsRenamed({"value": "text", "run_id": "role"})
+    found = _kept(spark, "components", incremental.rows_fold(("page_url", "path"), ("text", "role")), acts)
+    return found.withColumn("text", F.round(F.col("text").cast("double"), 6))
 
 
 @query("""WITH c AS (SELECT 'h.com/' || p_partkey AS url, 'c' || p_size AS path, p_brand AS s, p_type AS prop, p_container AS v FROM (SELECT *, p_name AS p_container FROM part))

@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from siteloom.functions import urls
-from siteloom.operators import fold, reads
+from siteloom.operators import fold, incremental
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep their state on disk by key, as processors with state and timers need it."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def observation_stream(spark: SparkSession, path: str, schema: str, form: str = "parquet", files: int = 100) -> DataFrame:
@@ -47,93 +60,231 @@ def stamped(requests: DataFrame, sites: DataFrame) -> DataFrame:
     return found.withColumn("is_first_party", urls.is_in_scope(F.col("host"), F.coalesce("root_url", F.lit("")), True))
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> None:
-    """All files that are there now, into the memory table ``name``."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint)
-    q.trigger(availableNow=True).start().awaitTermination()
-
-
 def run_available_to(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "update") -> None:
     """All files that are there now, each batch handed to ``each``."""
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
-    q.trigger(availableNow=True).start().awaitTermination()
-
-
-def live_frontier(candidates: DataFrame, visited: Callable[[], DataFrame], base: Column, path: str, checkpoint: str, per_shape: int = 3) -> None:
-    """New links of each batch against what is visited by then; a batch that is run again
-    overwrites its own folder, so the frontier resumes where it stopped."""
+    with keyed_state(df.sparkSession):
+        q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
+        q = q.trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+class Frontier(StatefulProcessor):
+    """What a route shape has had: the clean URLs that were admitted or visited, until there are ``most``.
+
+    Of new ones those of the smallest (pos, url) are admitted, of which no more are held than are left to the limit.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "clean string", "visited boolean")
+        self.count = handle.getValueState("count", "n long")
+
+    def _had(self) -> int:
+        return self.count.get()[0] if self.count.exists() else 0
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        had = self._had()
+        if had < self.most and not self.known.containsKey((initialState.clean,)):
+            self.known.updateValue((initialState.clean,), (True,))
+            self.count.update((had + 1,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        had, best = self._had(), {}
+        for x in rows:
+            if had >= self.most:
+                best = {}
+                break
+            if self.known.containsKey((x.clean,)):
+                continue
+            if x.visited:
+                self.known.updateValue((x.clean,), (True,))
+                had += 1
+                best.pop(x.clean, None)
+            else:
+                best[x.clean] = min(best.get(x.clean, (x.pos, x.url)), (x.pos, x.url))
+            if len(best) > self.most - had:
+                del best[max(best, key=best.get)]
+        for clean, (pos, url) in sorted(best.items(), key=lambda x: x[1]):
+            self.known.updateValue((clean,), (False,))
+            had += 1
+            yield Row(url=url, clean=clean, shape=key[0], pos=pos)
+        self.count.update((had,))
+
+    def close(self) -> None:
+        pass
+
+
+def frontier(candidates: DataFrame, base: Column, per_shape: int = 3, visited: DataFrame | None = None) -> DataFrame:
+    """The links (url, clean, shape, pos) that a stream of candidates (url, pos) admits: http links in scope, each
+    clean URL once over all batches, and at most ``per_shape`` a route shape over all batches.
+
+    ``visited`` (url) are pages visited before the stream began; pages that are visited meanwhile come as rows of
+    the stream with a true column ``visited``. Both count for their shape, and aren't admitted.
+    """
+    keyed = lambda df: df.withColumns({"clean": urls.clean_url(F.col("url")), "shape": urls.route_shape(F.col("url"))})
+    told = candidates if "visited" in candidates.columns else candidates.withColumn("visited", F.lit(False))
+    own = keyed(told.filter(F.col("visited") | (F.col("url").rlike("^https?://") & urls.is_in_scope(F.col("url"), base))))
+    own = own.select("shape", "clean", "url", F.col("pos").cast("long").alias("pos"), "visited").groupBy("shape")
+    before = None if visited is None else keyed(visited).select("shape", "clean").distinct().groupBy("shape")
+    return own.transformWithState(Frontier(per_shape), "url string, clean string, shape string, pos long", "append", "none", before)
+
+
+def live_frontier(candidates: DataFrame, base: Column, path: str, checkpoint: str, per_shape: int = 3, visited: DataFrame | None = None) -> None:
+    """Each batch's new links of ``frontier`` as a folder of ``path``; a batch that is run again overwrites its own."""
+    found = frontier(candidates, base, per_shape, visited)
+    run_available_to(found, checkpoint, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"), "append")
+
+
+def live_coverage(events: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> None:
+    """Finished and all pages after each batch, as folders of ``path``.
+
+    The state of the pages is kept in ``path``-pages. A batch's output is the last totals and the sum of what it changed:
+    one more for a page that is new or finished by now, one less for a page that was finished and isn't.
+    """
+    spark = events.sparkSession
+    pages = incremental.StateTable(spark, f"{path}-pages", incremental.pages_fold(), buckets)
+    done = lambda side: F.coalesce((F.col(f"{side}.settled.status") == fold.FINISHED).cast("long"), F.lit(0))
+    schema = "finished long, total long, changed long"
 
     def each(batch: DataFrame, number: int) -> None:
-        reads.next_frontier(batch, visited(), base, per_shape).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    run_available_to(candidates, checkpoint, each, "append")
-
-
-def live_coverage(events: DataFrame, path: str, checkpoint: str) -> None:
-    """Finished and all pages after each batch, counted over the current state of every page seen so far."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        reads.count_visited(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    run_available_to(live_pages(events), checkpoint, each, "complete")
-
-
-TRACE = "visit_id string, steps array<string>, length long, complete boolean"
-
-
-def _assemble(timeout_minutes: int | None):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        steps = list(state.get[0]) if state.exists else []
-        done = state.hasTimedOut
-        if not done:
-            for rows in batches:
-                for x in rows.itertuples():
-                    done |= bool(x.finished)
-                    steps.append(f"{int(x.step_seq):012d} {x.action} {x.page_url}")
-        if done:
-            complete = not state.hasTimedOut
-            state.remove()
-            yield pd.DataFrame({"visit_id": [key[0]], "steps": [sorted(steps)], "length": [len(steps)], "complete": [complete]})
-        else:
-            state.update((steps,))
-            if timeout_minutes:
-                state.setTimeoutDuration(timeout_minutes * 60_000)
-
-    return run
-
-
-def visit_traces(steps: DataFrame, timeout_minutes: int | None = None) -> DataFrame:
-    """One row per visit once its page is finished, or after a timeout without steps. A timeout is
-    for queries that keep running: one that ends with the available files would wait for it."""
-    kind = GroupStateTimeout.ProcessingTimeTimeout if timeout_minutes else GroupStateTimeout.NoTimeout
-    run = _assemble(timeout_minutes)
-    return steps.groupBy("visit_id").applyInPandasWithState(run, TRACE, "steps array<string>", "append", kind)
+        changes = pages.append(batch, number)
+        gained, new = done("after") - done("before"), F.col("before").isNull().cast("long")
+        told = changes.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in (("finished", gained), ("total", new), ("changed", F.lit(1)))))
+        if number:
+            last = spark.read.schema(schema).parquet(f"{path}/batch={number - 1}").select(F.col("finished").alias("f"), F.col("total").alias("t"))
+            told = told.crossJoin(last).select((F.col("finished") + F.col("f")).alias("finished"), (F.col("total") + F.col("t")).alias("total"), "changed")
+        told.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_available_to(events, checkpoint, each, "append")
+
+
+TRACE = "visit_id string, steps array<struct<step_seq:long,page_url:string,action:string>>, length long, complete boolean"
+
+
+class Traces(StatefulProcessor):
+    """The steps of a visit by number, how many there are, the number of its last one, and when it is given up.
+
+    A visit that is closed is remembered until its timer, so that what is delivered again opens no new one.
+    """
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.steps = handle.getMapState("steps", "step_seq long", "page_url string, action string")
+        self.visit = handle.getValueState("visit", "n long, last long, expires long, closed boolean")
+
+    def _trace(self, key, n: int, complete: bool) -> Row:
+        found = sorted((k[0], *v) for k, v in self.steps.iterator())
+        return Row(visit_id=key[0], steps=[Row(step_seq=a, page_url=b, action=c) for a, b, c in found], length=n, complete=complete)
+
+    def handleInputRows(self, key, rows, timerValues):
+        n, last, expires, closed = self.visit.get() if self.visit.exists() else (0, None, 0, False)
+        if expires and expires <= timerValues.getCurrentWatermarkInMs():
+            # Its timer comes after these rows.
+            self.handle.deleteTimer(expires)
+            yield from self.handleExpiredTimer(key, timerValues, None)
+            n, last, expires, closed = 0, None, 0, False
+        latest = expires
+        for x in rows:
+            latest = max(latest, x.at + self.timeout_ms)
+            if closed or self.steps.containsKey((x.step_seq,)):
+                continue
+            self.steps.updateValue((x.step_seq,), (x.page_url, x.action))
+            n += 1
+            last = x.step_seq if x.finished else last
+        if latest != expires:
+            if expires:
+                self.handle.deleteTimer(expires)
+            self.handle.registerTimer(latest)
+        if not closed and last is not None and n == last:
+            yield self._trace(key, n, True)
+            self.steps.clear()
+            closed = True
+        self.visit.update((n, last, latest, closed))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.visit.exists():
+            n, _, _, closed = self.visit.get()
+            if not closed:
+                yield self._trace(key, n, False)
+        self.steps.clear()
+        self.visit.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def visit_traces(steps: DataFrame, timeout_minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
+    """One row per visit, with its steps in order.
+
+    A visit is complete once all steps up to the one that is ``finished`` are there, in whatever order they come; steps
+    are numbered from 1. It is given up, with the steps it has, when the watermark (``delay`` behind the latest
+    ``ts``) passes its last step by ``timeout_minutes``. Repeated steps count once; those of a visit that was told
+    are left out until then, later ones by the watermark.
+    """
+    rows = steps.withWatermark("ts", delay).withColumn("at", F.unix_millis("ts")).select("visit_id", "step_seq", "page_url", "action", "finished", "at", "ts")
+    return rows.groupBy("visit_id").transformWithState(Traces(timeout_minutes * 60_000), TRACE, "append", "eventTime")
 
 
 SLOWDOWN = "crawl_id string, seq long, ratio double, wait double, broken boolean"
 
 
-def _slowdown(ceiling: float | None, slow: float, stop: float):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fastest, wait, broken = state.get if state.exists else (float("inf"), 0.0, False)
-        out = []
-        for rows in batches:
-            for x in rows.sort_values("seq").itertuples():
-                fastest = min(fastest, x.elapsed_seconds)
-                ratio = x.elapsed_seconds / fastest if fastest > 0 else 1.0
-                grown = 0.0 if ceiling is None else min(ceiling, max(wait, 0.5 * x.elapsed_seconds))
-                wait = grown if ratio > slow else wait / 2
-                broken = broken or ratio >= stop
-                out.append((key[0], x.seq, ratio, wait, broken))
-        state.update((fastest, wait, broken))
-        yield pd.DataFrame(out, columns=["crawl_id", "seq", "ratio", "wait", "broken"])
-
-    return run
-
-
-def slowdown_monitor(navigations: DataFrame, ceiling: float | None = 30.0, slow: float = 2.0, stop: float = 4.0) -> DataFrame:
-    """Ratio, wait and breaker after each navigation, the state carried across batches."""
-    state = "fastest double, wait double, broken boolean"
-    return navigations.groupBy("crawl_id").applyInPandasWithState(_slowdown(ceiling, slow, stop), SLOWDOWN, state, "append", GroupStateTimeout.NoTimeout)
-
-
+class Slowdown(StatefulProcessor):
+    """The fastest navigation of a crawl, its wait, whether its breaker was met, and its last number."""
+
+    def __init__(self, ceiling: float | None, slow: float, stop: float, idle_ms: int | None):
+        self.ceiling, self.slow, self.stop, self.idle_ms = ceiling, slow, stop, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.crawl = handle.getValueState("crawl", "fastest double, wait double, broken boolean, seq long, expires long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        fastest, wait, broken, seq, expires = self.crawl.get() if self.crawl.exists() else (float("inf"), 0.0, False, None, 0)
+        if expires and expires <= timerValues.getCurrentWatermarkInMs():
+            self.handle.deleteTimer(expires)
+            fastest, wait, broken, seq, expires = float("inf"), 0.0, False, None, 0
+        latest = expires
+        for x in sorted(rows, key=lambda x: x.seq):
+            if self.idle_ms is not None:
+                latest = max(latest, x.at + self.idle_ms)
+            if seq is not None and x.seq <= seq:
+                continue
+            seq, fastest = x.seq, min(fastest, x.elapsed_seconds)
+            ratio = x.elapsed_seconds / fastest if fastest > 0 else 1.0
+            if self.ceiling is not None:
+                wait = min(self.ceiling, max(wait, 0.5 * x.elapsed_seconds)) if ratio > self.slow else wait / 2
+                broken = broken or ratio >= self.stop
+            yield Row(crawl_id=key[0], seq=x.seq, ratio=ratio, wait=wait, broken=broken)
+        if latest != expires:
+            if expires:
+                self.handle.deleteTimer(expires)
+            self.handle.registerTimer(latest)
+        self.crawl.update((fastest, wait, broken, seq, latest))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.crawl.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def slowdown_monitor(
+    navigations: DataFrame, ceiling: float | None = 30.0, slow: float = 2.0, stop: float = 4.0, idle_minutes: int | None = None, delay: str = "10 minutes"
+) -> DataFrame:
+    """Ratio, wait and breaker after each navigation, the state carried across batches.
+
+    Navigations come in the order of ``seq``; one of a number that was passed is a repeated delivery and left out.
+    Without a ceiling only the ratio changes. With ``idle_minutes`` a crawl's state goes once the watermark
+    (``delay`` behind the latest ``ts``) passes its last navigation by so much.
+    """
+    rows = navigations
+    if idle_minutes is not None:
+        rows = rows.withWatermark("ts", delay).withColumn("at", F.unix_millis("ts"))
+    idle = None if idle_minutes is None else idle_minutes * 60_000
+    return rows.groupBy("crawl_id").transformWithState(Slowdown(ceiling, slow, stop, idle), SLOWDOWN, "append", "none" if idle is None else "eventTime")

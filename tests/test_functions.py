@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -42,8 +43,8 @@ def test_path_patterns(spark):
     t = "8d206b72aaaa4c1f9b0e"
     got = values(spark, [(f"/orders/{t}/items/{t}/",), ("/",), ("/plain/path",)], "p string", urls.path_pattern(F.col("p")), urls.path_params(F.col("p")))
     assert got == [("/orders/{id}/items/{id_2}", ["id", "id_2"]), ("/", []), ("/plain/path", [])]
-    got = values(spark, [("/orders/{id}/orders/{id}",), ("/{id}",), ("/api/boxes/{id}",)], "p string", labels.path_template(F.col("p")))
-    assert [x[0] for x in got] == ["/orders/{orderId}/orders/{orderId2}", "/{id}", "/api/boxes/{boxeId}"]
+    got = values(spark, [("/orders/{id}/orders/{id}",), ("/{id}",), ("/api/boxes/{id}",), ("/class/{id}",), ("/bus/{id}/ads/{id}",)], "p string", labels.path_template(F.col("p")))
+    assert [x[0] for x in got] == ["/orders/{orderId}/orders/{orderId2}", "/{id}", "/api/boxes/{boxeId}", "/class/{clasId}", "/bus/{busId}/ads/{adsId}"]
 
 
 def test_request_parts(spark):
@@ -84,8 +85,16 @@ def test_shapes_and_excerpts(spark):
     got = [json.loads(x[0]) for x in values(spark, rows, "t string", network.json_shape(F.col("t")))]
     assert got == [[[{"a": ["number"]}]], {"a": {"b": [], "c": [["number"]]}, "d": "number"}, "number"]
     long = "é" * 5000
-    got = values(spark, [(long,)], "t string", network.truncate_and_hash(F.col("t")))[0][0]
+    kept = network.truncate_and_hash(F.col("t"))
+    got = values(spark, [(long,)], "t string", kept)[0][0]
     assert got.excerpt == "é" * 4096 and got.length == 10000
+    body = '{"password": "hunter2", "note": "of a@b.co", "n": 1, "n": 1.50}'
+    got = values(spark, [(body,), ("",), (None,)], "t string", kept)
+    clean = '{"password": "[REDACTED]", "note": "of [REDACTED]", "n": 1.5}'
+    assert tuple(got[0][0]) == (clean, len(body), hashlib.sha256(clean.encode()).hexdigest())
+    assert [tuple(x[0]) for x in got[1:]] == [("", 0, "")] * 2
+    got = values(spark, [('{"a": 1, "b": [], "a": "x"}',)], "t string", network.json_shape(F.col("t")))
+    assert got == [('{"a": "string", "b": []}',)]
     assert values(spark, [(1.0, 1.5), (2.0, 1.0), (None, 1.0)], "a double, b double", network.latency_ms(F.col("a"), F.col("b"))) == [(500,), (None,), (None,)]
 
 

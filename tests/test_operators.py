@@ -298,8 +298,10 @@ def test_groups_of_controls(spark):
 def test_accessibility(spark):
     df = spark.createDataFrame([("p", "a", "button", "", "", "", "semantic"), ("p", "b", "text field (text)", None, "", "mail", "semantic"), ("p", "c", "button", "", "", "", "pointer"), ("p", "d", "link", "t", "", "", "semantic")], "page_url string, path string, component_type string, text string, label string, placeholder string, layer string")
     assert [x[0] for x in rows_of(rules.accessible_name_findings(df))] == ["missing-accessible-name", "placeholder-as-only-label"]
+    more = spark.createDataFrame([("p", x, x, "", "", "", "semantic") for x in ("list/menu option", "element", "radio button", "toggle switch")], df.schema)
+    assert {x.detail for x in rules.accessible_name_findings(more).collect()} == {"radio button", "toggle switch"}
     marks = spark.createDataFrame([("p", "navigation", 2), ("q", "main", 2)], "page_url string, landmark string, regions long")
-    assert [x[0::2] for x in rows_of(rules.landmark_findings(marks))] == [("duplicate-landmark", "q"), ("no-main-landmark", "p")]
+    assert [x[0::2] for x in rows_of(rules.landmark_findings(marks))] == [("duplicate-unique-landmark", "q"), ("no-main-landmark", "p")]
 
 
 def test_module_labels(spark):
@@ -350,25 +352,6 @@ def test_tables_round_trip(spark):
     assert tables.snapshot_rows(tables.load_page_states(spark, states), "links").first().href == "h"
 
 
-def test_visit_traces_close(spark):
-    path = shared_path(spark, "steps")
-    rows = [("v", 1, "p", "GO", "q", False), ("v", 2, "q", "END", None, True), ("w", 1, "p", "GO", "q", False)]
-    schema = "visit_id string, step_seq long, page_url string, action string, target string, finished boolean"
-    spark.createDataFrame(rows, schema).write.parquet(path)
-    live.run_available(live.visit_traces(live.observation_stream(spark, path, schema)), "closed_traces", shared_path(spark, "c"), "append")
-    assert [(x.visit_id, x.length, x.complete) for x in spark.table("closed_traces").collect()] == [("v", 2, True)]
-
-
-def test_stream_slowdown_equals_batch(spark):
-    path, schema = shared_path(spark, "nav"), "crawl_id string, seq long, elapsed_seconds double"
-    nav = spark.createDataFrame([("c", i, 1.0 + (i * 7) % 5) for i in range(20)], schema)
-    nav.coalesce(1).write.parquet(path)
-    live.run_available(live.slowdown_monitor(live.observation_stream(spark, path, schema)), "slow", shared_path(spark, "c"), "append")
-    last = spark.table("slow").orderBy(F.desc("seq")).first()
-    want = ordered.backoff_state(nav).first()
-    assert (last.wait, last.broken) == (pytest.approx(want.wait), want.broken)
-
-
 def test_registry(spark, sf_dir):
     assert registry.query(spark, sf_dir, "url_keys").count() > 0
     for name in ("_links", "nothing"):
