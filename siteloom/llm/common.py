@@ -11,8 +11,8 @@ __all__ = [
     "broadcast_if_small", "free_name", "materialize", "read_table", "shared_dir", "shared_path", "shuffle_partitions", "spread_hot", "text_or_empty",
 ]
 
-#: Rows of a few numbers each that are sent to every worker at most, about 100 MB there.
-BROADCAST_ROWS = 2_000_000
+#: Rows that are sent to every worker at most, and bytes of texts in them.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 100_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +20,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def broadcast_if_small(stored: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table of short rows, to be sent to all workers if it has ``rows`` at most.
+    """A stored table of numbers and texts, to be sent to all workers if it has ``rows`` and ``BROADCAST_BYTES`` of texts at most.
 
     Where it has more, joins with it shuffle both sides.
     """
-    return F.broadcast(stored) if stored.count() <= rows else stored
+    texts = [F.octet_length(f.name) for f in stored.schema if f.dataType.typeName() in ("string", "binary")]
+    held = F.coalesce(F.sum(sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(0))), F.lit(0))
+    n, size = stored.agg(F.count("*"), held).first()
+    return F.broadcast(stored) if n <= rows and size <= BROADCAST_BYTES else stored
 
 
 def free_name(df: DataFrame, name: str) -> str:

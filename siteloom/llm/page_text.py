@@ -479,8 +479,8 @@ def extract_texts(pages: DataFrame, *, id: str = "page_id", url: str = "url", ht
     pairs = common.materialize(
         keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pair_within, PAIR_SCHEMA), "page-pairs"
     )
-    # Four rows a partition at most.
-    edges = pairs.filter("wanted is not null").coalesce(1).sortWithinPartitions(*order).mapInArrow(_pair_edges, PAIR_SCHEMA)
+    # Four rows a partition at most; they are found where the table lies and then brought together.
+    edges = pairs.filter("wanted is not null").repartition(1).sortWithinPartitions(*order).mapInArrow(_pair_edges, PAIR_SCHEMA)
     found = pairs.filter("wanted is null").unionByName(edges).select("key", "pair_id", "shared")
     schema = "page_id long, url string, pair_id long, text string, n_lines int, n_shared int"
     return rows.join(found, "key", "left").select("page_id", "url", "html", "pair_id", "shared").mapInArrow(_texts, schema)
