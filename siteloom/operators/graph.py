@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -313,50 +313,127 @@ def articulation_points(edges: DataFrame) -> DataFrame:
     return sides.groupBy("id").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("id")
 
 
-def modules(edges: DataFrame, levels: int = 10, rounds: int = 20, seed: int = 42) -> DataFrame:
-    """(id, module): communities by Louvain's local moves and contraction.
-
-    In a round half of the vertices, by a seeded hash, may move to the neighbouring community
-    with the largest positive gain. The partition need not equal any other implementation's.
+def _moves(both: DataFrame, state: DataFrame, mass: float, turn: Column) -> DataFrame:
+    """(id, deg, from, to, gain): for each active vertex whose turn it is the community that it gains most by joining."""
+    totals = state.groupBy("c").agg(F.sum("deg").alias("tot"))
+    asked = state.filter(F.col("active") & turn).select("id", "deg", F.col("c").alias("own"))
+    near = both.join(asked.select(F.col("id").alias("src")), "src", "left_semi").join(state.select(F.col("id").alias("dst"), "c"), "dst")
+    near = near.groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("to_c"))
+    # The vertex's own community is an option even where it has no neighbour.
+    options = near.unionByName(asked.select("id", F.col("own").alias("c"), F.lit(0.0).alias("to_c"))).groupBy("id", "c").agg(F.sum("to_c").alias("to_c"))
+    options = options.join(asked, "id").join(totals, "c")
+    rest = F.when(F.col("c") == F.col("own"), F.col("tot") - F.col("deg")).otherwise(F.col("tot"))
+    gain = F.col("to_c") - F.col("deg") * rest / mass
+    found = options.groupBy("id", "deg", "own").agg(
+        F.max(F.when(F.col("c") != F.col("own"), F.struct(gain.alias("gain"), "c"))).alias("best"), F.max(F.when(F.col("c") == F.col("own"), gain)).alias("stay")
+    )
+    more = F.col("best.gain") - F.col("stay")
+    return found.select("id", "deg", F.col("own").alias("from"), F.col("best.c").alias("to"), more.alias("gain")).filter(F.col("gain") > 1e-9)
+
+
+def _joint_gain(both: DataFrame, state: DataFrame, moves: DataFrame, mass: float) -> float:
+    """By how much all ``moves`` together change the sum of inner weights less the squares of totals / mass."""
+    own = moves.select(F.col("id").alias("src"), F.col("from").alias("a"), F.col("to").alias("b"))
+    other = moves.select(F.col("id").alias("dst"), F.col("to").alias("moved"))
+    ends = both.join(own, "src").join(state.select(F.col("id").alias("dst"), "c"), "dst").join(other, "dst", "left")
+    inner = (F.col("b") == F.coalesce("moved", "c")).cast("int") - (F.col("a") == F.col("c")).cast("int")
+    # An edge with one moved end is met from that end only.
+    inside = ends.agg(F.coalesce(F.sum(F.col("w") * inner * F.when(F.col("moved").isNull(), 2).otherwise(1)), F.lit(0.0)).alias("x"))
+    shift = moves.select(F.col("to").alias("c"), "deg").unionAll(moves.select("from", -F.col("deg"))).groupBy("c").agg(F.sum("deg").alias("d"))
+    totals = state.groupBy("c").agg(F.sum("deg").alias("tot")).join(shift, "c")
+    squares = totals.agg(F.sum((2 * F.col("tot") + F.col("d")) * F.col("d")).alias("y"))
+    x, y = inside.crossJoin(squares).first()
+    return x - (y or 0.0) / mass
+
+
+def _apart(moves: DataFrame) -> DataFrame:
+    """The moves that are the best of both their communities, so that no two share one and their gains add up."""
+    best = F.max(F.struct("gain", "id")).alias("best")
+    tops = moves.select("id", "gain", F.explode(F.array("from", "to")).alias("c")).groupBy("c").agg(best).select("c", F.col("best.id").alias("top"))
+    leads, enters = (tops.select(F.col("c").alias(x), F.col("top").alias(f"top_{x}")) for x in ("from", "to"))
+    found = moves.join(leads, "from").join(enters, "to").filter("top_from = id and top_to = id")
+    return found.select(*moves.columns)
+
+
+def _moved(both: DataFrame, state: DataFrame, mass: float, seed: int) -> tuple[DataFrame, float]:
+    """``state`` after rounds of local moves, and what they gained.
+
+    Vertices are active until no other community is better for them. In a round half of the active ones, by a
+    hash, may move, and where they leave or enter, neighbours become active again. A round's moves are taken if
+    they gain together, else those that share no community, whose gains add up. It ends when nothing moves
+    even if all are asked, or a round gains less than a tenth of the best one, since what is left is cheaper to move as a
+    part of larger vertices, or in the next pass.
+    """
+    between = both.filter("src <> dst")
+    gained, best, everyone = 0.0, 0.0, False
+    for r in count():
+        turn = F.lit(True) if everyone else F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == r % 2
+        moves = materialize(_moves(between, state, mass, turn), "moves")
+        if moves.isEmpty():
+            discard(moves)
+            if everyone:
+                return state, gained
+            everyone = True
+            continue
+        taken, everyone = moves, False
+        gain = _joint_gain(between, state, moves, mass)
+        if gain <= 1e-9:
+            taken = materialize(_apart(moves), "moves")
+            gain = 2 * taken.agg(F.sum("gain")).first()[0]
+        wake = between.join(taken.select(F.col("id").alias("src"), F.col("to").alias("at")), "src").select(F.col("dst").alias("id"), "at")
+        wake = wake.join(state.select("id", "c"), "id").filter("c <> at").select("id").distinct().withColumn("woken", F.lit(True))
+        fresh = state.join(taken.select("id", "to"), "id", "left").join(wake, "id", "left").join(moves.select("id", F.lit(True).alias("tried")), "id", "left")
+        # Not asked yet, woken, or willing to move but not taken.
+        waits = F.col("woken").isNotNull() | (F.col("active") & ~turn) | (F.col("tried").isNotNull() & F.col("to").isNull())
+        fresh = materialize(fresh.select("id", "deg", F.coalesce("to", "c").alias("c"), waits.alias("active")), "state")
+        discard(state, moves, *([taken] if taken is not moves else []))
+        state, gained, best = fresh, gained + gain, max(best, gain)
+        if gain < best / 10:
+            return state, gained
+
+
+def modules(edges: DataFrame, seed: int = 42, tolerance: float = 1e-4) -> DataFrame:
+    """(id, module): communities of high modularity, each of them connected, by local moves, contraction and refinement.
+
+    In a pass vertices move, communities are contracted to vertices, these move, and so on until none moves; then
+    communities that aren't connected are split. The next pass begins with single vertices in the communities found.
+    Passes end when one gains less than ``tolerance`` of modularity. No number of levels or rounds is set: modularity grows with
+    all that is taken. The partition need not equal any other implementation's.
     """
     pairs = _undirected(edges).withColumn("w", F.lit(1.0))
-    both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(pairs.select("b", "a", "w"))
-    both = materialize(both, "weights")
+    links = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(pairs.select("b", "a", "w"))
+    links = materialize(links, "weights")
     members = materialize(vertices(edges).withColumn("module", F.col("id")), "members")
-    mass = both.agg(F.sum("w")).first()[0] or 0.0
-    for level in range(levels if mass else 0):
-        if both.filter("src <> dst").isEmpty():
-            break
-        state = materialize(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")).withColumn("c", F.col("id")), "state")
-        moved_any = False
-        for r in range(rounds):
-            totals = state.groupBy("c").agg(F.sum("deg").alias("tot"))
-            near = both.filter("src <> dst").join(state.select(F.col("id").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("to_c"))
-            own = state.join(totals, "c").select("id", "deg", F.col("c").alias("own"), F.col("tot").alias("own_tot"))
-            options = near.join(own, "id").join(totals, "c")
-            rest = F.when(F.col("c") == F.col("own"), F.col("tot") - F.col("deg")).otherwise(F.col("tot"))
-            options = options.withColumn("gain", F.col("to_c") - F.col("deg") * rest / mass)
-            best = options.groupBy("id").agg(
-                F.max(F.when(F.col("c") != F.col("own"), F.struct("gain", F.col("c").alias("to")))).alias("b"),
-                # One without a neighbour in its own community has no edge weight there.
-                F.coalesce(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))), F.max(-F.col("deg") * (F.col("own_tot") - F.col("deg")) / mass)).alias("stay"),
-            )
-            turn = F.pmod(F.xxhash64("id", F.lit(seed + level)), F.lit(2)) == r % 2
-            goes = best.filter(turn & (F.col("b.gain") > F.col("stay") + 1e-7)).select("id", F.col("b.to").alias("to"))
-            fresh = state.join(goes, "id", "left").select("id", "deg", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("went"))
-            fresh = materialize(fresh, "state")
-            went = fresh.filter("went").count()
-            state = fresh.drop("went")
-            moved_any |= went > 0
-            if not went and r % 2:
+    mass = links.agg(F.sum("w")).first()[0] or 0.0
+    if not mass:
+        return members
+    degrees_ = materialize(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")), "degrees")
+    for turn in count():
+        state = degrees_.join(members, "id").select("id", "deg", F.col("module").alias("c"), F.lit(True).alias("active"))
+        state, gained = _moved(links, materialize(state, "state"), mass, seed + turn)
+        found, both, level = materialize(state.select("id", "c"), "found"), links, 0
+        while True:
+            a, b = (state.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst"))
+            joined = both.join(a, "src").join(b, "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w"))
+            joined = materialize(joined, "weights")
+            if both is not links:
+                discard(both)
+            both, level = joined, level + 1
+            single = both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")).select("id", "deg", F.col("id").alias("c"), F.lit(True).alias("active"))
+            discard(state)
+            state, gain = _moved(both, materialize(single, "state"), mass, seed + turn + level)
+            if not gain:
+                discard(state, both)
                 break
-        if not moved_any:
-            break
-        chosen = state.select(F.col("id").alias("module"), F.col("c"))
-        members = materialize(members.join(chosen, "module", "left").select("id", F.coalesce("c", "module").alias("module")), "members")
-        a, b = (state.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst"))
-        both = materialize(both.join(a, "src").join(b, "dst").groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w")), "weights")
-    return members
+            gained += gain
+            found, before = materialize(found.join(state.select(F.col("id").alias("c"), F.col("c").alias("up")), "c").select("id", F.col("up").alias("c")), "found"), found
+            discard(before)
+        a, b = (found.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst"))
+        parts = components(links.join(a, "src").join(b, "dst").filter("c_src = c_dst").select("src", "dst"))
+        members, before = materialize(members.join(parts, "id", "left").select("id", F.coalesce("root", "id").alias("module")), "members"), members
+        discard(before, found)
+        if gained / mass < tolerance:
+            return members
 
 
 def project_graph(edges: DataFrame, root: str) -> DataFrame:

@@ -70,6 +70,16 @@ def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(_named("n", "c_nationkey").alias("src"), _named("c", "c_custkey").alias("dst"))
 
 
+def wheel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five wheels: each market segment's hub is linked to its customers, each customer to the next one, and hub to hub."""
+    c = read(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey")
+    by = W.partitionBy("c_mktsegment").orderBy("c_custkey")
+    spokes = c.select(F.concat(F.lit("hub "), "c_mktsegment").alias("src"), _named("c", "c_custkey").alias("dst"))
+    rim = c.withColumn("next", F.lead("c_custkey").over(by)).filter("next is not null").select(_named("c", "c_custkey").alias("src"), _named("c", "next").alias("dst"))
+    hubs = c.select("c_mktsegment").distinct().withColumn("next", F.lead("c_mktsegment").over(W.orderBy("c_mktsegment"))).filter("next is not null")
+    return spokes.unionByName(rim).unionByName(hubs.select(F.concat(F.lit("hub "), "c_mktsegment").alias("src"), F.concat(F.lit("hub "), "next").alias("dst")))
+
+
 def ring_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers alike in nation, segment and balance in a ring, each linked to the next one and the one after that."""
     c = read(spark, sf_dir, "customer").withColumn("bin", F.floor(F.col("c_acctbal") / 2000))

@@ -242,6 +242,15 @@ def graph_modules(spark, sf_dir):
     return found.join(found.groupBy("module").agg(F.min("id").alias("community")), "module").select("id", "community")
 
 
+@query("""SELECT 'c' || c_custkey AS id, min('c' || c_custkey) OVER (PARTITION BY c_mktsegment) AS community, c_mktsegment AS planted FROM customer
+    UNION ALL SELECT 'hub ' || c_mktsegment, min('c' || c_custkey), c_mktsegment FROM customer GROUP BY c_mktsegment""")
+def planted_modules(spark, sf_dir):
+    """Five wheels whose hubs are linked: cycles all over, and most vertices have as many links as any other."""
+    found = graph.modules(d.wheel_edges(spark, sf_dir))
+    named = found.groupBy("module").agg(F.min("id").alias("community"), F.max(F.when(F.col("id").startswith("hub "), F.substr("id", F.lit(5)))).alias("planted"))
+    return found.join(named, "module").select("id", "community", "planted")
+
+
 @query(f"""WITH {d.TREE}, x AS (SELECT src AS url, count(*) AS n FROM tr GROUP BY 1)
     SELECT left(url, 1) AS label, count(*) AS page_count, arg_min(url, struct_pack(n := n, url := url)) AS entry_page, min(n) AS shallowest_depth,
            max(n) AS deepest_depth, coalesce(list_sort(list(url) FILTER (n > 15)), []) AS articulation_points FROM x GROUP BY 1""")
