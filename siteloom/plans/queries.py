@@ -121,6 +121,30 @@ def page_structure(spark, sf_dir):
     return parsed.select("page_id", *(F.size(x).alias(f"n_{x}") for x in html.PARTS)).join(html.extract_description(parsed).drop("url"), "page_id")
 
 
+# Pages of customers, whose style sheets tell controls by what is around and before them.
+@query("""WITH c AS (SELECT c_custkey AS page_id, 'c' || c_nationkey AS v, c_custkey % 3 AS k, c_mktsegment AS seg FROM customer)
+    SELECT page_id, 'nav > a' AS path, 'hover' AS state, 'color' AS property, v AS value FROM c
+    UNION ALL SELECT page_id, 'main > a:nth-of-type(1)', 'hover', 'color', 'wide' FROM c
+    UNION ALL SELECT page_id, 'main > a:nth-of-type(2)', 'hover', 'color', 'wide' FROM c
+    UNION ALL SELECT page_id, 'main > a:nth-of-type(2)', 'focus', 'outline', 'next' FROM c
+    UNION ALL SELECT page_id, 'main > div > p > button', 'hover', 'opacity', '0.5' FROM c WHERE k <> 1
+    UNION ALL SELECT page_id, 'main > div > p > button', 'focus', 'color', seg FROM c WHERE k = 2
+    UNION ALL SELECT page_id, 'main > input', 'focus', 'border-color', CASE WHEN k = 0 THEN 'late' ELSE 'mail' END FROM c""")
+def page_state_styles(spark, sf_dir):
+    c, kind = d.read(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    css = F.concat(
+        F.lit("nav > a:hover, nav a.none:focus { color: c"), F.col("c_nationkey").cast("string"), F.lit("; margin: 0 } main a:hover { color: wide } a.x + a:focus { outline: next } "),
+        F.lit("@media (max-width: 9px) { a:hover { color: small } } .card:not(.k1) button:hover { opacity: 0.5 } [data-k='2'] > p > button:focus { color: "), "c_mktsegment",
+        F.lit(" } input[type^=em]:focus-visible { border-color: mail } .k0 ~ input:focus { border-color: late } nav + nav a:hover { color: never } a:unknown(x):hover { color: never }"),
+    )
+    body = F.concat(
+        F.lit("<nav><a href=a>a</a></nav><main><a class=x href=b>b</a><a href=c>c</a><div class='card k"), kind.cast("string"), F.lit("' data-k="), kind.cast("string"),
+        F.lit("><p><button>d</button></p></div><input type=email></main>"),
+    )
+    pages = c.select(F.col("c_custkey").alias("page_id"), F.lit("https://h.org/").alias("url"), F.concat(F.lit("<style>"), css, F.lit("</style>"), body).alias("html"))
+    return html.extract_state_styles(html.parse_pages(pages)).select("page_id", "path", "state", "property", "value")
+
+
 @query(f"WITH {d.TREE} SELECT DISTINCT src AS url, 'Pending' AS status FROM tr UNION SELECT dst, 'Pending' FROM tr")
 def pending_pages(spark, sf_dir):
     e = d.tree_edges(spark, sf_dir)

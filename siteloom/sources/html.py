@@ -6,7 +6,6 @@ it. Only what static markup tells is there: no computed style, geometry or shado
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import urls
+from siteloom.sources.selectors import StateRules
 
 # Which elements are controls, prose, structure and landmarks.
 CONTROL_TAGS = frozenset(("button", "a", "input", "select", "textarea"))
@@ -53,11 +53,14 @@ class Element:
         self.text_from = self.text_to = text_from
         self.own_text: list[str] = []
         self.tags: Counter[str] = Counter()
-        self.nth = 0
+        self.nth = self.index = 0
+        self.previous = self.newest = None
         self.known_path: str | None = None
         if parent:
             parent.tags[tag] += 1
             self.nth = parent.tags[tag]
+            self.previous, parent.newest = parent.newest, self
+            self.index = self.previous.index + 1 if self.previous else 1
             self.in_section = parent.in_section or parent.tag in ("article", "section")
             self.in_control = parent.in_control or parent.is_control()
             self.unread = parent.unread or tag in ("script", "style")
@@ -172,27 +175,6 @@ def _labels(tree: Tree, x: Element, by_id: dict[str, Element], label_for: dict[s
     return next((y.strip() for y in chain if y.strip()), ""), next(filter(None, labels), "")
 
 
-def _simple_match(x: Element, selector: str) -> bool:
-    """Tag, class and id selectors without combinators."""
-    if not re.fullmatch(r"[a-zA-Z0-9]*([.#][\w-]+)*", selector):
-        return False
-    tag = re.match(r"[a-zA-Z0-9]*", selector)[0].lower()
-    classes = x.get("class").split()
-    wanted = re.findall(r"([.#])([\w-]+)", selector)
-    return (not tag or tag == x.tag) and all(n in classes if k == "." else n == x.get("id") for k, n in wanted)
-
-
-def _state_rules(css: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    for selectors, body in re.findall(r"([^{}]+)\{([^{}]*)\}", re.sub(r"/\*.*?\*/", "", css, flags=re.DOTALL)):
-        pairs = (x.partition(":") for x in body.split(";"))
-        declared = {k.strip().lower(): v.strip() for k, _, v in pairs if k.strip().lower() in TRACKED and v.strip()}
-        for selector in selectors.split(","):
-            state = "hover" if ":hover" in selector else "focus" if ":focus" in selector else ""
-            base = re.sub(r":hover|:focus(-visible|-within)?", "", selector).strip()
-            if state and base and declared:
-                yield base, state, declared
-
-
 def parse_page(html: str) -> dict:
     """The nested tables of one page."""
     tree = Tree(html)
@@ -218,13 +200,9 @@ def parse_page(html: str) -> dict:
              "disabled": "disabled" in x.attributes, "required": "required" in x.attributes, "selected": chosen or "checked" in x.attributes,
              "ancestors": [{"path": y.path(), "tag": y.tag, "role": y.get("role"), "landmark": landmark(y), "id": y.get("id"), "class": y.get("class")} for y in x.structures()]}
         )
-    rules = list(_state_rules("\n".join("".join(x.own_text) for x in everything if x.tag == "style")))
-    last: dict[tuple[str, str, str], str] = {}
-    for x in controls if rules else ():
-        for base, state, declared in rules:
-            if _simple_match(x, base):
-                last |= {(x.path(), state, k): v for k, v in declared.items()}
-    styles = [{"path": p, "state": s, "property": k, "value": v} for (p, s, k), v in last.items()]
+    rules = StateRules("\n".join("".join(x.own_text) for x in everything if x.tag == "style"), TRACKED)
+    states = [(x.path(), rules.of(x)) for x in controls] if rules.rules else []
+    styles = [{"path": p, "state": s, "property": k, "value": v} for p, found in states for (s, k), v in found.items()]
     return {"links": links, "metadata": metadata, "texts": texts, "controls": rows, "styles": styles}
 
 
@@ -291,10 +269,3 @@ def extract_ancestors(parsed: DataFrame) -> DataFrame:
 
 def extract_state_styles(parsed: DataFrame) -> DataFrame:
     return _exploded(parsed, "styles").drop("pos")
-
-
-def flat_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, href, label) of plain ``<a href="...">text</a>`` links, without Python."""
-    tag: Column = F.lit(r'<a href="([^"]*)">([^<]*)</a>')
-    pairs = F.arrays_zip(F.regexp_extract_all("html", tag, F.lit(1)).alias("href"), F.regexp_extract_all("html", tag, F.lit(2)).alias("label"))
-    return pages.select("page_id", "url", F.posexplode(pairs).alias("pos", "x")).select("page_id", "url", "pos", "x.href", "x.label")
