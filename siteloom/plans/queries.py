@@ -60,7 +60,7 @@ def url_keys(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    rows = html.extract_links(html.parse_pages(d.read(spark, sf_dir, "pages")))
+    rows = html.extract_links(html.parse_pages(d.read(spark, sf_dir, "pages"), ("links",)))
     seq = F.col("page_id") * 100_000 + F.col("pos")
     return rows.select(urls.route_shape(F.col("url")).alias("from"), urls.route_shape(F.col("href")).alias("to"), F.col("text").alias("label"), seq.alias("event_seq"))
 
@@ -103,14 +103,14 @@ def link_scope(spark, sf_dir):
 
 @query(f"WITH {LINKS} SELECT page_id, pos::INT AS pos, href, label AS text, split_part(href, ':', 1) AS scheme FROM lr")
 def page_links_resolved(spark, sf_dir):
-    parsed = html.parse_pages(d.read(spark, sf_dir, "pages"))
+    parsed = html.parse_pages(d.read(spark, sf_dir, "pages"), ("links",))
     return html.extract_links(parsed).select("page_id", "pos", "href", "text", "scheme")
 
 
 @query(f"""SELECT page_id, {plain_sql("regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')")} AS head,
            len(regexp_extract_all(html, '<a[ >]')) AS links, len(regexp_extract_all(html, '<meta [^>]*(?:name|property)=')) AS metadata FROM pages""")
 def page_meta(spark, sf_dir):
-    parsed = html.parse_pages(d.read(spark, sf_dir, "pages"))
+    parsed = html.parse_pages(d.read(spark, sf_dir, "pages"), ("links", "metadata", "texts"))
     head = F.get(F.filter("texts", lambda x: x["tag"] == "h1"), F.lit(0))["text"]
     return parsed.select("page_id", F.coalesce(head, F.lit("")).alias("head"), F.size("links").cast("long").alias("links"), F.size("metadata").cast("long").alias("metadata"))
 
@@ -142,7 +142,7 @@ def page_state_styles(spark, sf_dir):
         F.lit("><p><button>d</button></p></div><input type=email></main>"),
     )
     pages = c.select(F.col("c_custkey").alias("page_id"), F.lit("https://h.org/").alias("url"), F.concat(F.lit("<style>"), css, F.lit("</style>"), body).alias("html"))
-    return html.extract_state_styles(html.parse_pages(pages)).select("page_id", "path", "state", "property", "value")
+    return html.extract_state_styles(html.parse_pages(pages, ("styles",))).select("page_id", "path", "state", "property", "value")
 
 
 @query(f"WITH {d.TREE} SELECT DISTINCT src AS url, 'Pending' AS status FROM tr UNION SELECT dst, 'Pending' FROM tr")

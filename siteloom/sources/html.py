@@ -175,21 +175,41 @@ def _labels(tree: Tree, x: Element, by_id: dict[str, Element], label_for: dict[s
     return next((y.strip() for y in chain if y.strip()), ""), next(filter(None, labels), "")
 
 
-def parse_page(html: str) -> dict:
-    """The nested tables of one page."""
+def parse_page(html: str, parts: tuple[str, ...] = tuple(PARTS)) -> dict:
+    """The nested tables of one page, or those of ``parts``."""
     tree = Tree(html)
     everything = tree.elements
-    by_id = {x.get("id"): x for x in reversed(everything) if x.get("id")}
-    label_for = {x.get("for"): x for x in reversed(everything) if x.tag == "label" and x.get("for")}
-    controls = [x for x in everything if x.is_control()]
-    links = [{"href": x.get("href"), "text": tree.text(x)} for x in everything if x.tag == "a" and "href" in x.attributes]
-    metas = [x for x in everything if x.tag == "meta"]
-    metadata = [{"name": x.get("name") or x.get("property"), "content": x.get("content")} for x in metas if x.get("name") or x.get("property")]
+    found: dict[str, list] = {}
+    if "links" in parts:
+        found["links"] = [{"href": x.get("href"), "text": tree.text(x)} for x in everything if x.tag == "a" and "href" in x.attributes]
+    if "metadata" in parts:
+        metas = [x for x in everything if x.tag == "meta"]
+        found["metadata"] = [{"name": x.get("name") or x.get("property"), "content": x.get("content")} for x in metas if x.get("name") or x.get("property")]
+    if "texts" in parts:
+        found["texts"] = _texts(tree)
+    if "controls" in parts:
+        found["controls"] = _controls(tree)
+    if "styles" in parts:
+        rules = StateRules("\n".join("".join(x.own_text) for x in everything if x.tag == "style"), TRACKED)
+        states = [(x.path(), rules.of(x)) for x in everything if x.is_control()] if rules.rules else []
+        found["styles"] = [{"path": p, "state": s, "property": k, "value": v} for p, told in states for (s, k), v in told.items()]
+    return found
+
+
+def _texts(tree: Tree) -> list[dict]:
     texts = []
-    for x in everything:
+    for x in tree.elements:
         if x.tag in PROSE and not tree.has_control(x):
             if own := " ".join(" ".join(x.own_text).split()):
                 texts.append({"path": x.path(), "tag": x.tag, "text": own})
+    return texts
+
+
+def _controls(tree: Tree) -> list[dict]:
+    everything = tree.elements
+    by_id = {x.get("id"): x for x in reversed(everything) if x.get("id")}
+    label_for = {x.get("for"): x for x in reversed(everything) if x.tag == "label" and x.get("for")}
+    controls = [x for x in everything if x.is_control()]
     rows = []
     for x in controls:
         name, label = _labels(tree, x, by_id, label_for)
@@ -200,17 +220,16 @@ def parse_page(html: str) -> dict:
              "disabled": "disabled" in x.attributes, "required": "required" in x.attributes, "selected": chosen or "checked" in x.attributes,
              "ancestors": [{"path": y.path(), "tag": y.tag, "role": y.get("role"), "landmark": landmark(y), "id": y.get("id"), "class": y.get("class")} for y in x.structures()]}
         )
-    rules = StateRules("\n".join("".join(x.own_text) for x in everything if x.tag == "style"), TRACKED)
-    states = [(x.path(), rules.of(x)) for x in controls] if rules.rules else []
-    styles = [{"path": p, "state": s, "property": k, "value": v} for p, found in states for (s, k), v in found.items()]
-    return {"links": links, "metadata": metadata, "texts": texts, "controls": rows, "styles": styles}
+    return rows
+
 
+def _parse(parts: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = [parse_page(x.as_py() or "", parts) for x in batch["html"]]
+            yield pa.record_batch({x: batch[x] for x in ("page_id", "url")} | {k: pa.array([x[k] for x in pages], pa.list_(PARTS[k])) for k in parts})
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pages = [parse_page(x.as_py() or "") for x in batch["html"]]
-        parts = {k: pa.array([x[k] for x in pages], pa.list_(t)) for k, t in PARTS.items()}
-        yield pa.record_batch({x: batch[x] for x in ("page_id", "url")} | parts)
+    return run
 
 
 def _ddl(kind: pa.DataType) -> str:
@@ -221,11 +240,12 @@ def _ddl(kind: pa.DataType) -> str:
     return "boolean" if pa.types.is_boolean(kind) else "string"
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, links, metadata, texts, controls, styles), each page parsed once."""
+def parse_pages(pages: DataFrame, parts: tuple[str, ...] = tuple(PARTS)) -> DataFrame:
+    """(page_id, url, links, metadata, texts, controls, styles), each page parsed once; of these arrays only ``parts``
+    are made."""
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    parts = ", ".join(f"{k} array<{_ddl(t)}>" for k, t in PARTS.items())
-    return rows.mapInArrow(_parse, f"page_id long, url string, {parts}")
+    kinds = ", ".join(f"{k} array<{_ddl(PARTS[k])}>" for k in parts)
+    return rows.mapInArrow(_parse(parts), f"page_id long, url string, {kinds}")
 
 
 def _exploded(parsed: DataFrame, part: str) -> DataFrame:
