@@ -121,6 +121,60 @@ def page_structure(spark, sf_dir):
     return parsed.select("page_id", *(F.size(x).alias(f"n_{x}") for x in html.PARTS)).join(html.extract_description(parsed).drop("url"), "page_id")
 
 
+# A page of each customer: metadata with a repeated name, prose with and without controls in it, a labelled form in landmarks.
+def _customer_pages(spark, sf_dir, parts):
+    key, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    described = F.when(key % 3 == 0, F.concat(F.lit("<meta name=Description content='About "), seg, F.lit("'>"))).otherwise("")
+    page = F.concat(
+        F.lit("<html><head><meta charset=utf-8>"), described, F.lit("<meta property=og:type content=a><meta name=k content=old><meta name=k content='"), seg,
+        F.lit("'></head><body><header><h1>Page "), key.cast("string"), F.lit("</h1></header><main id=m><p>Short</p><p>Customer of\n <b>bold</b>  segment "), seg,
+        F.lit("</p><form id=f aria-label=Ask><label for=q>Your  name</label><input id=q name=n placeholder=Who required><button "),
+        F.when(key % 2 == 0, "disabled").otherwise("class='b c'"), F.lit(">Go &amp; <i>on</i></button><label>Size<select name=s></select></label></form><ul><li>one</li><li><a href=/x>two</a></li></ul></main></body></html>"),
+    )
+    rows = d.read(spark, sf_dir, "customer").select(key.alias("page_id"), F.lit("https://h.org/").alias("url"), page.alias("html"))
+    return html.parse_pages(rows, parts)
+
+
+@query("""WITH c AS (SELECT c_custkey AS page_id, c_mktsegment AS seg FROM customer)
+    SELECT page_id, 'Description' AS name, 'About ' || seg AS content FROM c WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'og:type', 'a' FROM c UNION ALL SELECT page_id, 'k', seg FROM c""")
+def page_metadata(spark, sf_dir):
+    found = html.extract_metadata(_customer_pages(spark, sf_dir, ("metadata",)))
+    return found.select("page_id", F.explode("metadata").alias("name", "content"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS page_id, c_mktsegment AS seg FROM customer)
+    SELECT page_id, 0 AS pos, 'body > header > h1' AS path, 'h1' AS tag, 'Page ' || page_id AS text FROM c UNION ALL SELECT page_id, 1, 'body > main#m > p:nth-of-type(1)', 'p', 'Short' FROM c
+    UNION ALL SELECT page_id, 2, 'body > main#m > p:nth-of-type(2)', 'p', 'Customer of segment ' || seg FROM c UNION ALL SELECT page_id, 3, 'body > main#m > ul > li:nth-of-type(1)', 'li', 'one' FROM c""")
+def page_prose(spark, sf_dir):
+    """Prose outside of controls, each element with its own text only."""
+    return html.extract_texts(_customer_pages(spark, sf_dir, ("texts",))).drop("url")
+
+
+@query("""SELECT c_custkey AS page_id, CASE WHEN c_custkey % 3 = 0 THEN 'About ' || c_mktsegment ELSE 'Page ' || c_custkey || ' - Customer of segment ' || c_mktsegment END AS description FROM customer""")
+def page_descriptions(spark, sf_dir):
+    return html.extract_description(_customer_pages(spark, sf_dir, ("metadata", "texts"))).drop("url")
+
+
+@query("""WITH c AS (SELECT c_custkey AS page_id, c_custkey % 2 = 0 AS even FROM customer), f AS (SELECT 'body > main#m > form#f' AS f)
+    SELECT page_id, f || ' > input#q' AS path, 'input' AS tag, '' AS text, 'Your name' AS label, 'Who' AS placeholder, 'n' AS name, f AS form, '' AS css_class, '' AS href, false AS disabled, true AS required FROM c, f
+    UNION ALL SELECT page_id, f || ' > button', 'button', 'Go & on', '', '', '', f, CASE WHEN even THEN '' ELSE 'b c' END, '', even, false FROM c, f
+    UNION ALL SELECT page_id, f || ' > label:nth-of-type(2) > select', 'select', '', 'Size', '', 's', f, '', '', false, false FROM c, f
+    UNION ALL SELECT page_id, 'body > main#m > ul > li:nth-of-type(2) > a', 'a', 'two', '', '', '', '', '', '/x', false, false FROM c""")
+def page_controls(spark, sf_dir):
+    found = html.extract_components(_customer_pages(spark, sf_dir, ("controls",)))
+    return found.select("page_id", "path", "tag", "text", "label", "placeholder", "name", "form", "css_class", "href", "disabled", "required")
+
+
+@query("""WITH k AS (SELECT 'body > main#m > form#f' AS f, unnest([' > input#q', ' > button', ' > label:nth-of-type(2) > select']) AS own),
+    r AS (SELECT f || own AS component_path, 1 AS distance, f AS path, 'form' AS tag, 'form' AS landmark FROM k UNION ALL SELECT f || own, 2, 'body > main#m', 'main', 'main' FROM k
+    UNION ALL SELECT 'body > main#m > ul > li:nth-of-type(2) > a', 1, 'body > main#m > ul', 'ul', '' UNION ALL SELECT 'body > main#m > ul > li:nth-of-type(2) > a', 2, 'body > main#m', 'main', 'main')
+    SELECT c_custkey AS page_id, r.* FROM customer, r""")
+def page_ancestors(spark, sf_dir):
+    """The structural elements around each control, nearest first, with their landmarks."""
+    found = html.extract_ancestors(_customer_pages(spark, sf_dir, ("controls",)))
+    return found.select("page_id", "component_path", "distance", "path", "tag", "landmark")
+
+
 # Pages of customers, whose style sheets tell controls by what is around and before them.
 @query("""WITH c AS (SELECT c_custkey AS page_id, 'c' || c_nationkey AS v, c_custkey % 3 AS k, c_mktsegment AS seg FROM customer)
     SELECT page_id, 'nav > a' AS path, 'hover' AS state, 'color' AS property, v AS value FROM c
@@ -240,6 +294,14 @@ def articulation_points(spark, sf_dir):
     return graph.articulation_points(d.tree_edges(spark, sf_dir))
 
 
+# Wheels, whose vertices all have several neighbours, with their hubs in a line and a page hung to every third customer.
+@query("""SELECT 'hub ' || c_mktsegment AS id FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 3 = 0""")
+def cut_vertices(spark, sf_dir):
+    hung = d.read(spark, sf_dir, "customer").filter("c_custkey % 3 = 0")
+    hung = hung.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("dst"))
+    return graph.articulation_points(d.wheel_edges(spark, sf_dir).unionByName(hung))
+
+
 def _betweenness_sql(depth: int = 8) -> str:
     steps = [f"WITH {d.GRAPH}, p0 AS (SELECT src AS s, src AS v, 0 AS n, 1.0::DOUBLE AS sigma FROM g UNION SELECT dst, dst, 0, 1.0 FROM g)"]
     for i in range(1, depth + 1):
