@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.functions import colors, labels, network, urls
-from siteloom.operators import fold, graph, ordered, reads, rules, similarity
+from siteloom.operators import fold, graph, ordered, reads, rules, search, similarity
 from siteloom.plans import derived as d
 from siteloom.plans.shared import materialize, shared_path
 from siteloom.sources import html
@@ -760,6 +760,37 @@ def text_search(spark, sf_dir):
     return reads.search_text(docs, ["the", "token", "email"])
 
 
+def _bm25_sql(table: str, rows: str, words: tuple[str, ...], limit: int) -> str:
+    asked = ", ".join(f"'{x}'" for x in words)
+    return f"""SELECT '{table}' AS source, * FROM (WITH tok AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(t, '')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM ({rows})),
+    n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM tok), w AS (SELECT id, len(t) AS len, unnest(t) AS word FROM tok),
+    tf AS (SELECT id, word, count(*) AS tf, first(len) AS len FROM w WHERE word IN ({asked}) GROUP BY ALL), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
+    SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score
+    FROM tf JOIN df USING (word), n GROUP BY id ORDER BY score DESC, id LIMIT {limit})"""
+
+
+SEARCHED = (
+    ("TextContent", "SELECT doc_id AS id, text AS t FROM documents", ("the", "token", "email"), 10),
+    ("Component", "SELECT p_partkey AS id, p_name AS t FROM part", ("blue", "widget"), 10),
+    ("Page", "SELECT c_custkey AS id, c_name || ' in ' || c_mktsegment AS t FROM customer", ("building", "machinery"), 10),
+    ("ComponentFamily", "SELECT o_orderkey AS id, o_orderpriority || ' ' || o_orderstatus AS t FROM orders", ("urgent", "o"), 10),
+)
+
+
+@query(" UNION ALL ".join(_bm25_sql(*x) for x in SEARCHED))
+def indexed_search(spark, sf_dir):
+    """The four prose columns indexed by term, and a search in each."""
+    path, found = shared_path(spark, "search-index"), None
+    for table, rows, words, limit in SEARCHED:
+        name = rows.rsplit(" ", 1)[1]
+        d.read(spark, sf_dir, name).createOrReplaceTempView(f"searched_{name}")
+        own = spark.sql(rows.replace(f"FROM {name}", f"FROM searched_{name}")).withColumnRenamed("t", search.TARGETS[table])
+        search.build_index(own, table, path)
+        best = search.search_index(spark, path, table, list(words), limit).select(F.lit(table).alias("source"), "id", "score")
+        found = best if found is None else found.unionAll(best)
+    return found
+
+
 # Streams: all files that are there, through the streaming form, to the batch answer
 
 
