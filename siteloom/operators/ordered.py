@@ -176,11 +176,14 @@ def chunked(rows: DataFrame, by: str, order: list, size: int = 5) -> DataFrame:
 
 def first_texts(rows: DataFrame, by: str, text: str, pos: str, cap: int = 20) -> DataFrame:
     """The first ``cap`` distinct texts of each group in order of appearance, and how many were left out."""
-    seen = rows.groupBy(by, text).agg(F.min(pos).alias("_pos"))
-    ranked = seen.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy("_pos", text)))
-    kept = F.array_sort(F.collect_list(F.when(F.col("_n") <= cap, F.struct("_n", text))))
-    texts = F.transform(kept, lambda x: x[text]).alias("texts")
-    return ranked.groupBy(by).agg(texts, F.greatest(F.count("*") - cap, F.lit(0)).alias("omitted"))
+    seen = materialize(rows.groupBy(by, text).agg(F.min(pos).alias("_pos")), "texts")
+    # Each task passes on its own first ones only.
+    ranked = seen.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy("_pos", text))).filter(F.col("_n") <= cap)
+    kept = F.transform(F.array_sort(F.collect_list(F.struct("_n", text))), lambda x: x[text])
+    firsts = ranked.groupBy(F.col(by).alias("_by")).agg(kept.alias("texts"))
+    counts = seen.groupBy(by).agg(F.count("*").alias("_c"))
+    found = counts.join(firsts, F.col(by).eqNullSafe(F.col("_by")))
+    return found.select(by, "texts", F.greatest(F.col("_c") - cap, F.lit(0)).alias("omitted"))
 
 
 def top_with_rest(rows: DataFrame, name: str, value: str, top: int = 15) -> DataFrame:

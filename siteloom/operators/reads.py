@@ -243,8 +243,9 @@ def next_frontier(candidates: DataFrame, visited_urls: DataFrame, base: Column,
     own = keyed(candidates.filter(F.col("url").rlike("^https?://") & urls.is_in_scope(F.col("url"), base)))
     own = own.groupBy("clean", "shape").agg(F.min(F.struct("pos", "url")).alias("f")).select("clean", "shape", "f.*")
     own = own.join(seen, "clean", "left_anti").join(prior, "shape", "left")
-    rank = F.row_number().over(W.partitionBy("shape").orderBy("pos", "url")) + F.coalesce("_prior", F.lit(0))
-    return own.withColumn("_rank", rank).filter(F.col("_rank") <= per_shape).select("url", "clean", "shape", "pos")
+    # By the first limit each task passes on its own first ones only.
+    own = own.withColumn("_rank", F.row_number().over(W.partitionBy("shape").orderBy("pos", "url"))).filter(F.col("_rank") <= per_shape)
+    return own.filter(F.col("_rank") + F.coalesce("_prior", F.lit(0)) <= per_shape).select("url", "clean", "shape", "pos")
 
 
 def search_text(rows: DataFrame, words: list[str], limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:

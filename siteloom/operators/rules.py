@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteloom.functions import colors, labels
+from siteloom.functions import colors, labels, urls
 from siteloom.operators.ordered import numbered
 from siteloom.plans.shared import materialize
 
@@ -423,6 +423,20 @@ def landmark_findings(landmarks: DataFrame) -> DataFrame:
 # Flows
 
 
+def move_requests(interactions: DataFrame, requests: DataFrame) -> DataFrame:
+    """(from, to, path, event_seq, method, request_path, status, failed): the requests of each move, for ``flow_graph``.
+
+    A request belongs to the interaction of its control, visit and step; that led to the shape of the resulting
+    URL, so what one click of a control got stays apart from what the next one got. Interactions outside of visits have none.
+    """
+    led = interactions.filter("visit_id is not null and visit_id <> ''").select(
+        "page_url", "path", "visit_id", F.coalesce("step_seq", F.lit(0)).alias("step_seq"), urls.route_shape(F.coalesce("resulting_url", F.lit(""))).alias("to")
+    )
+    sent = requests.withColumn("step_seq", F.coalesce("step_seq", F.lit(0)))
+    found = sent.join(led.distinct(), ["page_url", "path", "visit_id", "step_seq"])
+    return found.select(F.col("page_url").alias("from"), "to", "path", "event_seq", "method", "request_path", "status", "failed")
+
+
 def flow_graph(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """Transitions (from, to, trigger, action) with the outcome of the requests behind them. A
     failure wins over an answer and that over nothing; otherwise the last edge wins."""

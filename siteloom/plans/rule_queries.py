@@ -245,11 +245,12 @@ def api_responses(spark, sf_dir):
     return rules.api_responses(rules.inferred_requests(_endpoint_requests(spark, sf_dir)))
 
 
-# Bodies of each order's priority: a key that some lack, objects in lists, lists in lists, five levels deep.
-@query("""WITH o AS (SELECT DISTINCT o_orderpriority AS endpoint_id FROM orders), m AS (SELECT o_orderpriority AS endpoint_id, bool_and(o_orderkey % 3 = 0) AS every, bool_or(o_orderkey % 3 = 0) AS noted FROM orders GROUP BY 1)
-    SELECT o.endpoint_id, json_path, type, CASE WHEN json_path = '$.note' THEN every ELSE true END AS required FROM o JOIN m USING (endpoint_id), (VALUES ('$.n', 'number'), ('$.note', 'string'), ('$.l', 'array'), ('$.l[]', 'object'), ('$.l[].k', 'string'),
-        ('$.m', 'array'), ('$.m[]', 'array'), ('$.m[][]', 'object'), ('$.m[][].x', 'boolean'), ('$.a', 'object'), ('$.a.b', 'object'), ('$.a.b.c', 'object'), ('$.a.b.c.d', 'object'), ('$.a.b.c.d.e', 'object'), ('$.a.b.c.d.e.f', 'number')) t(json_path, type)
-    WHERE json_path <> '$.note' OR noted""")
+# Bodies of each order's priority: keys that some lack, named after the order, on the first level, in lists and five levels deep.
+@query("""WITH o AS (SELECT o_orderpriority AS endpoint_id, o_orderkey % 3 = 0 AS noted, 's' || o_orderstatus AS s, 'x' || (o_custkey % 7) AS x, 'f' || (o_orderkey % 5) AS f FROM orders),
+    r AS (SELECT o.endpoint_id, t.json_path, t.type FROM o, (VALUES ('$.n', 'number'), ('$.l', 'array'), ('$.l[]', 'object'), ('$.m', 'array'), ('$.m[]', 'array'), ('$.m[][]', 'object'), ('$.a', 'object'), ('$.a.b', 'object'), ('$.a.b.c', 'object'), ('$.a.b.c.d', 'object'), ('$.a.b.c.d.e', 'object')) t(json_path, type)
+        UNION ALL SELECT endpoint_id, '$.note', 'string' FROM o WHERE noted UNION ALL SELECT endpoint_id, '$.l[].' || s, 'string' FROM o UNION ALL SELECT endpoint_id, '$.m[][].' || x, 'boolean' FROM o UNION ALL SELECT endpoint_id, '$.a.b.c.d.e.' || f, 'number' FROM o),
+    n AS (SELECT endpoint_id, count(*) AS n FROM o GROUP BY 1)
+    SELECT endpoint_id, json_path, type, count(*) = any_value(n) AS required FROM r JOIN n USING (endpoint_id) GROUP BY ALL""")
 def contract_fields(spark, sf_dir):
     return rules.contract_fields(_shapes(spark, sf_dir), ["endpoint_id"])
 
@@ -257,7 +258,7 @@ def contract_fields(spark, sf_dir):
 def _shapes(spark, sf_dir):
     key = F.col("o_orderkey").cast("string")
     note = F.when(F.col("o_orderkey") % 3 == 0, ', "note": "t"').otherwise("")
-    body = F.concat(F.lit('{"n": '), key, note, F.lit(', "l": [{"k": "v"}], "m": [[{"x": true}]], "a": {"b": {"c": {"d": {"e": {"f": '), key, F.lit("}}}}}}"))
+    body = F.concat(F.lit('{"n": '), key, note, F.lit(', "l": [{"s'), "o_orderstatus", F.lit('": "v"}, {"other": 1}], "m": [[{"x'), (F.col("o_custkey") % 7).cast("string"), F.lit('": true}]], "a": {"b": {"c": {"d": {"e": {"f'), (F.col("o_orderkey") % 5).cast("string"), F.lit('": '), key, F.lit("}}}}}}"))
     return d.read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("endpoint_id"), network.json_shape(body).alias("shape"))
 
 
@@ -341,9 +342,12 @@ def color_tokens(spark, sf_dir):
 # Graph and flows
 
 
-@query(f"""WITH {d.TREE}, x AS (SELECT src AS url, count(*) AS n FROM tr GROUP BY 1) SELECT n AS click_depth, count(*) AS pages FROM x GROUP BY 1""")
+# From the page of one region: its nations, their customers and their orders; all other pages can't be reached.
+@query(f"""WITH {d.TREE}, p AS (SELECT src AS id FROM tr UNION SELECT dst FROM tr), a AS (SELECT dst AS id FROM tr WHERE src = 'r1'), b AS (SELECT dst AS id FROM tr JOIN a ON a.id = src), c AS (SELECT dst AS id FROM tr JOIN b ON b.id = src),
+    x AS (SELECT 'r1' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM a UNION ALL SELECT id, 2 FROM b UNION ALL SELECT id, 3 FROM c) SELECT depth AS click_depth, count(*) AS pages FROM p LEFT JOIN x USING (id) GROUP BY 1""")
 def depth_histogram(spark, sf_dir):
-    return rules.depth_histogram(d.tree_edges(spark, sf_dir).groupBy(F.col("src").alias("url")).agg(F.count("*").alias("click_depth")))
+    depths = graph.click_depth(d.tree_edges(spark, sf_dir), "r1")
+    return rules.depth_histogram(depths.withColumnRenamed("depth", "click_depth"))
 
 
 @query(f"""WITH {d.TREE}, x AS (SELECT src AS url, count(*) AS n FROM tr GROUP BY 1) SELECT left(url, 1) AS label, url FROM x WHERE n > 15""")
@@ -384,6 +388,25 @@ def flow_graph(spark, sf_dir):
     return _flow(spark, sf_dir)
 
 
+# Clicks of one control that lead to several pages, and what each click got: all by visit and step.
+@query(f"""WITH {ACTS}, i AS (SELECT *, event_id % 5 AS m FROM (SELECT *, event_seq AS event_id FROM ia)), s AS (SELECT page_url AS f, path, 'out' || m AS t, event_seq AS k, CASE WHEN m = 0 THEN NULL WHEN m = 1 THEN 422 ELSE 200 + event_seq % 3 END AS status, m = 2 AND event_seq % 20 = 7 AS failed,
+        event_seq % 4 = 0 AS silent, ts FROM i),
+    w AS (SELECT f, t, path, arg_min(struct_pack(status := status, bad := coalesce(failed OR status >= 400, false), k := k), struct_pack(r := CASE WHEN failed OR status >= 400 THEN 0 WHEN status IS NOT NULL THEN 1 ELSE 2 END, k := k)) AS r FROM s WHERE NOT silent GROUP BY ALL),
+    e AS (SELECT DISTINCT f, t, path FROM s)
+    SELECT e.f AS "from", e.t AS "to", e.path AS trigger, CASE WHEN r.bad THEN 'error' WHEN r.status IS NOT NULL THEN 'ok' ELSE 'unknown' END AS outcome, r.status::BIGINT AS status, CASE WHEN r IS NOT NULL THEN 'POST /' || r.k END AS endpoint
+    FROM e LEFT JOIN w ON w.f = e.f AND w.t = e.t AND w.path = e.path""")
+def move_outcomes(spark, sf_dir):
+    m = F.col("event_seq") % 5
+    acts = interactions(spark, sf_dir).withColumn("resulting_url", F.concat(F.lit("https://out"), m.cast("string"), F.lit("/")))
+    edges = acts.groupBy(F.col("page_url").alias("from"), urls.route_shape(F.col("resulting_url")).alias("to"), "path").agg(F.min("event_seq").alias("event_seq"))
+    sent = acts.filter("event_seq % 4 <> 0").select(
+        "page_url", "path", "visit_id", "step_seq", "event_seq", F.lit("POST").alias("method"), F.concat(F.lit("/"), F.col("event_seq").cast("string")).alias("request_path"),
+        F.when(m == 1, 422).when(m > 1, 200 + F.col("event_seq") % 3).cast("long").alias("status"), ((m == 2) & (F.col("event_seq") % 20 == 7)).alias("failed"),
+    )
+    told = edges.select("*", F.lit("").alias("text"), F.col("path").alias("component_type"), F.lit("CLICK").alias("action"))
+    return rules.flow_graph(told, rules.move_requests(acts, sent)).select("from", "to", "trigger", "outcome", "status", "endpoint")
+
+
 @query(f"""WITH {FLOWS} SELECT src AS "from", dst AS "to", trigger, b.status AS status FROM fg WHERE b.outcome = 'error'""")
 def error_branches(spark, sf_dir):
     return rules.error_branches(_flow(spark, sf_dir)).select("from", "to", "trigger", "status")
