@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteloom.plans.shared import discard, materialize
+from siteloom.plans.shared import Levels, discard, materialize
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -58,16 +58,13 @@ def reachable(edges: DataFrame, start: str, max_hops: int = 6) -> DataFrame:
 def click_depth(edges: DataFrame, root: str) -> DataFrame:
     """(id, depth): shortest number of steps from the root, null where there is none."""
     e = materialize(simple_edges(edges), "edges")
-    known = materialize(vertices(e).filter(F.col("id") == root).withColumn("depth", F.lit(0)), "depths")
-    frontier = known
+    known = Levels(e.sparkSession, "depths")
+    frontier = known.add(vertices(e).filter(F.col("id") == root).withColumn("depth", F.lit(0)), 0)
     for depth in count(1):
         step = e.join(frontier.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = materialize(step.join(known, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        frontier = known.add(step.join(known.all(), "id", "left_anti").withColumn("depth", F.lit(depth)), depth)
         if frontier.isEmpty():
-            break
-        known, before = materialize(known.unionByName(frontier), "depths"), known
-        discard(before)
-    return vertices(e).join(known, "id", "left")
+            return vertices(e).join(known.all(), "id", "left")
 
 
 def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
@@ -203,17 +200,15 @@ def betweenness(edges: DataFrame, batch: int = 256, sources: int | None = None)
     total = None
     for k in range(batches):
         level = dealt.filter(F.col("_b") == k).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma"))
-        level = materialize(level, "sweep")
-        levels, seen = [level], level.select("s", "v")
+        seen = Levels(e.sparkSession, "sweep")
+        level = seen.add(level, 0)
+        levels = [level]
         while True:
             step = level.join(e, level.v == e.src).groupBy("s", F.col("dst").alias("v")).agg(F.sum("sigma").alias("sigma"))
-            level = materialize(step.join(seen, ["s", "v"], "left_anti"), "sweep")
+            level = seen.add(step.join(seen.all().select("s", "v"), ["s", "v"], "left_anti"), len(levels))
             if level.isEmpty():
                 break
             levels.append(level)
-            seen, before = materialize(seen.unionByName(level.select("s", "v")), "seen"), seen
-            if len(levels) > 2:  # the first one is the first level's
-                discard(before)
         below = None
         for level in reversed(levels):
             if below is None:
@@ -226,7 +221,7 @@ def betweenness(edges: DataFrame, batch: int = 256, sources: int | None = None)
             part = below.filter("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("d"))
             total = part if total is None else total.unionByName(part)
         total = materialize(total.groupBy("id").agg(F.sum("d").alias("d")), "betweenness")
-        discard(*levels)
+        discard(seen)
     scale = share / ((n - 1) * (n - 2)) if n > 2 else 1.0
     if total is None:
         return nodes.withColumn("betweenness", F.lit(0.0))
@@ -250,15 +245,15 @@ def articulation_points(edges: DataFrame) -> DataFrame:
     if both.isEmpty():
         return vertices(edges).limit(0)
     roots = components(both).select(F.col("root").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).distinct()
-    level = materialize(roots, "level")
-    levels, seen = [level], level.select("id")
+    seen = Levels(both.sparkSession, "level")
+    level = seen.add(roots, 0)
+    levels = [level]
     for depth in count(1):
         step = both.join(level.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        level = materialize(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        level = seen.add(step.join(seen.all().select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), depth)
         if level.isEmpty():
             break
         levels.append(level)
-        seen = materialize(seen.unionByName(level.select("id")), "seen")
     # Sizes from the deepest level up, then first numbers from the roots down.
     sizes, below = [], None
     for level in reversed(levels):
@@ -436,6 +431,16 @@ def modules(edges: DataFrame, seed: int = 42, tolerance: float = 1e-4) -> DataFr
             return members
 
 
+def graph_bundle(edges: DataFrame, root: str, longest: int = 4, most: int = 50) -> dict[str, DataFrame]:
+    """What a graph is told by: ``pages``, all vertex measures with the label of each module, and ``cycles``, the
+    first ``most`` of at most ``longest`` vertices."""
+    from siteloom.operators.rules import module_label
+
+    pages = project_graph(edges, root)
+    named = module_label(pages.select("module", F.col("id").alias("url"))).withColumnRenamed("label", "module_label")
+    return {"pages": pages.join(named, "module", "left").orderBy("id"), "cycles": simple_cycles(edges, longest, most)}
+
+
 def project_graph(edges: DataFrame, root: str) -> DataFrame:
     """All vertex measures in one row per vertex, by id."""
     e = materialize(simple_edges(edges), "edges")

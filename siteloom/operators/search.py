@@ -50,7 +50,9 @@ def build_index(rows: DataFrame, table: str, path: str) -> None:
     blocks.repartition("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{table}/postings")
     stored = rows.sparkSession.read.schema(blocks.schema).parquet(f"{path}/{table}/postings")
     stored.groupBy("bucket", "term").agg(F.max("upto").alias("df")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{table}/terms")
-    totals.write.mode("overwrite").parquet(f"{path}/{table}/totals")
+    # A null id beside the totals tells its type.
+    kind = rows.schema["id"].dataType
+    totals.withColumn("id", F.lit(None).cast(kind)).write.mode("overwrite").parquet(f"{path}/{table}/totals")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -63,9 +65,11 @@ def kept_blocks(spark: SparkSession, path: str, table: str, words: list[str], li
     """(term, idf, top, postings) of the blocks that can hold a document of the result."""
     asked = sorted({x.lower() for x in words})
     buckets = [x[0] for x in spark.createDataFrame([(x,) for x in asked], "term string").select(_bucket(F.col("term"))).distinct().collect()]
-    own = lambda part: spark.read.parquet(f"{path}/{table}/{part}").filter(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
+    totals = spark.read.parquet(f"{path}/{table}/totals")
+    kinds = {"terms": "term string, df long, bucket int", "postings": f"term string, block long, top double, postings array<struct<id:{totals.schema['id'].dataType.simpleString()},w:double>>, bucket int"}
+    own = lambda part: spark.read.schema(kinds[part]).parquet(f"{path}/{table}/{part}").filter(F.col("bucket").isin(buckets) & F.col("term").isin(asked))
     n, df = F.col("n"), F.col("df")
-    idf = own("terms").crossJoin(F.broadcast(spark.read.parquet(f"{path}/{table}/totals"))).select("term", F.ln(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+    idf = own("terms").crossJoin(F.broadcast(totals.select("n"))).select("term", F.ln(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
     idf = F.broadcast(materialize(idf, "search-idf"))  # one row a word of the query
     blocks = own("postings").join(idf, "term")
     tops = {x.term: x.top for x in blocks.filter("block = 0").select("term", (F.col("top") * F.col("idf")).alias("top")).collect()}

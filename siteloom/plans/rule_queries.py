@@ -358,12 +358,15 @@ def bottlenecks(spark, sf_dir):
 
 
 # Each nation's customers link to it, so all measures of the stars are known.
-@query("""WITH c AS (SELECT 'n' || c_nationkey AS hub, 'c' || c_custkey AS id FROM customer), n AS (SELECT hub, count(*) AS n FROM c GROUP BY 1)
-    SELECT hub AS id, 0 AS in_degree, n AS out_degree, CASE WHEN hub = 'n1' THEN 0 END AS depth, 0.0::DOUBLE AS betweenness, n > 1 AS is_articulation_point FROM n
-    UNION ALL SELECT id, 1, 0, CASE WHEN hub = 'n1' THEN 1 END, 0.0, false FROM c""")
+@query("""WITH c AS (SELECT 'h.org/n' || c_nationkey AS hub, 'h.org/n' || c_nationkey || '/c' || c_custkey AS id, 'N' || c_nationkey AS label FROM customer), n AS (SELECT hub, label, count(*) AS n FROM c GROUP BY ALL)
+    SELECT hub AS id, 0 AS in_degree, n AS out_degree, CASE WHEN label = 'N1' THEN 0 END AS depth, 0.0::DOUBLE AS betweenness, n > 1 AS is_articulation_point, label AS module_label FROM n
+    UNION ALL SELECT id, 1, 0, CASE WHEN label = 'N1' THEN 1 END, 0.0, false, label FROM c""")
 def graph_projection(spark, sf_dir):
-    found = graph.project_graph(d.star_edges(spark, sf_dir), "n1")
-    return found.select("id", "in_degree", "out_degree", "depth", "betweenness", "is_articulation_point")
+    """All measures of the pages of each nation, and the label of their module, the path they have in common."""
+    hub = F.concat(F.lit("h.org/"), "src")
+    edges = d.star_edges(spark, sf_dir).select(hub.alias("src"), F.concat(hub, F.lit("/"), "dst").alias("dst"))
+    found = graph.graph_bundle(edges, "h.org/n1")["pages"]
+    return found.select("id", "in_degree", "out_degree", "depth", "betweenness", "is_articulation_point", "module_label")
 
 
 FLOWS = CALLS + """, ed AS (SELECT 'p' || (o_custkey % 9) AS src, 'q' || (o_custkey % 4) AS dst, 'c' || (o_custkey % 5) AS path, o_orderpriority AS text, 'CLICK' AS action, event_seq AS k, event_seq % 2 = 0 AS edge,

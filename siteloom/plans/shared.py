@@ -11,9 +11,13 @@ SHARED_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset, a temporary folder if the session runs in one
+    process; on a cluster, whose machines don't share such a folder, it is an error."""
     found = spark.conf.get(SHARED_DIR, None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {SHARED_DIR} to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set(SHARED_DIR, found)
     return found.rstrip("/")
@@ -32,8 +36,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
-def discard(*stored: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing will read any more, as those of an earlier round."""
+class Levels:
+    """A table that grows by levels, each stored once as a folder of it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, shared_path(spark, name)
+        self.stored_at, self.schema = self.path, None
+
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.spark
+
+    def add(self, df: DataFrame, level: int) -> DataFrame:
+        """Store a level; returns it as stored."""
+        self.schema = df.schema
+        path = f"{self.path}/level={level}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """The levels so far."""
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(self.path).select(*self.schema.names)
+
+
+def discard(*stored: DataFrame | Levels) -> None:
+    """Delete tables of ``materialize`` and levels that nothing will read any more, as those of an earlier round."""
     for df in stored:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
