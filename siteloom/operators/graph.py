@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siteloom.operators import cuts
+from siteloom.operators.components import connected_components
+from siteloom.operators.ordered import numbered
 from siteloom.plans.shared import Levels, discard, materialize
 
 
@@ -95,22 +98,26 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
     return state.select("id", "rank")
 
 
+def _numbers(nodes: DataFrame) -> DataFrame:
+    """(id, n), stored: whole numbers in the order of the ids."""
+    return materialize(numbered(nodes, [], [F.col("id")]), "numbers")
+
+
+def _by_number(edges: DataFrame, nodes: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b) with the numbers of their ids."""
+    for c in (a, b):
+        own = nodes.select(F.col("id").alias(c), F.col("n").alias("_n"))
+        edges = edges.join(own, c).drop(c).withColumnRenamed("_n", c)
+    return edges.select(a, b)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of the undirected graph; the root is the smallest id. Labels fall to the smallest
-    neighbouring label and then to that label's own label, until nothing changes."""
-    e = simple_edges(edges)
-    both = materialize(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "both")
-    labels, stored = materialize(vertices(e).withColumn("root", F.col("id")), "labels"), None
-    while True:
-        near = both.join(labels, both.dst == labels.id).groupBy(F.col("src").alias("id")).agg(F.min("root").alias("low"))
-        lowered = labels.join(near, "id", "left").select("id", F.least("root", "low").alias("root"), F.col("root").alias("old"))
-        own = lowered.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        jumped = lowered.join(own, "root").select("id", F.col("next").alias("root"), "old")
-        jumped = materialize(jumped, "labels")
-        if not jumped.filter("root <> old").limit(1).count():
-            return jumped.select("id", "root")
-        discard(labels if stored is None else stored)
-        labels, stored = jumped.drop("old"), jumped
+    """(id, root) of the undirected graph; the root is the smallest id."""
+    nodes = _numbers(vertices(simple_edges(edges)))
+    found = connected_components(_by_number(_undirected(edges), nodes, "a", "b"))
+    roots = nodes.select(F.col("id").alias("root"), F.col("n").alias("root_n"))
+    own = nodes.join(found.withColumnRenamed("root", "root_n"), nodes.n == found.node, "left").select("id", F.coalesce("root_n", "n").alias("root_n"))
+    return own.join(roots, "root_n").select("id", "root")
 
 
 def ancestors(contains: DataFrame, start: DataFrame, max_hops: int = 8) -> DataFrame:
@@ -234,78 +241,14 @@ def _undirected(edges: DataFrame) -> DataFrame:
 
 
 def articulation_points(edges: DataFrame) -> DataFrame:
-    """Vertices whose removal splits their component (Tarjan and Vishkin).
-
-    A breadth-first forest is numbered in pre-order from subtree sizes, low and high are the extreme
-    numbers that a subtree touches, tree edges that lie in one block are joined, and a vertex
-    with edges of two blocks is a cut vertex.
-    """
-    pairs = materialize(_undirected(edges), "pairs")
-    both = materialize(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(pairs.select("b", "a")), "both")
-    if both.isEmpty():
-        return vertices(edges).limit(0)
-    roots = components(both).select(F.col("root").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")).distinct()
-    seen = Levels(both.sparkSession, "level")
-    level = seen.add(roots, 0)
-    levels = [level]
-    for depth in count(1):
-        step = both.join(level.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        level = seen.add(step.join(seen.all().select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), depth)
-        if level.isEmpty():
-            break
-        levels.append(level)
-    # Sizes from the deepest level up, then first numbers from the roots down.
-    sizes, below = [], None
-    for level in reversed(levels):
-        if below is None:
-            now = level.withColumn("size", F.lit(1))
-        else:
-            got = below.groupBy(F.col("parent").alias("id")).agg(F.sum("size").alias("s"))
-            now = level.join(got, "id", "left").withColumn("size", (F.coalesce("s", F.lit(0)) + 1).cast("int")).drop("s")
-        below = materialize(now, "sizes")
-        sizes.insert(0, below)
-    before = lambda by: F.coalesce(F.sum("size").over(by.orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    # One row a component; each numbers its own tree from 0.
-    numbered = [materialize(sizes[0].withColumn("pre", F.lit(0).cast("long")).withColumn("tree", F.col("id")), "numbers")]
-    for level in sizes[1:]:
-        up = numbered[-1].select(F.col("id").alias("parent"), F.col("pre").alias("_p"), "tree")
-        own = level.join(up, "parent").withColumn("pre", (F.col("_p") + 1 + before(W.partitionBy("parent"))).cast("long")).drop("_p")
-        numbered.append(materialize(own.select("id", "parent", "depth", "size", "pre", "tree"), "numbers"))
-    tree = numbered[0].select("id", "parent", "depth", "size", "pre", "tree")
-    for level in numbered[1:]:
-        tree = tree.unionByName(level)
-    tree = materialize(tree, "tree")
-    num = tree.select("id", "pre", "parent", "size", "tree")
-    x, y = (num.select(*(F.col(c).alias(f"{p}_{c}") for c in num.columns)) for p in "xy")
-    other = both.join(x, both.src == x.x_id).join(y, both.dst == y.y_id)
-    other = other.filter("not (x_parent <=> dst) and not (y_parent <=> src)")
-    other = materialize(other, "other")
-    touch = other.groupBy(F.col("src").alias("id")).agg(F.min("y_pre").alias("lo"), F.max("y_pre").alias("hi"))
-    below, extremes = None, None
-    for level in reversed(numbered):
-        now = level.join(touch, "id", "left").select(
-            "id", "parent", "pre", "size", F.least("pre", F.coalesce("lo", "pre")).alias("low"), F.greatest("pre", F.coalesce("hi", "pre")).alias("high")
-        )
-        if below is not None:
-            got = below.groupBy(F.col("parent").alias("id")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
-            now = now.join(got, "id", "left").select(
-                "id", "parent", "pre", "size", F.least("low", F.coalesce("l", "low")).alias("low"), F.greatest("high", F.coalesce("h", "high")).alias("high")
-            )
-        below = materialize(now, "extremes")
-        extremes = below if extremes is None else extremes.unionByName(below)
-    # A tree edge is named by its lower end. Edges of unrelated vertices join, and so does an edge
-    # with the one above it if the subtree reaches outside of the upper vertex's own subtree.
-    unrelated = other.filter("x_pre + x_size <= y_pre").select(F.col("src"), F.col("dst"))
-    inner = extremes.select("id", "parent", "low", "high").join(
-        num.select(F.col("id").alias("parent"), F.col("pre").alias("p_pre"), F.col("size").alias("p_size"), F.col("parent").alias("grand")), "parent"
-    )
-    above = inner.filter("grand is not null and (low < p_pre or high >= p_pre + p_size)").select(F.col("id").alias("src"), F.col("parent").alias("dst"))
-    named = tree.filter("parent is not null").select("id", "parent")
-    loops = named.select(F.col("id").alias("src"), F.col("id").alias("dst"))
-    blocks = components(unrelated.unionByName(above).unionByName(loops)).select(F.col("id"), F.col("root").alias("block"))
-    sides = named.join(blocks, "id")
-    sides = sides.select("id", "block").union(sides.select("parent", "block")).distinct()
-    return sides.groupBy("id").agg(F.count("*").alias("blocks")).filter("blocks > 1").select("id")
+    """Vertices whose removal splits their component, found in rounds that grow with the logarithm of the graph."""
+    pairs = _undirected(edges)
+    nodes = _numbers(vertices(simple_edges(edges)))
+    pairs = materialize(_by_number(pairs, nodes, "a", "b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), "pairs")
+    if pairs.isEmpty():
+        return nodes.select("id").limit(0)
+    found = cuts.cut_vertices(pairs).select(F.col("id").alias("n"))
+    return nodes.join(found, "n").select("id")
 
 
 def _moves(both: DataFrame, state: DataFrame, mass: float, turn: Column) -> DataFrame:
