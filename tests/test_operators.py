@@ -413,6 +413,21 @@ def test_graph_queries_use_every_edge(spark, sf_dir):
     assert some.keys() == want.keys() and all(abs(some[v] - want[v]) < 0.05 for v in want)
 
 
+def test_betweenness_until_bounds_are_narrow(spark, monkeypatch):
+    # Two hubs of 150 vertices each, joined by a vertex in the middle; part of the sources is enough for a wide bound only.
+    edges = [(f"v{i}", f"h{i % 2}") for i in range(300)] + [(f"h{i % 2}", f"v{i}") for i in range(300)] + [(a, b) for h in ("h0", "h1") for a, b in ((h, "mid"), ("mid", h))]
+    df, seen = spark.createDataFrame(edges, "src string, dst string"), []
+    plain = graph._widest
+    monkeypatch.setattr(graph, "_widest", lambda total, n, k, chance: seen.append((k, plain(total, n, k, chance))) or seen[-1][1])
+    want = _brute_betweenness(set(edges))
+    got = {x.id: x.betweenness for x in graph.betweenness(df, batch=38, error=0.6).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) <= 0.6 for v in want)
+    assert seen[-1][1] <= 0.6 and seen[-1][0] < len(want) and all(bound > 0.6 for _, bound in seen[:-1])
+    assert abs(got["mid"] - want["mid"]) < 0.1
+    whole = {x.id: x.betweenness for x in graph.betweenness(df, batch=152, error=1e-3).collect()}
+    assert all(abs(whole[v] - want[v]) < 1e-8 for v in want)
+
+
 def test_first_cycles_by_small_beams(spark):
     edges = random_edges(7, 26, 9)
     df = spark.createDataFrame(edges, "src string, dst string")
