@@ -4,8 +4,11 @@ The cache is a table in shared storage with a folder per tokenizer version, of r
 The digest is that of a text's content, null being the empty text. A tokenizer's own file tells whether it would
 normalise further; what it does to a text it does to all texts of that digest.
 
-1. The digests of all texts are made distinct, with map-side combining, so copies cost one row a task.
-2. Those that the version's folder lacks are misses. Of each miss one text is encoded.
+1. The digests of all texts are made distinct, with map-side combining, so copies cost one row a task. Each keeps the
+   smallest id of its rows.
+2. Those that the version's folder lacks are misses. Of each miss one text is encoded: where the misses can be sent to all
+   workers, texts of the smallest id are encoded where they lie, and whole texts aren't shuffled. Rows that repeat both id and
+   text, which nothing tells apart, cost one encoding a task. Beyond that, texts are made distinct by a shuffle.
 3. The counts are appended to the folder, and every row takes its count from there.
 
 A digest that two runs append at once lies there twice with the same count, and is read once.
@@ -95,10 +98,15 @@ def counter(model: str):
 
 def _encoded(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model)
+        count, seen = counter(model), set()
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
-            counts = count(batch["content"].to_pylist())
-            yield pa.record_batch({"digest": batch["digest"], "n_tokens": pa.array(counts, pa.int64())})
+            new = {}
+            for i, x in enumerate(batch["digest"].to_pylist()):
+                if x not in seen:
+                    new.setdefault(x, i)
+            seen.update(new)
+            counts = count(batch["content"].take(pa.array(list(new.values()), pa.int64())).to_pylist())
+            yield pa.record_batch({"digest": pa.array(list(new), pa.binary()), "n_tokens": pa.array(counts, pa.int64())})
 
     return run
 
@@ -130,16 +138,17 @@ def count_tokens(docs: DataFrame, model: str, cache: str, *, id: str = "doc_id",
     spark = docs.sparkSession
     folder = f"{cache.rstrip('/')}/tokenizer={version(model)}"
     rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), digest(text).alias("digest"))
-    wanted = common.materialize(rows.select("digest").distinct(), "token-digests")
+    wanted = common.materialize(rows.groupBy("digest").agg(F.min("_id").alias("first")), "token-digests")
     misses = common.materialize(wanted.join(cached(spark, folder), "digest", "left_anti"), "token-misses")
     if not misses.isEmpty():
-        texts = docs.select(digest(text).alias("digest"), content(text).alias("content"))
+        texts = docs.select(digest(text).alias("digest"), F.col(id).alias("_id"), content(text).alias("content"))
         few = common.broadcast_if_small(misses)
         if few is not misses:
-            texts = texts.join(few, "digest", "left_semi").dropDuplicates(["digest"])
+            first = (texts["digest"] == few["digest"]) & texts["_id"].eqNullSafe(few["first"])
+            texts = texts.join(few, first, "left_semi")
         else:
             texts = texts.dropDuplicates(["digest"]).join(misses, "digest", "left_semi")
-        texts.mapInArrow(_encoded(model), CACHE).write.mode("append").parquet(folder)
+        texts.select("digest", "content").mapInArrow(_encoded(model), CACHE).write.mode("append").parquet(folder)
     counts = common.materialize(cached(spark, folder).join(wanted, "digest", "left_semi"), "token-counts")
     found = rows.join(common.broadcast_if_small(counts), "digest", "left")
     return found.select(F.col("_id").alias(id), "n_bytes", "n_tokens")

@@ -203,6 +203,20 @@ def test_only_misses_are_encoded(spark, docs, no_docs, tmp_path, monkeypatch, sm
     assert token_cache.count_tokens(no_docs, queries.PIECES, cache).count() == 0
 
 
+@pytest.mark.parametrize("size", [common.BROADCAST_BYTES, 0])
+def test_misses_are_encoded_once_whether_sent_or_shuffled(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", size)
+    texts = ["the same words", None, "", "other words", "the same words", "été"]
+    given = [(i % 7 if i % 3 else None, texts[i % len(texts)]) for i in range(60)] + [(1, "only once")]
+    rows = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    cache = f"file://{tmp_path}/cache"
+    got = sorted(((x.doc_id, x.n_tokens) for x in token_cache.count_tokens(rows, queries.PIECES, cache).collect()), key=str)
+    assert got == sorted(((i, _count(t)) for i, t in given), key=str)
+    # Equal rows in several tasks may be encoded by each, anything else once.
+    stored = spark.read.parquet(f"{cache}/tokenizer={token_cache.version(queries.PIECES)}")
+    assert stored.select("digest").distinct().count() == 5 and stored.count() <= 5 * 3
+
+
 def test_long_texts_are_cut_where_no_token_crosses(monkeypatch):
     assert token_cache._can_cut(queries.PIECES)
     rng = random.Random(7)
