@@ -33,3 +33,8 @@ def _events(values):
 def test_backoff_state_where_the_fastest_took_no_time(tables):
     got, want = tables("backoff_state", events=_events([3, 0, 9, 5]))
     assert got == want == [(1, 0.0, 0.0, False)]
+
+
+def test_stream_slowdown_where_the_fastest_took_no_time(tables):
+    got, want = tables("stream_slowdown", events=_events([3, 0, 9, 5]))
+    assert got == want == [("1", 1, 1.0, 0.0, False), ("1", 2, 1.0, 0.0, False), ("1", 3, 1.0, 0.0, False), ("1", 4, 1.0, 0.0, False)]
