@@ -38,3 +38,9 @@ def test_backoff_state_where_the_fastest_took_no_time(tables):
 def test_stream_slowdown_where_the_fastest_took_no_time(tables):
     got, want = tables("stream_slowdown", events=_events([3, 0, 9, 5]))
     assert got == want == [("1", 1, 1.0, 0.0, False), ("1", 2, 1.0, 0.0, False), ("1", 3, 1.0, 0.0, False), ("1", 4, 1.0, 0.0, False)]
+
+
+def test_page_meta_of_references_without_semicolon(tables):
+    html = "<h1>a &amp;&copy b &amp;amp &ampx &am ver&amp</h1><a href=/x>y</a><meta name=k content=v>"
+    got, want = tables("page_meta", pages=([(1, "https://h.org/", html)], "page_id long, url string, html string"))
+    assert got == want == [(1, "a &© b &amp &x &am ver&", 1, 1)]
