@@ -464,3 +464,13 @@ def test_breadth_first_loops_have_no_bound():
     for run in (graph.click_depth, graph.betweenness, graph.articulation_points):
         assert "max_rounds" not in inspect.signature(run).parameters
         assert "max_rounds" not in inspect.getsource(run)
+
+
+def test_nested_entities_tell_sources_once_a_name(spark):
+    """A name that many fields of a form share doesn't repeat its sources with each of them."""
+    schema = "page_url string, form string, name string, label string, placeholder string, component_type string, input_type string, required boolean, path string"
+    fields = spark.createDataFrame([("p", "form#f", f"n{i % 2}", "", "", "text field (text)", "", False, f"p{i}") for i in range(6)], schema)
+    got = rules.nested_entities(rules.entity_tables(rules.entities(fields), "r", "g")).collect()
+    assert [x.field for x in got[0].fields] == ["n0"] * 3 + ["n1"] * 3
+    assert [tuple(x) for x in got[0].sources] == [("n0", ["p0", "p2", "p4"]), ("n1", ["p1", "p3", "p5"])]
+    assert got[0].derived_from == [f"p{i}" for i in range(6)]
