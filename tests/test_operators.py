@@ -474,3 +474,28 @@ def test_nested_entities_tell_sources_once_a_name(spark):
     assert [x.field for x in got[0].fields] == ["n0"] * 3 + ["n1"] * 3
     assert [tuple(x) for x in got[0].sources] == [("n0", ["p0", "p2", "p4"]), ("n1", ["p1", "p3", "p5"])]
     assert got[0].derived_from == [f"p{i}" for i in range(6)]
+
+
+def test_cycles_where_beams_leave_the_search_open(spark):
+    """Long rings with chords have many paths and no short cycle; edges on no short closed walk go, and the rest is searched."""
+    rings = [(f"a{r:02d}{i:02d}", f"a{r:02d}{(i + d) % 30:02d}") for r in range(3) for i in range(30) for d in (1, 2)]
+    edges = spark.createDataFrame([*rings, ("b1", "b2"), ("b2", "b3"), ("b3", "b1"), ("b2", "b1")], "src string, dst string")
+    assert {tuple(x) for x in graph._on_short_walks(edges, 8).collect()} == {("b1", "b2"), ("b2", "b3"), ("b3", "b1"), ("b2", "b1")}
+    got = graph.simple_cycles(edges, 8, beam=4, patience=2)
+    assert [x.cycle for x in got.orderBy("cycle").collect()] == [["b1", "b2"], ["b1", "b2", "b3"]]
+
+
+def test_sweeps_start_where_there_is_a_way_out(spark, monkeypatch):
+    """Leaves of a star are no sources: one sweep in place of one for each batch of leaves."""
+    sweeps = []
+    monkeypatch.setattr(graph, "Levels", lambda *a, own=graph.Levels: sweeps.append(a) or own(*a))
+    edges = spark.createDataFrame([("h", f"l{i}") for i in range(9)] + [("r", "h")], "src string, dst string")
+    got = {x.id: x.betweenness for x in graph.betweenness(edges, batch=2).collect()}
+    assert got.pop("h") == pytest.approx(9 / 90) and set(got.values()) == {0.0}
+    assert len(sweeps) == 1
+
+
+def test_contract_fields_of_shapes_that_are_given_many_times(spark):
+    shapes = spark.createDataFrame([("e", '{"a": "number"}')] * 3 + [("e", '{"a": "number", "b": ["string"]}')] * 2 + [("e", '{"b": []}')], "id string, shape string")
+    got = sorted(tuple(x) for x in rules.contract_fields(shapes, ["id"]).collect())
+    assert got == [("e", "$.a", "number", False), ("e", "$.b", "array", False), ("e", "$.b[]", "string", False)]
