@@ -133,3 +133,23 @@ def test_field_rules(spark):
     got = values(spark, [("12,5",), ("+",), ("a1",), (None,)], "t string", labels.looks_numeric(F.col("t")), labels.fold_accents(F.col("t")))
     assert [x[0] for x in got] == [True, False, False, False]
     assert values(spark, [("a > b > c",), ("a",)], "p string", labels.parent_path(F.col("p"))) == [("a > b",), ("",)]
+
+
+def test_excerpts_end_before_a_character_that_the_cut_would_split(spark):
+    most = network.EXCERPT_BYTES
+    given = ["a" * (most - k) + c * 3 for c in ("é", "€", "🙂") for k in range(5)] + ["b" * most]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, text string")
+    plan = rows.select("i", network.byte_excerpt(F.col("text")).alias("x"))
+    assert [x.x for x in plan.orderBy("i").collect()] == [x.encode()[:most].decode(errors="ignore") for x in given]
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_parsed_a_few_at_a_time():
+    import pyarrow as pa
+
+    from siteloom.sources import html
+
+    batch = pa.record_batch({"page_id": list(range(250)), "url": ["u"] * 250, "html": ["<a href=x>y</a>"] * 250})
+    made = list(html._parse(("links",))(iter([batch])))
+    assert [len(x) for x in made] == [100, 100, 50]
+    assert [x for y in made for x in y["page_id"].to_pylist()] == list(range(250))
