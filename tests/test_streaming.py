@@ -57,6 +57,20 @@ def test_visits_end_whole_late_lost_and_repeated(spark):
     assert {x[0] for x in told[1]} == {"whole", "turned"}
 
 
+def test_visits_of_one_bucket_end_each_by_itself(spark):
+    batches = [
+        [("a", 1, False, 0), ("b", 1, False, 10), ("c", 2, True, 0)],
+        [("d", 1, False, 40)],  # event time passes a and c, not b
+        [("e", 1, False, 41)],
+        [("b", 2, True, 29), ("b", 1, False, 10), ("d", 2, False, 41)],
+        [("end", 1, True, 500)],
+        [("end", 1, True, 501)],
+    ]
+    told = _told(spark, live.visit_traces(_steps(spark, batches), timeout_minutes=20, delay="15 minutes", buckets=1))
+    flat = sorted((v, [s.step_seq for s in steps], n, done) for rows in told for v, steps, n, done in rows)
+    assert flat == [("a", [1], 1, False), ("b", [1, 2], 2, True), ("c", [2], 1, False), ("d", [1, 2], 2, False), ("e", [1], 1, False), ("end", [1], 1, True)]
+
+
 def _frontier(spark, batches, schema="url string, pos long", **given):
     out = shared_path(spark, "frontier")
     live.live_frontier(_stream(spark, batches, schema), F.lit("https://a.org"), out, shared_path(spark, "c"), **given)
