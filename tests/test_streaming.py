@@ -1,5 +1,6 @@
 """Streams with keyed state over several batches, and the kept state of folds."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,17 @@ def test_frontier_counts_visits_before_and_meanwhile(spark):
     assert got == [(0, clean(3)), (1, clean(4))]
 
 
+def test_frontier_reduces_rows_before_its_state():
+    rows = [{"shape": f"s{i % 2}", "clean": f"c{i % 20}", "url": f"u{i % 20}", "pos": 1000 - i, "visited": False} for i in range(1000)]
+    rows += [{"shape": "s0", "clean": "c0", "url": "u0", "pos": None, "visited": True}] * 50
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=100)
+    found = [x for batch in live._first_links(3)(iter(batches)) for x in batch.to_pylist()]
+    assert sorted((x["shape"], x["clean"], x["pos"]) for x in found if not x["visited"]) == [
+        ("s0", "c14", 6), ("s0", "c16", 4), ("s0", "c18", 2), ("s1", "c15", 5), ("s1", "c17", 3), ("s1", "c19", 1),
+    ]
+    assert [(x["clean"], x["pos"]) for x in found if x["visited"]] == [("c0", None)]
+
+
 def test_slowdown_over_batches_and_repeated_deliveries(spark):
     schema = "crawl_id string, seq long, elapsed_seconds double"
     rows = [("c", i, 1.0 + (i * 7) % 5) for i in range(20)]
