@@ -36,6 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts with a five-word similarity of 0.8 or more stays, that with the smallest id.
 
+    Candidates are texts whose SimHash fingerprints meet in balls and, for similarities that lie beyond these, min-wise keys.
     Of rows that share this id all stay, and so do rows without an id, which can't be told apart.
     """
     found = near_text.near_duplicates(docs)
@@ -64,7 +65,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: Kneser-Ney models, min-wise hashing and BPE aren't SQL.
+#: Kneser-Ney models, SimHash, min-wise hashing and BPE aren't SQL.
 ORACLE_SQL = None
 
 

@@ -1,8 +1,12 @@
 """Near-duplicates by the Jaccard similarity of five-word shingle sets.
 
-Candidates come from min-wise hashing: 24 keys a text, each over four minima. A pair of similarity
-0.8 shares no key with chance (1 - 0.8^4)^24, about 3 in a million, and less above.
-Every candidate is verified on the whole shingle sets.
+Candidates come from SimHash: fingerprints of the shingle sets that differ in at most 3 of 64 bits meet in the balls
+of ``simhash``, and each of their components is a key that its texts share. Every candidate is verified on the whole
+shingle sets.
+
+A pair of similarity 0.8 differs in about 10 bits, too far for balls. Such pairs get min-wise keys beside the
+fingerprint's: 24 a text, each over four minima. A pair of similarity 0.8 shares none of these with
+chance (1 - 0.8^4)^24, about 3 in a million, and less above.
 
 Texts that share a key are linked, or verified not to be, by ``similar_components``.
 """
@@ -18,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm import common
+from siteloom.llm import common, simhash
 from siteloom.operators.components import similar_components
 
 WORDS = 5
@@ -62,18 +66,20 @@ def _keys(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(rows)], np.uint64).view(np.int64)
 
 
-def _sketches(words: int):
+def _sketches(words: int, minwise: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
             sets = [shingles(x.as_py(), words) for x in batch["text"]]
             nodes = np.array([_node(x) for x in sets], np.uint64).view(np.int64)
-            keys = [_keys(x) if len(x) else [] for x in sets]
+            prints = np.array([simhash.fingerprint_of(x) for x in sets], np.uint64).view(np.int64)
+            keys = [_keys(x)[:minwise] if minwise and len(x) else [] for x in sets]
             yield pa.record_batch(
                 {
                     "id": batch["id"],
                     "digest": batch["digest"],
                     "node": pa.array(nodes, pa.int64()),
                     "size": pa.array(list(map(len, sets)), pa.int64()),
+                    "fp": pa.array(prints, pa.int64()),
                     "keys": pa.array(keys, pa.list_(pa.int64())),
                 }
             )
@@ -94,17 +100,24 @@ def _sets(words: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = WORDS, minwise: int = KEYS) -> DataFrame:
     """One row per row of ``docs``: id, component (smallest id reachable).
 
     Rows are linked if the Jaccard similarity of their shingle sets is 0.8 or more; all null and blank
     texts are one component. Repeated rows come back as often as they are given. A
-    component without any id has a null. An empty table gives an empty result.
+    component without any id has a null. An empty table gives an empty result. With fewer than 24 ``minwise`` keys a text,
+    more pairs beyond the radius of SimHash are missed; with 0 it is SimHash alone that finds candidates.
     """
     own = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("digest"))
-    schema = docs.select(F.col(id).alias("id"), *(F.lit(0).cast("long").alias(x) for x in ("digest", "node", "size")), F.array(F.lit(0).cast("long")).alias("keys")).schema
-    rows = common.materialize(own.mapInArrow(_sketches(words), schema), "near-sketches")
-    keyed = common.materialize(rows.select(F.explode("keys").alias("key"), "node", "size").distinct(), "near-keys")
+    schema = docs.select(
+        F.col(id).alias("id"), *(F.lit(0).cast("long").alias(x) for x in ("digest", "node", "size", "fp")), F.array(F.lit(0).cast("long")).alias("keys")
+    ).schema
+    rows = common.materialize(own.mapInArrow(_sketches(words, minwise), schema), "near-sketches")
+    # Texts without a word are one node, which needs no key.
+    worded = rows.filter("size > 0").select("fp", "node", "size")
+    ball = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key")
+    balls = worded.join(simhash.near_roots(worded), "fp", "left").select(ball, "node", "size")
+    keyed = common.materialize(rows.select(F.explode("keys").alias("key"), "node", "size").unionByName(balls).distinct(), "near-keys")
     shared = keyed.groupBy("key").agg(F.min("node").alias("_l"), F.max("node").alias("_h")).filter("_l <> _h").select("key")
     members = common.materialize(keyed.join(common.materialize(shared, "near-shared"), "key", "left_semi"), "near-members")
     # The sets of texts that share a key, made again from one text each. A row is found by its id and a hash of its

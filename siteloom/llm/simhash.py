@@ -64,6 +64,11 @@ def fingerprint(text: str | None, words: int) -> int:
     hashes = np.fromiter(
         (hash64(line[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts)
     )
+    return fingerprint_of(hashes)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of the unsigned hashes of shingles, 0 without any."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -221,6 +226,11 @@ def near_links(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
     )
 
 
+def near_roots(fingerprints: DataFrame, fp: str = "fp") -> DataFrame:
+    """(fp, root): the smallest fingerprint of its component, for those that lie within 3 bits of another one."""
+    return connected_components(near_links(fingerprints, fp)).withColumnsRenamed({"node": fp})
+
+
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, fp (signed 64 bits), component (smallest id reachable).
 
@@ -230,7 +240,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     """
     rows = common.materialize(simhash_fingerprints(docs, id=id, text=text, words=words), "simhash")
     # Only fingerprints with links go through the component rounds.
-    roots = connected_components(near_links(rows)).withColumnsRenamed({"node": "fp"})
+    roots = near_roots(rows)
     nodes = common.materialize(
         rows.groupBy("fp")
         .agg(F.min("id").alias("low"))

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from siteloom.llm import common, near_text
+from siteloom.llm import common, near_text, simhash
 from siteloom.operators import components
 
 
@@ -95,3 +95,19 @@ def test_near_duplicates_odd_rows(docs, no_docs):
     assert {c for i, c in found if i in (1, 2, None)} == {1}
     assert {c for i, c in found if i in (3, 4, 5)} == {3}
     assert near_text.near_duplicates(no_docs).count() == 0
+
+
+def test_simhash_finds_candidates_by_itself(spark):
+    """Without min-wise keys, pairs within 3 bits are linked if their sets are similar enough, and others aren't."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        texts += [" ".join(base), " ".join([*base, "more"]), " ".join([*base[:300], "other", *base[301:]])]
+    prints = [simhash.fingerprint_of(near_text.shingles(x)) for x in texts]
+    near = [(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3 and _similar(texts[i], texts[j])]
+    assert len({j for _, j in near}) > 12
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.doc_id: x.component for x in near_text.near_duplicates(docs, minwise=0).collect()}
+    assert all(found[i] == found[j] for i, j in near)
+    assert all(i // 3 == c // 3 for i, c in found.items())
