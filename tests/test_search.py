@@ -29,6 +29,41 @@ def test_index_gives_what_a_scan_gives(spark, monkeypatch):
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
 
 
+def test_a_frequent_word_is_cut_in_many_tasks(spark, monkeypatch):
+    """No task holds all postings of a word; blocks are whole but for the ends of ranges, and searches are the same."""
+    monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "TASK_POSTINGS", 50)
+    rng = random.Random(4)
+    texts = ["common " + " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randrange(1, 9))) for _ in range(400)]
+    rows = spark.createDataFrame([(f"d{i:03d}", x) for i, x in enumerate(texts)], "id string, text string")
+    path = shared_path(spark, "index")
+    search.build_index(rows, "TextContent", path)
+    stored = spark.read.parquet(f"{path}/TextContent/postings").withColumn("task", F.shiftright("block", 33))
+    own = stored.filter("term = 'common'").orderBy("block").collect()
+    assert len({x.task for x in own}) > 3
+    assert sum(x.held for x in own) == 400 == len({p.id for x in own for p in x.postings}) and all(x.held == len(x.postings) <= 8 for x in own)
+    weights = [p.w for x in own for p in x.postings]
+    assert weights == sorted(weights, reverse=True) and all(x.top == x.postings[0].w for x in own)
+    assert len(own) <= 400 / 8 + len({x.task for x in own})
+    for asked in (["common"], ["alpha", "common", "gamma"]):
+        want = [tuple(x) for x in reads.search_text(rows, asked, 7).collect()]
+        assert [(i, pytest.approx(s)) for i, s in want] == [tuple(x) for x in search.search_index(spark, path, "TextContent", asked, 7).collect()]
+
+
+def test_words_are_counted_without_another_shuffle(spark, monkeypatch):
+    """Texts are shuffled by id and postings into ranges; words aren't shuffled between these."""
+    monkeypatch.setattr(search, "TASK_ROWS", 1)
+    plans = []
+    real = search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (1, "a")], "id long, description string")
+    path = shared_path(spark, "index")
+    search.build_index(rows, "Page", path)
+    assert [x.count("Exchange hashpartitioning") for x in plans] == [1]
+    assert sorted((x.term, x.df) for x in spark.read.parquet(f"{path}/Page/terms").collect()) == [("a", 1), ("b", 1)]
+    assert [(x.n, round(x.mean, 6)) for x in spark.read.parquet(f"{path}/Page/totals").collect()] == [(3, round(4 / 3, 6))]
+
+
 def test_unknown_tables_and_missing_indexes(spark):
     rows = spark.createDataFrame([(1, "a")], "id long, description string")
     path = shared_path(spark, "index")
