@@ -139,3 +139,16 @@ def test_components_of_a_path_and_a_star(spark):
     got = {x.node: x.root for x in components.connected_components(rows.repartition(7)).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in [100, *range(200, 260)]}
     assert components.connected_components(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, components.FEW_LINKS])
+def test_few_links_need_no_rounds(spark, monkeypatch, few):
+    stored = []
+    keep = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: stored.append(name) or keep(df, name))
+    monkeypatch.setattr(components, "FEW_LINKS", few)
+    links = [(x, x + 1) for x in range(300)] + [(5000, x) for x in range(1000, 1200)] + [(7, 7), (None, 9), (9001, -9000), (-9000, 9001)]
+    rows = spark.createDataFrame(links, "a long, b long").repartition(7)
+    got = sorted(tuple(x) for x in components.connected_components(rows).collect())
+    assert got == sorted([(x, 0) for x in range(301)] + [(x, 1000) for x in [*range(1000, 1200), 5000]] + [(-9000, -9000), (9001, -9000)])
+    assert stored == ["component-links", "component-roots"] if few else len(stored) > 2
