@@ -21,6 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A missing ``lang`` is filled in with the prediction.
     """
+    common.bound_batches(spark)
     # As one column, the row can't clash with what the operator adds.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
     found = language_id.identify(rows, queries.language_model(docs), keep=("row",)).filter(~F.col("rejected"))
@@ -39,6 +40,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Candidates are texts whose SimHash fingerprints meet in balls and, for similarities that lie beyond these, min-wise keys.
     Of rows that share this id all stay, and so do rows without an id, which can't be told apart.
     """
+    common.bound_batches(spark)
     found = near_text.near_duplicates(docs)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("gone")).distinct()
     gone = common.broadcast_if_small(common.materialize(gone, "near-gone"))
@@ -54,6 +56,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, in sequences of at most 2048."""
+    common.bound_batches(spark)
     return queries.pack_documents(docs)
 
 

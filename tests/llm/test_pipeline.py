@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from siteloom.llm import common, exact_dedup, queries, simhash
+from siteloom.llm import common, exact_dedup, language_id, near_text, packing, queries, simhash
 
 
 def test_stages_take_effect(spark, sf_dir):
@@ -34,6 +34,36 @@ def test_stages_on_odd_rows(spark, docs, no_docs):
         assert stage(spark, nothing, "").count() == 0
 
 
+@pytest.mark.parametrize(("stage", "module", "name"), [("language", language_id, "_predict"), ("near", near_text, "_sketches"), ("pack", packing, "_pieces")])
+def test_a_worker_gets_few_bytes_at_a_time(spark, monkeypatch, stage, module, name):
+    most, make = 1 << 16, getattr(module, name)
+
+    def watched(*args):
+        run = make(*args)
+
+        def held(batches):
+            for batch in batches:
+                assert batch.nbytes <= 2 * most
+                yield batch
+
+        return lambda batches: run(held(batches))
+
+    monkeypatch.setattr(common, "BATCH_BYTES", most)
+    monkeypatch.setattr(module, name, watched)
+    before = spark.conf.get(common.BATCH_SETTING, None)
+    spark.conf.unset(common.BATCH_SETTING)
+    try:
+        text = common.F.concat_ws(" ", common.F.transform(common.F.sequence(common.F.lit(1), common.F.lit(99)), lambda k: common.F.sha1(common.F.concat("id", k))))
+        rows = spark.range(300).select(common.F.col("id").alias("doc_id"), text.alias("text"), common.F.lit("en").alias("lang")).coalesce(1)
+        rows = common.materialize(rows, "few-bytes")
+        assert getattr(corpus_pipeline, stage)(spark, rows, "").select("doc_id").distinct().count() == 300
+        spark.conf.set(common.BATCH_SETTING, "5000")
+        common.bound_batches(spark)
+        assert spark.conf.get(common.BATCH_SETTING) == "5000"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING) if before is None else spark.conf.set(common.BATCH_SETTING, before)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, sf_dir, name):
     con = duckdb.connect()
